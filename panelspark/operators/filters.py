@@ -53,7 +53,7 @@ def _occurs(title: Column, needle: Column, word_boundary: bool, wildcards: bool)
         quoted = F.concat(F.lit(r"(?U)\b\Q"), F.lower(needle), F.lit(r"\E\b"))
         return F.regexp_like(F.lower(title), quoted)
     if wildcards:
-        return F.lower(title).like(F.concat(F.lit("%"), F.lower(needle), F.lit("%")))
+        return F.like(F.lower(title), F.concat(F.lit("%"), F.lower(needle), F.lit("%")))
     return F.contains(F.lower(title), F.lower(needle))
 
 

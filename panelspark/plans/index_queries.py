@@ -220,8 +220,8 @@ def _(t: Tables):
     return weekly(t)
 
 
-COVERAGE = """coverage AS (SELECT company_id, 365 AS total_weeks_window, count(*) AS weeks_with_data, 365 - count(*) AS weeks_empty,
-      count(*) * 100.0 / 365 AS pct_covered, avg(n_articles) AS mean_articles_per_week,
+COVERAGE = """coverage AS (SELECT company_id, 366 AS total_weeks_window, count(*) AS weeks_with_data, 366 - count(*) AS weeks_empty,
+      count(*) * 100.0 / 366 AS pct_covered, avg(n_articles) AS mean_articles_per_week,
       CAST(floor(median(n_articles)) AS BIGINT) AS median_articles_per_week FROM weekly GROUP BY 1)"""
 
 

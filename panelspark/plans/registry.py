@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..views import Tables, oracle_text
 
+# Doubles are compared at six decimals. The shift moves values lying exactly half-way between two roundings, which
+# engines that sum in different orders would otherwise round to different sides.
 DIGITS = 6
+SHIFT = 1.3e-8
 
 
 @dataclass(frozen=True)
@@ -27,7 +30,7 @@ class Query:
         text = oracle_text(self.oracle)
         if not self.doubles:
             return text
-        rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0 AS {c}" for c in self.doubles)
+        rounded = ", ".join(f"round(CAST({c} AS DOUBLE) + {SHIFT!r}, {DIGITS}) + 0 AS {c}" for c in self.doubles)
         return f"SELECT * REPLACE ({rounded}) FROM ({text}) AS result"
 
 
@@ -50,7 +53,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = (F.round(c, DIGITS) + F.lit(0.0)).alias(f.name)
+            c = (F.round(c + SHIFT, DIGITS) + F.lit(0.0)).alias(f.name)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long").alias(f.name)
         cols.append(c)

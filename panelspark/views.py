@@ -57,6 +57,22 @@ FROM {labels} l JOIN {articles} a ON a.id = l.doc_id""",
     "model_scores": """
 SELECT id, CAST((id * 17) % 100 AS DOUBLE) / 100 AS p1, CAST((id * 29) % 100 AS DOUBLE) / 100 AS p2,
        CAST((id * 41) % 100 AS DOUBLE) / 100 AS p3 FROM {articles}""",
+    # headlines worded so that every filter and rule finds some, with firm names and annotations
+    "headlines": """
+SELECT a.id, a.company_id, a.published_at,
+       CASE a.company_id % 7 WHEN 0 THEN 'Visa Inc.' WHEN 1 THEN 'Intel' WHEN 2 THEN 'Goldman Sachs' WHEN 3 THEN 'Target'
+            WHEN 4 THEN 'Amazon' WHEN 5 THEN 'Boeing' ELSE 'Nation Group' END AS company_name,
+       concat('S', CAST(a.company_id % 7 AS STRING)) AS company_symbol,
+       concat(split_part(concat('Student visa delays hit |Spy ring and street intel: |Goldman Sachs raises price target on |',
+         'Airstrike target near |What to watch: |Foundation gives $5 million grant to |BRIEF-|Firm names head of marketing |',
+         'the Netflix of India |Answer to the rival to |Competition with x |Taxi drivers struggle as |',
+         'Board considers selling unit |Firm mulls bid, sources say |Ohio a big winner in |Texas lands jobs |',
+         '$12 million lawsuit |$3m lawsuit: |Charity pledges $ and pays fine |Driver arrested |New holiday menu |',
+         'Amazon AWS outage |Work visa and border patrol |Cyber  Monday picks ||||||||'), '|', CAST(a.id % 32 + 1 AS INTEGER)), a.title) AS title,
+       CASE WHEN a.id % 31 = 0 THEN 'ESPN.com' ELSE a.source END AS source,
+       CASE WHEN a.id % 9 = 0 THEN 'The subject is unclear' ELSE 'Names the firm' END AS reason,
+       CASE WHEN a.id % 3 = 0 THEN 'irrelevant' WHEN a.id % 50 = 49 THEN 'unknown' ELSE ' Relevant' END AS label
+FROM {articles} a""",
     # firm-days of 16 dense firms on the price calendar, used wherever stance meets returns
     "stance_days": f"""
 SELECT id, concat('F', CAST(company_id % 16 AS STRING)) AS ticker, company_id % 16 AS company_id, published_at,
