@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, regression, returns
+from ..operators import timeseries as ts
+from ..scale import checkpointed
 from ..sources import tables
 from ..views import Tables
-from .index_queries import CUT, END, IN_WINDOW, START
+from .index_queries import ALIGNED, CUT, END, IN_WINDOW, START, aligned
 from .registry import query
 
 PANEL = f"""panel AS (SELECT company_id, CAST(published_at AS DATE) AS date, avg(pos_score - neg_score) AS daily_stance,
@@ -223,3 +225,179 @@ def _(t: Tables):
 @query("synthetic_control_did")
 def _(t: Tables):
     return regression.synthetic_did(return_panel(t))
+
+
+# --- time series ---------------------------------------------------------------------------------------------------
+
+BIAS, RET = "simple_mean_stance", "weekly_log_return"
+# the aligned weekly panel of the dense firms
+WEEKS = f"{ALIGNED}, weeks AS (SELECT ticker, week_monday, simple_mean_stance, n_articles, weekly_log_return FROM aligned WHERE side = 'both')"
+
+
+def weeks(t: Tables):
+    return aligned(t).filter("side = 'both'").select("ticker", "week_monday", BIAS, "n_articles", RET)
+
+
+def week_panel(t: Tables):
+    """Winsorised, differenced and break-flagged weekly panel; stored once because every test reads it several times."""
+    clipped, _ = ts.winsorise(checkpointed(weeks(t)), RET, exclude=("F0",))
+    panel = ts.difference(clipped, [BIAS, RET])
+    breaks = ts.break_table(panel, BIAS, RET)
+    return checkpointed(ts.flag_post(panel, breaks))
+
+
+@query(
+    "weekly_lags",
+    f"""WITH {WEEKS} SELECT ticker, week_monday, lag(simple_mean_stance, 1) OVER w AS simple_mean_stance_l1,
+      lag(simple_mean_stance, 2) OVER w AS simple_mean_stance_l2 FROM weeks WINDOW w AS (PARTITION BY ticker ORDER BY week_monday)""",
+    "simple_mean_stance_l1 simple_mean_stance_l2",
+)
+def _(t: Tables):
+    out = ts.lags(weeks(t), [BIAS], 2)
+    return out.select("ticker", "week_monday", *[F.col(f"{BIAS}_L{i}").alias(f"{BIAS}_l{i}") for i in (1, 2)])
+
+
+@query(
+    "weekly_differences",
+    f"""WITH {WEEKS} SELECT ticker, week_monday, simple_mean_stance - lag(simple_mean_stance) OVER w AS d_simple_mean_stance,
+      weekly_log_return - lag(weekly_log_return) OVER w AS d_weekly_log_return FROM weeks WINDOW w AS (PARTITION BY ticker ORDER BY week_monday)""",
+    "d_simple_mean_stance d_weekly_log_return",
+)
+def _(t: Tables):
+    return ts.difference(weeks(t), [BIAS, RET]).select("ticker", "week_monday", f"d_{BIAS}", f"d_{RET}")
+
+
+WINSOR = f"""{WEEKS}, bounds AS (SELECT ticker, avg(weekly_log_return) AS m, stddev_samp(weekly_log_return) AS s FROM weeks GROUP BY 1),
+  clipped AS (SELECT w.ticker, week_monday, weekly_log_return AS raw, CASE WHEN w.ticker = 'F0' THEN weekly_log_return
+    ELSE greatest(least(weekly_log_return, m + 2 * s), m - 2 * s) END AS weekly_log_return FROM weeks w JOIN bounds b ON b.ticker = w.ticker)"""
+
+
+@query("winsorised_returns", f"WITH {WINSOR} SELECT ticker, week_monday, weekly_log_return FROM clipped", "weekly_log_return")
+def _(t: Tables):
+    return ts.winsorise(weeks(t), RET, 2.0, ("F0",))[0].select("ticker", "week_monday", RET)
+
+
+@query(
+    "winsor_counts",
+    f"""WITH {WINSOR} SELECT ticker, stddev_samp(raw) AS raw_std, count(*) FILTER (raw <> weekly_log_return) AS winsor_count,
+      CASE WHEN ticker = 'F0' THEN 'skipped' WHEN count(*) FILTER (raw <> weekly_log_return) > 0 THEN 'winsorised' ELSE 'no outliers' END AS status
+    FROM clipped GROUP BY 1""",
+    "raw_std",
+)
+def _(t: Tables):
+    return ts.winsorise(weeks(t), RET, 2.0, ("F0",))[1]
+
+
+@query(
+    "helmert_differences",
+    f"""WITH {WEEKS} SELECT ticker, week_monday, sqrt(k / (k + 1.0)) * (simple_mean_stance - m1) AS simple_mean_stance,
+      sqrt(k / (k + 1.0)) * (weekly_log_return - m2) AS weekly_log_return FROM
+      (SELECT *, count(*) OVER f AS k, avg(simple_mean_stance) OVER f AS m1, avg(weekly_log_return) OVER f AS m2 FROM weeks
+       WINDOW f AS (PARTITION BY ticker ORDER BY week_monday ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""",
+    "simple_mean_stance weekly_log_return",
+)
+def _(t: Tables):
+    return ts.helmert(weeks(t), [BIAS, RET]).select("ticker", "week_monday", BIAS, RET)
+
+
+BREAKS = f"""{WEEKS}, pre AS (SELECT ticker, week_monday, row_number() OVER w - 1 AS k, count(*) OVER f AS n,
+    sum(simple_mean_stance) OVER w - simple_mean_stance AS s, sum(simple_mean_stance) OVER f AS st,
+    sum(simple_mean_stance * simple_mean_stance) OVER f AS q FROM weeks
+  WINDOW w AS (PARTITION BY ticker ORDER BY week_monday), f AS (PARTITION BY ticker)),
+cost AS (SELECT *, q - s * s / k - (st - s) * (st - s) / (n - k) AS sse FROM pre WHERE k >= 52 AND n - k >= 52),
+brk AS (SELECT ticker, arg_min(k, sse) AS break_index, arg_min(week_monday, sse) AS break_date, arg_min(n, sse) AS n, min(sse) AS sse
+  FROM cost GROUP BY 1)"""
+
+
+@query(
+    "mean_break",
+    f"WITH {BREAKS} SELECT ticker, break_index, break_date, break_index AS pre_obs, n - break_index AS post_obs, sse FROM brk",
+    "sse",
+)
+def _(t: Tables):
+    return ts.mean_break(weeks(t), BIAS)
+
+
+@query(
+    "post_break_flags",
+    f"""WITH {BREAKS} SELECT w.ticker, w.week_monday, coalesce(w.week_monday >= break_date, false) AS is_post_break FROM weeks w
+    LEFT JOIN brk ON brk.ticker = w.ticker""",
+)
+def _(t: Tables):
+    w = checkpointed(weeks(t))
+    return ts.flag_post(w, ts.break_table(w, BIAS, RET)).select("ticker", "week_monday", "is_post_break")
+
+
+@query("break_table")
+def _(t: Tables):
+    return ts.break_table(checkpointed(weeks(t)), BIAS, RET)
+
+
+@query("adf_tests")
+def _(t: Tables):
+    return ts.adf(ts.long_series(week_panel(t), [BIAS, RET, f"d_{BIAS}", f"d_{RET}"]))
+
+
+@query("kpss_tests")
+def _(t: Tables):
+    return ts.kpss(ts.long_series(week_panel(t), [BIAS, RET, f"d_{BIAS}", f"d_{RET}"]))
+
+
+def _verdicts(t: Tables):
+    series = ts.long_series(week_panel(t), [BIAS, RET, f"d_{BIAS}", f"d_{RET}"])
+    return ts.stationarity_verdict(ts.adf(series), ts.kpss(series))
+
+
+@query("stationarity_verdicts")
+def _(t: Tables):
+    return _verdicts(t)
+
+
+@query("integration_orders")
+def _(t: Tables):
+    return ts.integration_order(_verdicts(t))
+
+
+@query("johansen_tests")
+def _(t: Tables):
+    return ts.johansen(week_panel(t), BIAS, RET)
+
+
+@query("var_lag_orders")
+def _(t: Tables):
+    return ts.var_order(week_panel(t), BIAS, RET)
+
+
+@query("var_stability")
+def _(t: Tables):
+    panel = week_panel(t)
+    return ts.var_fit(panel, ts.var_order(panel, BIAS, RET), BIAS, RET).drop("coef_a", "coef_b")
+
+
+@query("var_diagnostics")
+def _(t: Tables):
+    panel = week_panel(t)
+    fit = checkpointed(ts.var_fit(panel, ts.var_order(panel, BIAS, RET), BIAS, RET))
+    return ts.var_diagnostics(panel, fit, BIAS, RET)
+
+
+def _granger(t: Tables):
+    panel = week_panel(t)
+    return ts.granger(panel, BIAS, RET, checkpointed(ts.var_order(panel, BIAS, RET)))
+
+
+@query("granger_tests")
+def _(t: Tables):
+    return _granger(t)
+
+
+@query("granger_table")
+def _(t: Tables):
+    return ts.granger_table(_granger(t))
+
+
+@query("panel_granger_tests")
+def _(t: Tables):
+    panel = week_panel(t).join(checkpointed(returns.weekly_market(t.market, t.vix)), "week_monday", "left")
+    panel = panel.withColumn("is_post", F.col("is_post_break").cast("double"))
+    return ts.panel_granger(panel, f"d_{BIAS}", RET, ["is_post", "vix", "market_return", "n_articles"])

@@ -39,14 +39,14 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str
     """
     exprs = [F.col(k) for k in keys] + list(order)
     rows = checkpointed(
-        df.repartitionByRange(*exprs).sortWithinPartitions(*exprs).withColumn("_pos", F.monotonically_increasing_id())
-    ).withColumn("_pid", F.shiftright("_pos", 33))
-    starts = rows.groupBy(*keys, "_pid").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        df.repartitionByRange(*exprs).sortWithinPartitions(*exprs).withColumn("__row", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__row", 33))
+    starts = rows.groupBy(*keys, "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("_n"))
     # one row per (group, partition): the window holds at most as many rows as there are partitions
-    earlier = F.sum("_n").over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("_pid")) - F.col("_n")
-    starts = starts.withColumn("_off", earlier - F.col("_first") + 1).drop("_first", "_n")
-    out = rows.join(starts, [*keys, "_pid"]).withColumn(name, F.col("_pos") + F.col("_off"))
-    return out.drop("_pos", "_pid", "_off")
+    earlier = F.sum("_n").over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("__part")) - F.col("_n")
+    starts = starts.withColumn("__off", earlier - F.col("__first") + 1).drop("__first", "_n")
+    out = rows.join(starts, [*keys, "__part"]).withColumn(name, F.col("__row") + F.col("__off"))
+    return out.drop("__row", "__part", "__off")
 
 
 def _magnitude_bucket(value: Column) -> Column:
