@@ -1,0 +1,96 @@
+"""TF-IDF weights and greedy near-duplicate removal against brute force."""
+
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelspark.operators import similarity as S
+
+
+def brute_vectors(titles):
+    docs = []
+    for t in titles:
+        w = re.findall(r"(?u)\b\w\w+\b", t.lower())
+        docs.append(Counter(w + [" ".join(p) for p in zip(w, w[1:])]))
+    df = Counter(t for d in docs for t in d)
+    out = []
+    for d in docs:
+        v = {t: (1 + math.log(c)) * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, c in d.items()}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        out.append({t: x / n for t, x in v.items()} if n else {})
+    return out
+
+
+def brute_keep(rows, threshold):
+    kept = set()
+    for g in {r[0] for r in rows}:
+        part = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        vec = brute_vectors([r[2] for r in part])
+        keep = []
+        for j in range(len(part)):
+            if not any(sum(x * vec[j].get(t, 0) for t, x in vec[i].items()) >= threshold for i in keep):
+                keep.append(j)
+        kept |= {part[j][1] for j in keep}
+    return kept
+
+
+def test_weights(spark):
+    titles = ["Profit rises at firm", "profit falls at Firm", "a b", "firm firm firm wins"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "g long, id long, title string")
+    got = {(r["id"], r["term"]): r["w"] for r in S.tfidf(df, "g", "id", "title").collect()}
+    want = {(i, t): w for i, v in enumerate(brute_vectors(titles)) for t, w in v.items()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+
+
+def test_term_limit_keeps_most_frequent(spark):
+    df = spark.createDataFrame([(1, 1, "aa aa bb bb cc"), (1, 2, "aa bb dd")], "g long, id long, title string")
+    got = {r["term"] for r in S.tfidf(df, "g", "id", "title", (1, 1), 2).collect()}
+    assert got == {"aa", "bb"}
+
+
+@pytest.mark.parametrize("head", [2, 64])
+def test_greedy_matches_brute_force(spark, head, monkeypatch):
+    monkeypatch.setattr(S, "LIST_HEAD", head)
+    rows, k = [], 0
+    for g in (1, 2):
+        for b in range(4):
+            words = [f"word{b}{i}" for i in range(10)]
+            for v in range(9):
+                w = list(words)
+                for s in range(v % 4):
+                    w[(v + 3 * s) % 10] = f"swap{(v * s) % 5}"
+                rows.append((g, k, " ".join(w)))
+                k += 1
+    rows += [(1, 900, "!"), (1, 901, "?"), (2, 902, rows[40][2])]
+    df = spark.createDataFrame(rows, "g long, id long, title string")
+    for threshold in (0.6, 0.85):
+        got = {r["id"] for r in S.leader_dedup(df, "g", "id", "title", threshold).collect()}
+        assert got == brute_keep(rows, threshold)
+
+
+def test_whole_table(small):
+    rows = small.articles.select("company_id", "id", "title")
+    got = {r["id"] for r in S.leader_dedup(rows, "company_id", "id", "title").collect()}
+    assert got == brute_keep([tuple(r) for r in rows.collect()], 0.85)
+
+
+def test_chain_keeps_both_ends(spark):
+    a, b, c = "aa bb cc dd ee ff gg hh", "aa bb cc dd ee ff gg zz", "aa bb cc dd ee ff yy zz"
+    df = spark.createDataFrame([(1, 1, a), (1, 2, b), (1, 3, c)], "g long, id long, title string")
+    v = brute_vectors([a, b, c])
+    sim = lambda i, j: sum(x * v[j].get(t, 0) for t, x in v[i].items())
+    threshold = (min(sim(0, 1), sim(1, 2)) + sim(0, 2)) / 2
+    out = S.near_duplicates(df, "g", "id", "title", threshold).collect()
+    assert [(r["id"], r["leader"]) for r in out] == [(2, 1)]
+    assert out[0]["cosine"] == pytest.approx(sim(0, 1))
+
+
+def test_many_copies_give_few_pairs(spark):
+    df = spark.range(400).select(F.lit(1).alias("g"), "id", F.lit("the same headline again").alias("title"))
+    out = S.near_duplicates(df, "g", "id", "title")
+    assert out.count() == 399 and out.filter("leader = 0").count() == 399
