@@ -8,13 +8,47 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+# up to this many columns every product is a JVM sum; beyond, generated code grows with k squared and Arrow batches win
+NARROW = 8
+# groups whose partial sums a task holds before it passes them on
+_HELD_GROUPS = 4096
+
+
 def gram(df: DataFrame, by: list[str], cols: list[Column | str]) -> DataFrame:
     """Per group: row count ``n`` and ``g``, the upper triangle of X'X row by row."""
     x = [F.col(c) if isinstance(c, str) else c for c in cols]
-    named = df.select(*by, *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)])
     k = len(x)
-    sums = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(k) for j in range(i, k)]
-    return named.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
+    names = [f"_x{i}" for i in range(k)]
+    named = df.select(*by, *[c.cast("double").alias(n) for n, c in zip(names, x)])
+    if k <= NARROW or not by:
+        sums = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(k) for j in range(i, k)]
+        return named.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
+    upper = np.triu_indices(k)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields if f.name in by)
+    schema = f"{head}, n long, g array<double>"
+
+    def table(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*key, n, g[upper].tolist()) for key, (g, n) in held.items()], columns=[*by, "n", "g"])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            m = pdf[names].to_numpy(dtype=float)
+            for key, rows in pdf.groupby(by, sort=False, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                g, n = held.get(key, (0.0, 0))
+                held[key] = (g + m[rows].T @ m[rows], n + len(rows))
+            if len(held) > _HELD_GROUPS:
+                yield table(held)
+                held = {}
+        yield table(held)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Add the partial sums of one group, at most a few per input partition."""
+        first = tuple(pdf[b].iloc[0] for b in by)
+        return pd.DataFrame([(*first, int(pdf["n"].sum()), np.vstack(pdf["g"]).sum(axis=0).tolist())], columns=[*by, "n", "g"])
+
+    return named.mapInPandas(partial, schema).groupBy(*by).applyInPandas(merge, schema)
 
 
 def unpack(g, k: int) -> np.ndarray:
@@ -49,12 +83,9 @@ def vector_gram(df: DataFrame, vector: str, k: int) -> tuple[int, np.ndarray]:
     return int(flat[-1]), flat[:-1].reshape(k, k)
 
 
-def vector_agg(df: DataFrame, key: str, vector: Column, how, name: str) -> DataFrame:
-    """Element-wise aggregate of an array column per key; elements are combined before the shuffle."""
-    parts = df.select(key, F.posexplode(vector).alias("_p", "_v")).groupBy(key, "_p").agg(how("_v").alias("_v"))
-    # one entry per element, so the list has the length of the vector
-    ordered = F.sort_array(F.collect_list(F.struct("_p", "_v")))
-    return parts.groupBy(key).agg(F.transform(ordered, lambda s: s["_v"]).alias(name))
+def vector_agg(df: DataFrame, key: str, vector: str, k: int, how, name: str) -> DataFrame:
+    """Element-wise aggregate of an array column of length k per key, combined before the shuffle."""
+    return df.groupBy(key).agg(F.array(*[how(F.get(vector, F.lit(i))) for i in range(k)]).alias(name))
 
 
 def moving_sums(df: DataFrame, by: list[str], pos: str, scores: list[str], lags: Column) -> DataFrame:

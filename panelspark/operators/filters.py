@@ -10,9 +10,10 @@ from ..functions.text import normalise_or_empty, not_blank
 
 
 def in_window(df: DataFrame, ts: str, start: str, end: str, firm: str | None = None) -> DataFrame:
-    """Inclusive date window as a half-open timestamp range, so that it reaches the Parquet scan."""
+    """Inclusive date window as a half-open range of the column's own type, so that it reaches the Parquet scan."""
+    kind = df.schema[ts].dataType
     out = df.filter(
-        (F.col(ts) >= F.lit(start).cast("timestamp")) & (F.col(ts) < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))
+        (F.col(ts) >= F.lit(start).cast(kind)) & (F.col(ts) < F.date_add(F.lit(end).cast("date"), 1).cast(kind))
     )
     return out.filter(F.col(firm).isNotNull()) if firm else out
 

@@ -68,14 +68,15 @@ def impute(
     A leading gap has nothing to fill from and stays null; a trailing B gap carries the last value. Both are logged.
     """
     past = W.partitionBy(by).orderBy("week_monday").rowsBetween(W.unboundedPreceding, 0)
-    future = W.partitionBy(by).orderBy("week_monday").rowsBetween(0, W.unboundedFollowing)
+    # looking ahead as a running frame over the reversed order stays linear in the rows
+    future = W.partitionBy(by).orderBy(F.desc("week_monday")).rowsBetween(W.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.col("week_monday"))
     df = grid.withColumns(
         {
             "_pv": F.last(value, ignorenulls=True).over(past),
             "_pw": F.last(known, ignorenulls=True).over(past),
-            "_nv": F.first(value, ignorenulls=True).over(future),
-            "_nw": F.first(known, ignorenulls=True).over(future),
+            "_nv": F.last(value, ignorenulls=True).over(future),
+            "_nw": F.last(known, ignorenulls=True).over(future),
         }
     )
     # expanding each gap to its weeks turns the interval test into an equality join

@@ -332,9 +332,11 @@ def ols_wide(df: DataFrame, y: str, vector: str, names: list[str], entity: str,
     """The same with many regressors held in one array column, entity means removed first."""
     k = len(names)
     rows = df.select(entity, cluster, F.col(y).cast("double").alias("_y"), F.col(vector).alias("_x")).dropna()
-    means = vector_agg(rows, entity, F.array_prepend("_x", F.col("_y")), F.avg, "_m")
-    minus = lambda a, b: a - b
-    both = F.zip_with(F.array_prepend("_x", F.col("_y")), "_m", minus)
+    # small rows here become wide ones below, so they are spread over all cores first
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.select(entity, cluster, F.array_prepend("_x", F.col("_y")).alias("_x"))
+    means = vector_agg(rows, entity, "_x", k + 1, F.avg, "_m")
+    both = F.zip_with("_x", "_m", lambda a, b: a - b)
     rows = rows.join(means, entity).select(cluster, F.array_prepend(both, F.lit(1.0)).alias("_z")).persist()
     n, m = vector_gram(rows, "_z", k + 2)
     s = _solve(n, m)
@@ -349,7 +351,7 @@ def ols_wide(df: DataFrame, y: str, vector: str, names: list[str], entity: str,
     _, meat = vector_gram(scored, "_s", k + 2)
     at = [i + 2 for i in s.used]
     sse = float(meat[0, 0])
-    per_cluster = vector_agg(scored, cluster, F.col("_s"), F.sum, "_s")
+    per_cluster = vector_agg(scored, cluster, "_s", k + 2, F.sum, "_s")
     groups, cmeat = vector_gram(per_cluster, "_s", k + 2)
     picked, lost = [names[i] for i in s.used], [x for i, x in enumerate(names) if i not in s.used]
     r2 = float(1 - sse / s.sst) if s.sst > 0 else math.nan

@@ -13,7 +13,7 @@ from ..session import MIN_ALIGNED_WEEKS
 from .filters import post_flag
 
 
-def _by_date(key: str | None, date: str) -> "W":
+def _by_date(key: str | None, date: str | Column):
     return W.partitionBy(F.col(key) if key else F.lit(1)).orderBy(date)
 
 
@@ -31,9 +31,9 @@ def simple_returns(prices: DataFrame, key: str | None = "ticker", date: str = "d
 def fill_controls(df: DataFrame, cols: list[str], date: str = "date", key: str | None = None) -> DataFrame:
     """Carry each column forward, then back, along one series of dates."""
     ahead = _by_date(key, date).rowsBetween(W.unboundedPreceding, 0)
-    back = _by_date(key, date).rowsBetween(0, W.unboundedFollowing)
+    back = _by_date(key, F.desc(date)).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumns(
-        {c: F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.first(c, ignorenulls=True).over(back)) for c in cols}
+        {c: F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.last(c, ignorenulls=True).over(back)) for c in cols}
     )
 
 

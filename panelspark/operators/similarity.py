@@ -35,6 +35,8 @@ def tfidf(df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, i
         .groupBy(group, id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    # read three times below, so the texts are split only once
+    counts = checkpointed(counts)
     vocab = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
     largest = vocab.groupBy(group).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
     if largest > max_terms:

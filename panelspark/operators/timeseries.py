@@ -58,12 +58,17 @@ def winsorise(
     return out.withColumn(col, clipped).drop("_m", "_s", "_out"), counts
 
 
+def _helmert(cols: list[str], by: list[str], time: str) -> dict[str, Column]:
+    """Forward mean-differenced columns; the mean of the later rows is the total less the running sum."""
+    w, whole = _ordered(by, time), W.partitionBy(*by)
+    left = F.count(F.lit(1)).over(whole) - F.row_number().over(w)
+    ahead = lambda c: (F.sum(c).over(whole) - F.sum(c).over(w)) / left
+    return {c: F.when(left > 0, F.sqrt(left / (left + 1)) * (F.col(c) - ahead(c))) for c in cols}
+
+
 def helmert(df: DataFrame, cols: list[str], by: str = "ticker", time: str = "week_monday") -> DataFrame:
     """Forward mean-differencing; rows with a null must be dropped before, the last row of a firm becomes null."""
-    ahead = W.partitionBy(by).orderBy(time).rowsBetween(1, W.unboundedFollowing)
-    left = F.count(F.lit(1)).over(ahead)
-    scale = F.sqrt(left / (left + 1))
-    return df.withColumns({c: F.when(left > 0, scale * (F.col(c) - F.avg(c).over(ahead))) for c in cols})
+    return df.withColumns(_helmert(cols, [by], time))
 
 
 def mean_break(
@@ -535,11 +540,8 @@ def panel_granger(
     rows = rows.dropna(subset=[*lagged, *cols])
     enough = rows.groupBy("sample").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 50").drop("_n")
     rows = rows.join(enough, "sample", "left_semi")
-    ahead = W.partitionBy("sample", by).orderBy(time).rowsBetween(1, W.unboundedFollowing)
-    left = F.count(F.lit(1)).over(ahead)
-    scale = F.sqrt(left / (left + 1))
     every = [bias, ret, *lagged, *[c for c in controls if c not in (bias, ret)]]
-    rows = rows.withColumns({c: F.when(left > 0, scale * (F.col(c) - F.avg(c).over(ahead))) for c in every}).dropna(subset=every)
+    rows = rows.withColumns(_helmert(every, ["sample", by], time)).dropna(subset=every)
     xs = every[2:]
     k = len(xs)
     if by_group:

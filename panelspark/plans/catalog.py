@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import index_queries, model_queries, text_queries  # noqa: F401
+from . import index_queries, model_queries, stream_queries, text_queries  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]

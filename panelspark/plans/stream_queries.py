@@ -1,0 +1,107 @@
+"""Near duplicates, and the streaming operators drained over the supplied tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import relevance, similarity
+from ..scale import shared_folder
+from ..streaming import incremental
+from ..views import Tables
+from .registry import query
+
+NEAR_COLS = ("company_id", "id", "title")
+
+
+@query(
+    "tfidf_weights",
+    """WITH tok AS (SELECT id, company_id, regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]{2,}') AS w FROM {articles}),
+    gram AS (SELECT id, company_id, unnest(w) AS term FROM tok
+      UNION ALL SELECT id, company_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok),
+    tf AS (SELECT company_id, id, term, count(*) AS tf FROM gram GROUP BY 1, 2, 3),
+    voc AS (SELECT company_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
+    docs AS (SELECT company_id, count(*) AS n FROM {articles} GROUP BY 1),
+    raw AS (SELECT tf.company_id, id, tf.term, df, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS x FROM tf
+      JOIN voc ON voc.company_id = tf.company_id AND voc.term = tf.term JOIN docs ON docs.company_id = tf.company_id)
+    SELECT company_id, id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY company_id, id)) AS w FROM raw""",
+    "w",
+)
+def _(t: Tables):
+    return similarity.tfidf(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
+
+
+@query("near_duplicates")
+def _(t: Tables):
+    return similarity.near_duplicates(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
+
+
+@query("near_duplicate_survivors")
+def _(t: Tables):
+    return similarity.leader_dedup(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
+
+
+def _stream(t: Tables, table: str) -> Tables:
+    """The same views with one supplied table read as a stream of its files."""
+    schema = getattr(t, table).schema
+    live = Tables(t.spark, t.sf_dir)
+    live._seen[table] = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+    return live
+
+
+def _drain(writer) -> None:
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query(
+    "index_stream",
+    """WITH d AS (SELECT company_id, CAST(published_at AS DATE) AS article_date, count(*) AS n_articles, avg(pos_score - neg_score) AS mean_stance
+      FROM {scored_events} GROUP BY 1, 2)
+    SELECT * FROM d WHERE CAST(article_date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(published_at) FROM {scored_events}) - INTERVAL 2 DAY""",
+    "mean_stance",
+)
+def _(t: Tables) -> DataFrame:
+    at = shared_folder(t.spark)
+    writer = incremental.index_stream(_stream(t, "orders").scored_events).writeStream.format("parquet").outputMode("append")
+    _drain(writer.option("path", at + "/out").option("checkpointLocation", at + "/state"))
+    return t.spark.read.parquet(at + "/out")
+
+
+@query(
+    "ingest_stream",
+    """SELECT DISTINCT company_id, sha256(concat(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), '|',
+      lower(trim(regexp_replace(url, '\\s+', ' ', 'g'))))) AS article_hash
+    FROM {articles} a JOIN {companies} c ON c.id = a.company_id
+    WHERE contains(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), lower(name))
+      OR contains(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), lower(symbol))""",
+)
+def _(t: Tables) -> DataFrame:
+    at = shared_folder(t.spark)
+    _drain(incremental.ingest_stream(_stream(t, "documents").articles, t.companies, at + "/out", at + "/state"))
+    return t.spark.read.parquet(at + "/out").select("company_id", "article_hash")
+
+
+@query(
+    "score_stream",
+    """SELECT id FROM {headlines}""",
+)
+def _(t: Tables) -> DataFrame:
+    at = shared_folder(t.spark)
+    score = lambda df: relevance.score_batches(df, lambda pdf: (pdf["id"] * 17 % 100) / 100)
+    _drain(incremental.score_stream(_stream(t, "documents").headlines, score, at + "/out", at + "/state"))
+    return t.spark.read.parquet(at + "/out").select("id")
+
+
+@query(
+    "upsert_stream",
+    """SELECT o_custkey AS k, CAST(max(o_orderkey) AS BIGINT) AS seq, arg_max(o_totalprice, o_orderkey) AS price, o_custkey % 8 AS part
+    FROM {orders} GROUP BY o_custkey""",
+    "price",
+)
+def _(t: Tables) -> DataFrame:
+    at = shared_folder(t.spark)
+    src = _stream(t, "orders").orders.select(
+        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 8).alias("part")
+    )
+    _drain(incremental.upsert_stream(src, at + "/out", at + "/state", ["k"], "seq", "part"))
+    return t.spark.read.schema(src.schema).parquet(at + "/out")

@@ -6,29 +6,35 @@ Any key may hold a large share of all rows, so none of these helpers sorts or co
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; a local session may fall back to /tmp."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session may fall back to /tmp."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-ckpt-", dir="/tmp"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named:
+            sc.setCheckpointDir(named)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-", dir="/tmp"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4()}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and pins values that must not change if a task is run again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store the rows as a table in the shared folder and read them back.
+
+    This cuts the lineage, pins values that must not change if a task runs again, survives lost executors, and, unlike a
+    checkpointed RDD, keeps column pruning and the size that decides between broadcast and shuffle joins.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -46,6 +46,7 @@ def ingest_stream(stories: DataFrame, companies: DataFrame, path: str, checkpoin
 def index_stream(articles: DataFrame, watermark: str = "2 days", firm: str = "company_id") -> DataFrame:
     """Daily count and mean stance per firm; a day is final once the watermark has passed it."""
     scored = articles.filter(F.col("pos_score").isNotNull() & F.col("neg_score").isNotNull())
+    scored = scored.withColumn("published_at", F.col("published_at").cast("timestamp"))
     daily = scored.withWatermark("published_at", watermark).groupBy(F.window("published_at", "1 day"), firm)
     out = daily.agg(F.count(F.lit(1)).alias("n_articles"), F.avg(stance()).alias("mean_stance"))
     return out.select(firm, F.to_date("window.start").alias("article_date"), "n_articles", "mean_stance")
