@@ -23,10 +23,15 @@ _TOP_LIMIT = 100_000
 
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Uniform sample of n rows, the same for the same seed."""
+    return _first_n(df, n, sampling_hash(id_col, seed), id_col)
+
+
+def _first_n(df: DataFrame, n: int, key: Column, id_col: str) -> DataFrame:
+    """The n rows with the smallest key."""
     if n <= _TOP_LIMIT:
-        return df.orderBy(sampling_hash(id_col, seed), id_col).limit(n)
+        return df.orderBy(key, id_col).limit(n)
     # a large sample would pass through one task as a top-n; positions keep it spread out
-    ranked = rank_in_group(df.withColumn("_h", sampling_hash(id_col, seed)), [], [F.col("_h"), F.col(id_col)], "_rn")
+    ranked = rank_in_group(df.withColumn("_h", key), [], [F.col("_h"), F.col(id_col)], "_rn")
     return ranked.filter(F.col("_rn") <= n).drop("_rn", "_h")
 
 
@@ -80,7 +85,7 @@ def weighted_sample(
     seen = gold.filter(F.col("label") == "relevant").groupBy(group).agg(F.count(F.lit(1)).alias("_c"))
     rest = pool.join(first.select(id_col), id_col, "left_anti").join(seen, group, "left")
     key = -F.ln(unit_hash(id_col, seed)) * (F.coalesce("_c", F.lit(0)) + 1)
-    extra = rest.withColumn("_key", key).orderBy("_key", id_col).limit(short).select(*pool.columns)
+    extra = _first_n(rest, short, key, id_col).select(*pool.columns)
     return shuffle(first.unionByName(extra), id_col, seed)
 
 

@@ -328,7 +328,14 @@ def _(t: Tables):
     return ts.flag_post(w, ts.break_table(w, BIAS, RET)).select("ticker", "week_monday", "is_post_break")
 
 
-@query("break_table")
+@query(
+    "break_table",
+    f"""WITH {BREAKS}, {BREAKS[len(WEEKS) + 2:].replace('simple_mean_stance', 'weekly_log_return').replace('pre AS', 'pre2 AS').replace('FROM pre ', 'FROM pre2 ').replace('cost AS', 'cost2 AS').replace('FROM cost', 'FROM cost2').replace('brk AS', 'brk2 AS')},
+    c AS (SELECT ticker, count(*) AS weeks FROM weeks GROUP BY 1)
+    SELECT c.ticker, coalesce(b.break_index, weeks) AS pre_obs, coalesce(b.n - b.break_index, 0) AS post_obs, b.break_date AS bias_break_date,
+      r.break_date AS return_break_date, coalesce(b.break_index, weeks) >= 60 AND coalesce(b.n - b.break_index, 0) >= 60 AS is_valid_split
+    FROM c LEFT JOIN brk b ON b.ticker = c.ticker LEFT JOIN brk2 r ON r.ticker = c.ticker""",
+)
 def _(t: Tables):
     return ts.break_table(checkpointed(weeks(t)), BIAS, RET)
 

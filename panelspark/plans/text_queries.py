@@ -926,6 +926,30 @@ def _(t: Tables):
     return training.weighted_sample(t.articles.select("id", "company_id", "title"), gold, 120, "company_id")
 
 
+@query("capped_firm_sizes", "SELECT company_id, least(count(*), 20) AS n FROM {articles} GROUP BY 1")
+def _(t: Tables):
+    capped = training.cap_per_group(t.articles.select("id", "company_id"), ["company_id"], 20)
+    return capped.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "capped_firm_class_sizes",
+    "SELECT company_id, label, least(count(*), CASE WHEN label = 'relevant' THEN 4 ELSE 12 END) AS n FROM {annotated} GROUP BY 1, 2",
+)
+def _(t: Tables):
+    capped = training.cap_per_class(t.annotated, "company_id", 12)
+    return capped.groupBy("company_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "fold_sizes",
+    """SELECT label, f AS fold, count(*) // 5 + CASE WHEN f < count(*) % 5 THEN 1 ELSE 0 END AS n
+    FROM {annotated}, (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4)) v(f) GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    return training.assign_folds(t.annotated.select("id", "label"), 5).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stratified_folds")
 def _(t: Tables):
     return training.assign_folds(t.annotated.select("id", "label"), 5)
@@ -948,7 +972,21 @@ def _(t: Tables):
     return training.training_set(gold, t.headlines, 30)
 
 
-@query("training_set_report")
+@query(
+    "training_set_report",
+    f"""WITH g AS (SELECT id, label, CAST(company_id AS STRING) AS company_name FROM {{annotated}} WHERE source = 'gold_manual'),
+    a AS (SELECT id, company_name, CASE WHEN {_regex('reason', fv.HEDGE_PATTERN)} THEN 'DROP' WHEN lower(trim(label)) = 'relevant' AND {LABEL_RULES}
+        THEN 'irrelevant' ELSE lower(trim(label)) END AS label FROM {{headlines}}
+      WHERE lower(trim(label)) IN ('relevant', 'irrelevant') AND id NOT IN (SELECT id FROM g)),
+    c AS (SELECT company_name, label, least(count(*), CASE WHEN label = 'relevant' THEN 10 ELSE 30 END) AS n, 0 AS gold FROM a
+      WHERE label <> 'DROP' GROUP BY 1, 2 UNION ALL SELECT company_name, label, count(*), 1 FROM g GROUP BY 1, 2),
+    s AS (SELECT sum(n) AS total, sum(n) FILTER (label = 'relevant') AS rel, sum(n) FILTER (gold = 1) AS gold,
+      count(DISTINCT company_name) AS firms FROM c)
+    SELECT CAST(total AS BIGINT) AS total, CAST(rel AS BIGINT) AS relevant, CAST(total - rel AS BIGINT) AS irrelevant,
+      CAST(gold AS BIGINT) AS gold, firms, rel * 100.0 / total AS relevant_pct,
+      CASE WHEN rel * 100.0 / total < 20 THEN 'low' WHEN rel * 100.0 / total > 45 THEN 'high' ELSE 'ok' END AS balance FROM s""",
+    "relevant_pct",
+)
 def _(t: Tables):
     gold = t.annotated.filter("source = 'gold_manual'").withColumn("company_name", F.col("company_id").cast("string"))
     return training.training_report(training.training_set(gold, t.headlines, 30))
