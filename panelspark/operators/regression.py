@@ -121,8 +121,8 @@ def within(
     return out.drop(*[c + s for c in cols for s in ("__e", "__t")])
 
 
-# levels of all but the largest factor that may be solved for at once on the driver (a matrix of at most 18 MB)
-DIRECT_LEVELS = 1500
+# levels of all but the largest factor that may be solved for at once on the driver (a matrix of at most 3 MB)
+DIRECT_LEVELS = 600
 
 
 def absorb(df: DataFrame, cols: list[str], factors: list[str]) -> DataFrame:

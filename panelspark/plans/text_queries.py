@@ -147,23 +147,23 @@ def _(t: Tables):
 
 @query(
     "insert_absent",
-    """WITH b AS (SELECT o_custkey AS k, min(o_orderkey) AS v FROM {orders} WHERE o_orderkey % 3 = 0 GROUP BY 1)
+    """WITH b AS (SELECT o_custkey AS k, min(o_orderkey) AS v FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1)
     SELECT * FROM b UNION ALL SELECT o_custkey, min(o_orderkey) FROM {orders} WHERE o_custkey NOT IN (SELECT k FROM b) GROUP BY 1""",
 )
 def _(t: Tables):
-    rows = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
-    base = rows.filter("v % 3 = 0").groupBy("k").agg(F.min("v").alias("v"))
-    return sinks.insert_absent(base, rows, ["k"])
+    rows = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), "o_orderstatus")
+    base = rows.filter("o_orderstatus = 'F'").groupBy("k").agg(F.min("v").alias("v"))
+    return sinks.insert_absent(base, rows.drop("o_orderstatus"), ["k"])
 
 
 @query(
     "score_write_back",
     """SELECT a.id, coalesce(m.p1, a.pos_score) AS pos_score, coalesce(m.p2, a.neg_score) AS neg_score FROM {articles} a
-    LEFT JOIN (SELECT * FROM {model_scores} WHERE id % 2 = 0) m ON m.id = a.id""",
+    LEFT JOIN (SELECT * FROM {model_scores} WHERE p3 >= 0.5) m ON m.id = a.id""",
     "pos_score neg_score",
 )
 def _(t: Tables):
-    new = t.model_scores.filter("id % 2 = 0").select("id", F.col("p1").alias("pos_score"), F.col("p2").alias("neg_score"))
+    new = t.model_scores.filter("p3 >= 0.5").select("id", F.col("p1").alias("pos_score"), F.col("p2").alias("neg_score"))
     return sinks.write_back(t.articles.select("id", "pos_score", "neg_score"), new, "id", ["pos_score", "neg_score"])
 
 
@@ -203,7 +203,7 @@ def _(t: Tables):
     "assembled_articles",
     """SELECT a.id AS story_id, a.company_id, a.title, a.url, o.id AS media_outlet_id,
       CASE WHEN a.id % 2 = 0 THEN 'Daily' ELSE a.source END AS source, a.published_at,
-      concat('{"provider":"media_cloud","story_id":', a.id, ',"language":"', d.lang, '"}') AS social_data
+      concat('{"language":"', d.lang, '","media_cloud_id":', a.id, '}') AS social_data
     FROM {articles} a JOIN {documents} d ON d.doc_id = a.id
     LEFT JOIN (SELECT source, min(media_outlet_id) AS id FROM {articles} GROUP BY 1) o ON o.source = a.source""",
 )
@@ -294,10 +294,10 @@ def _(t: Tables):
 
 @query(
     "unscored_newest",
-    """SELECT id, published_at FROM {articles} WHERE id % 3 = 0 ORDER BY published_at DESC, id DESC LIMIT 100""",
+    """SELECT id, published_at FROM {articles} WHERE pos_score < 0.3 ORDER BY published_at DESC, id DESC LIMIT 100""",
 )
 def _(t: Tables):
-    rows = t.articles.withColumn("pos_score", F.when(F.col("id") % 3 != 0, F.col("pos_score")))
+    rows = t.articles.withColumn("pos_score", F.when(F.col("pos_score") >= 0.3, F.col("pos_score")))
     return filters.unscored_newest(rows, 100).select("id", "published_at")
 
 
@@ -348,11 +348,11 @@ def _(t: Tables):
 @query(
     "title_check_failures",
     f"""SELECT a.id, coalesce(title, '') AS title, coalesce(name, '') AS company_name, coalesce(symbol, '') AS symbol, published_at
-    FROM {{articles}} a LEFT JOIN (SELECT * FROM {{companies}} WHERE id < 20) c ON c.id = a.company_id
+    FROM {{articles}} a LEFT JOIN (SELECT * FROM {{companies}} WHERE exposure < 1) c ON c.id = a.company_id
     WHERE trim(coalesce(title, '')) = '' OR c.id IS NULL OR NOT {MENTION}""",
 )
 def _(t: Tables):
-    return filters.title_failures(t.articles, t.companies.filter("id < 20"))
+    return filters.title_failures(t.articles, t.companies.filter("exposure < 1"))
 
 
 @query(
@@ -503,10 +503,10 @@ def _(t: Tables):
 @query(
     "article_company_left_join",
     """SELECT a.id, coalesce(c.symbol, '') AS company_symbol, coalesce(c.name, '') AS company_name FROM {articles} a
-    LEFT JOIN (SELECT * FROM {companies} WHERE id < 20) c ON c.id = a.company_id""",
+    LEFT JOIN (SELECT * FROM {companies} WHERE exposure < 1) c ON c.id = a.company_id""",
 )
 def _(t: Tables):
-    c = t.companies.filter("id < 20").select(F.col("id").alias("company_id"), "symbol", "name")
+    c = t.companies.filter("exposure < 1").select(F.col("id").alias("company_id"), "symbol", "name")
     return t.articles.join(c, "company_id", "left").select(
         "id", F.coalesce("symbol", F.lit("")).alias("company_symbol"), F.coalesce("name", F.lit("")).alias("company_name")
     )
@@ -561,14 +561,15 @@ TEXT_KEY = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
 
 @query(
     "hash_dedup",
-    f"""WITH h AS (SELECT id, company_id, sha256(concat({TEXT_KEY.replace('{c}', 'title')}, '|', {TEXT_KEY.replace('{c}', 'source')})) AS article_hash
+    f"""WITH h AS (SELECT id, company_id, published_at, sha256(concat({TEXT_KEY.replace('{c}', 'title')}, '|', {TEXT_KEY.replace('{c}', 'source')})) AS article_hash
         FROM {{articles}}), n AS (SELECT *, row_number() OVER (PARTITION BY company_id, article_hash ORDER BY id) AS rn FROM h
-        WHERE (company_id, article_hash) NOT IN (SELECT (company_id, article_hash) FROM h WHERE id % 10 = 0))
+        WHERE (company_id, article_hash) NOT IN (SELECT (company_id, article_hash) FROM h WHERE published_at < TIMESTAMP '2016-01-01'))
     SELECT id, company_id, article_hash FROM n WHERE rn = 1""",
 )
 def _(t: Tables):
-    rows = dedup.with_hash(t.articles, "title", "source").select("id", "company_id", "article_hash")
-    return dedup.dedup_hash(rows, rows.filter("id % 10 = 0"))
+    rows = dedup.with_hash(t.articles, "title", "source").select("id", "company_id", "article_hash", "published_at")
+    stored = rows.filter("published_at < TIMESTAMP '2016-01-01'")
+    return dedup.dedup_hash(rows, stored).drop("published_at")
 
 
 # --- matrices and distributions ------------------------------------------------------------------------------------
@@ -657,7 +658,7 @@ def _(t: Tables):
 
 @query(
     "ingest_cell_stats",
-    f"""WITH f AS (SELECT a.company_id, CAST(year(published_at) AS BIGINT) AS year, a.id % 5 = 0 AS old, {MENTION} AS ok, a.id % 7 = 0 AS dup
+    f"""WITH f AS (SELECT a.company_id, CAST(year(published_at) AS BIGINT) AS year, published_at < TIMESTAMP '2017-01-01' AS old, {MENTION} AS ok, a.source = 'src1.example.com' AS dup
       FROM {{articles}} a JOIN {{companies}} c ON c.id = a.company_id)
     SELECT company_id, year, count(*) AS fetched, count(*) FILTER (old) AS existing, count(*) FILTER (NOT old AND NOT ok) AS filtered_title,
       count(*) FILTER (NOT old AND ok AND dup) AS filtered_duplicates, count(*) FILTER (NOT old AND ok AND NOT dup) AS inserted,
@@ -668,9 +669,9 @@ def _(t: Tables):
     rows = t.articles.join(c, "company_id").select(
         "company_id",
         F.year("published_at").alias("year"),
-        (F.col("id") % 5 == 0).alias("is_existing"),
+        (F.col("published_at") < F.lit("2017-01-01").cast("timestamp")).alias("is_existing"),
         filters.mention().alias("title_ok"),
-        (F.col("id") % 7 == 0).alias("is_duplicate"),
+        (F.col("source") == "src1.example.com").alias("is_duplicate"),
     )
     return matrices.cell_stats(rows)
 
@@ -827,11 +828,11 @@ def _(t: Tables):
     return t.annotated.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-VERDICTS = "v AS (SELECT id, CASE WHEN id % 4 < 2 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM {annotated} WHERE id % 5 <> 0)"
+VERDICTS = "v AS (SELECT id, CASE WHEN id % 4 < 2 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM {annotated} WHERE company_id < 20)"
 
 
 def verdicts(t: Tables, yes: str, no: str):
-    rows = t.annotated.filter("id % 5 <> 0")
+    rows = t.annotated.filter("company_id < 20")
     return rows.select("id", F.when(F.col("id") % 4 < 2, yes).otherwise(no).alias("verdict"))
 
 

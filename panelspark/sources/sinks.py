@@ -81,7 +81,7 @@ def assemble_articles(stories: DataFrame, outlets: DataFrame, company_id: str =
         "media_outlet_id",
         F.coalesce(F.nullif(F.col("media_name"), F.lit("")), "domain").alias("source"),
         "published_at",
-        F.to_json(F.struct(F.lit("media_cloud").alias("provider"), "story_id", "language")).alias("social_data"),
+        F.to_json(F.struct("language", F.col("story_id").alias("media_cloud_id")), {"ignoreNullFields": "false"}).alias("social_data"),
     )
 
 
