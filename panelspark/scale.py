@@ -78,6 +78,9 @@ def group_quantiles(
     src = df.filter(F.col(value).isNotNull()) if keys else df.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1))
     keys = keys or const
     src = src.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_b", _magnitude_bucket(F.col("_v")))
+    # the join below implies these tests for one of its sides; stating them for both lets the two sides share one shuffle
+    for c in [*keys, "_b"]:
+        src = src.filter(F.col(c).isNotNull())
     counts = src.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"), F.sum(F.col("_v") * F.col("_n")).alias("_bs"))
     by_bucket = W.partitionBy(*keys).orderBy("_b")
