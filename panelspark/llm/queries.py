@@ -1,11 +1,14 @@
-"""The eleven queries over whole tables, by name, with their SQL where SQL can say it."""
+"""The queries over whole tables, by name, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .language_id import held_out, language_id, learn
+from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +20,30 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts(_table(spark, sf_dir, "documents"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_suffix_array_dedup)}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id(docs.select("doc_id", "text"), learn(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_array_dedup, op4_best_fit_packing, op9_language_id)
+}
 
 #: SQL for a query that SQL can state.
 SQL: dict[str, str] = {}
