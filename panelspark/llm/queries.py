@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontaminate import decontaminate
 from .language_id import held_out, language_id, learn
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
@@ -34,6 +35,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language_id(docs.select("doc_id", "text"), learn(docs))
@@ -42,7 +56,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_array_dedup, op4_best_fit_packing, op9_language_id)
+    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_array_dedup, op4_best_fit_packing, op8_decontaminate, op9_language_id)
 }
 
 #: SQL for a query that SQL can state.
