@@ -8,6 +8,7 @@ from .decontaminate import decontaminate
 from .language_id import held_out, language_id, learn
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
+from .personal_data import find_personal_data
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -59,9 +60,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_array_dedup, op4_best_fit_packing, op5_minhash_dedup, op8_decontaminate, op9_language_id)
+    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_array_dedup, op4_best_fit_packing, op5_minhash_dedup, op8_decontaminate, op9_language_id, op10_personal_data)
 }
 
 #: SQL for a query that SQL can state.
