@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
+from .html_text import extract_text, learn_weights
 from .language_id import held_out, language_id, learn
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
@@ -12,6 +13,7 @@ from .personal_data import find_personal_data
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,16 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract_text(pages, learn_weights(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -69,7 +81,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_array_dedup, op4_best_fit_packing, op5_minhash_dedup, op8_decontaminate, op9_language_id, op10_personal_data)
+    for f in (
+        op1_substring_dedup,
+        op2_token_counts,
+        op3_suffix_array_dedup,
+        op4_best_fit_packing,
+        op5_minhash_dedup,
+        op6_top_k,
+        op7_html_text,
+        op8_decontaminate,
+        op9_language_id,
+        op10_personal_data,
+    )
 }
 
 #: SQL for a query that SQL can state.
