@@ -2,14 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from panelspark.llm.decontaminate import decontaminate
+from panelspark.llm.language_id import language_id, learn
+from panelspark.llm.minhash_dedup import near_duplicates
+from panelspark.llm.packing import pack_documents
+from panelspark.llm.personal_data import sanitise
+from panelspark.scale import checkpointed
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a margin stay, with that language as ``lang``.
+
+    Documents without letters and those that two languages encode alike go. A null id or text: the text decides.
+    """
+    out = language_id(docs, learn(docs)).filter("accepted")
+    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id; so does a row without an id.
+
+    Rows that share an id are one group, of which one row stays: that with the smallest text.
+    """
+    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi")
+    twice = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row"))
+    return twice.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark stay. Rows without an id are judged together with each other."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    hit = decontaminate(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; values and terms that disclose them are replaced in ``text``, and ``n_chars`` follows."""
+    out = sanitise(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("minhash_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("personal_data", remove_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL can't express compression, tokenizers or packing; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    docs = _documents(spark, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = checkpointed(docs)
     return docs
