@@ -8,38 +8,40 @@ from pyspark.sql import Window as W
 from ..scale import checkpointed, rank_in_group
 from ..session import NEAR_DUP_COSINE
 
-# documents looked at per posting list and round; bounds the pairs a list can give
-LIST_HEAD = 64
 _EPS = 1e-9
 
 
-def _terms(text: str, ngram: tuple[int, int]):
-    """Lower-cased words of two or more characters and their n-grams."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
+def _words(text: str):
+    """Lower-cased words of two or more characters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
+
+
+def _terms(words: str, ngram: tuple[int, int]):
+    """The n-grams of a column of words."""
+    w = F.col(words)
 
     def grams(n: int):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    lists = [words if n == 1 else grams(n) for n in range(ngram[0], ngram[1] + 1)]
-    return F.concat(*lists)
+    return F.concat(*(w if n == 1 else grams(n) for n in range(ngram[0], ngram[1] + 1)))
 
 
-def tfidf(df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, int] = (1, 2), max_terms: int = 20_000) -> DataFrame:
+def tfidf(df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, int] = (1, 2), max_terms: int | None = None) -> DataFrame:
     """(group, id, term, df, w): sublinear term frequency times smoothed idf, scaled to unit length, fitted per group.
 
-    Only the ``max_terms`` most frequent terms of each group are kept.
+    With ``max_terms`` only that many of the most frequent terms of each group are kept; by default all are.
     """
     counts = (
-        df.select(group, id_col, F.explode(_terms(text, ngram)).alias("term"))
+        df.select(group, id_col, _words(text).alias("_words"))
+        .select(group, id_col, F.explode(_terms("_words", ngram)).alias("term"))
         .groupBy(group, id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     # read three times below, so the texts are split only once
     counts = checkpointed(counts)
     vocab = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
-    largest = vocab.groupBy(group).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    if largest > max_terms:
+    if max_terms is not None:
         vocab = rank_in_group(vocab, [group], [F.desc("_total"), F.asc("term")], "_rank").filter(F.col("_rank") <= max_terms)
     docs = df.groupBy(group).agg(F.count(F.lit(1)).alias("_docs"))
     idf = F.ln((1 + F.col("_docs")) / (1 + F.col("df"))) + 1
@@ -51,12 +53,11 @@ def tfidf(df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, i
 
 
 def same_vector(terms: DataFrame, group: str, id_col: str) -> DataFrame:
-    """(group, id, rep): the smallest id with exactly the same weights."""
-    sig = F.xxhash64(F.sort_array(F.collect_list(F.struct("term", F.round("w", 12)))))
-    sig2 = F.hash(F.sort_array(F.collect_list(F.struct("term", F.round("w", 12)))))
-    prints = terms.groupBy(group, id_col).agg(sig.alias("_f"), sig2.alias("_h"), F.count(F.lit(1)).alias("_n"))
-    first = prints.groupBy(group, "_f", "_h", "_n").agg(F.min(id_col).alias("rep"))
-    return prints.join(first, [group, "_f", "_h", "_n"]).select(group, id_col, "rep")
+    """(group, id, rep): the smallest id with exactly the same weights, told by a 256-bit digest of all of them."""
+    listed = F.sort_array(F.collect_list(F.concat_ws("\t", "term", F.round("w", 12).cast("string"))))
+    prints = terms.groupBy(group, id_col).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("_f"))
+    first = prints.groupBy(group, "_f").agg(F.min(id_col).alias("rep"))
+    return prints.join(first, [group, "_f"]).select(group, id_col, "rep")
 
 
 def prefixes(terms: DataFrame, group: str, id_col: str, threshold: float) -> DataFrame:
@@ -66,7 +67,8 @@ def prefixes(terms: DataFrame, group: str, id_col: str, threshold: float) -> Dat
     """
     rarest_last = W.partitionBy(group, id_col).orderBy(F.desc("df"), F.desc("term"))
     rest = F.sum(F.col("w") * F.col("w")).over(rarest_last)
-    return terms.withColumn("_rest", rest).filter(F.col("_rest") >= (threshold - _EPS) ** 2).select(group, "term", id_col)
+    # a term of one text alone is no pair's
+    return terms.withColumn("_rest", rest).filter((F.col("_rest") >= (threshold - _EPS) ** 2) & (F.col("df") > 1)).select(group, "term", id_col)
 
 
 def cosines(pairs: DataFrame, terms: DataFrame, group: str, id_col: str) -> DataFrame:
@@ -77,52 +79,69 @@ def cosines(pairs: DataFrame, terms: DataFrame, group: str, id_col: str) -> Data
     return products.groupBy(group, "i", "j").agg(F.sum(F.col("_wi") * F.col("_wj")).alias("cosine"))
 
 
+def near_pairs(terms: DataFrame, group: str, id_col: str, threshold: float = NEAR_DUP_COSINE) -> DataFrame:
+    """(group, i, j, cosine) of all i < j of a group at or above the threshold, from weighted ``terms``.
+
+    Candidates share a term in both prefixes and are then compared on all terms. Give one text of each set of equal vectors
+    (``same_vector``): its copies have the same partners.
+    """
+    lists = prefixes(terms, group, id_col, threshold)
+    a = lists.select(group, "term", F.col(id_col).alias("i"))
+    b = lists.select(group, "term", F.col(id_col).alias("j"))
+    candidates = a.join(b, [group, "term"]).filter("i < j").select(group, "i", "j").distinct()
+    return cosines(candidates, terms, group, id_col).filter(F.col("cosine") >= threshold)
+
+
+def eliminated(pairs: DataFrame, group: str) -> DataFrame:
+    """(group, id, leader, cosine) of what greedy elimination in id order drops, from the close pairs (group, i, j, cosine).
+
+    A text goes when a kept one with a smaller id is close. Each round keeps the texts with no undecided close text before
+    them and drops their partners; only the close pairs take part, and the rounds are as many as the longest chain of them.
+    """
+    open_, dropped = pairs.select(group, "i", "j"), None
+    while not open_.isEmpty():
+        later = open_.select(group, F.col("j").alias("i")).distinct()
+        kept = open_.select(group, "i").distinct().join(later, [group, "i"], "left_anti")
+        gone = checkpointed(open_.join(kept, [group, "i"], "left_semi").select(group, "j").distinct())
+        rest = open_.join(gone, [group, "j"], "left_anti").join(gone.withColumnRenamed("j", "i"), [group, "i"], "left_anti")
+        open_ = checkpointed(rest.join(kept, [group, "i"], "left_anti"))
+        dropped = gone if dropped is None else dropped.union(gone)
+    if dropped is None:
+        return pairs.select(group, F.col("j").alias("id"), F.col("i").alias("leader"), "cosine")
+    led = pairs.join(dropped, [group, "j"]).join(dropped.withColumnRenamed("j", "i"), [group, "i"], "left_anti")
+    return led.groupBy(group, F.col("j").alias("id")).agg(F.min("i").alias("leader"), F.min_by("cosine", "i").alias("cosine"))
+
+
+def _distinct_vectors(df: DataFrame, group: str, id_col: str, text: str, max_terms: int | None) -> tuple[DataFrame, DataFrame]:
+    """(group, id, rep) of every text with terms, and the terms of the representatives."""
+    terms = checkpointed(tfidf(df, group, id_col, text, max_terms=max_terms))
+    copies = checkpointed(same_vector(terms, group, id_col))
+    own = copies.filter(F.col(id_col) == F.col("rep")).select(group, id_col)
+    return copies, terms.join(own, [group, id_col], "left_semi")
+
+
+def near_duplicate_pairs(
+    df: DataFrame, group: str, id_col: str, text: str, threshold: float = NEAR_DUP_COSINE, max_terms: int | None = None
+) -> DataFrame:
+    """(group, i, j, cosine) of the close pairs, where i and j stand for all texts with their vectors."""
+    return near_pairs(_distinct_vectors(df, group, id_col, text, max_terms)[1], group, id_col, threshold)
+
+
 def near_duplicates(
-    df: DataFrame, group: str, id_col: str, text: str, threshold: float = NEAR_DUP_COSINE, max_terms: int = 20_000
+    df: DataFrame, group: str, id_col: str, text: str, threshold: float = NEAR_DUP_COSINE, max_terms: int | None = None
 ) -> DataFrame:
     """(group, id, leader, cosine) of every text dropped by greedy elimination in id order.
 
-    A text is dropped when a kept text with a smaller id reaches the threshold. Identical vectors collapse first. Then
-    each round looks at the smallest undecided ids of every posting list: texts at the head of all their lists with no
-    similar undecided text before them are kept, and are compared with the rest of their lists. Work per round is
-    linear in the postings, also when most of a group are copies of one text.
+    A text is dropped when a kept text with a smaller id reaches the threshold; ``leader`` is the smallest of these. A copy
+    follows its representative: dropped with the same leader, or led by the kept representative itself.
     """
-    terms = checkpointed(tfidf(df, group, id_col, text, max_terms=max_terms))
-    copies = same_vector(terms, group, id_col)
-    own = copies.filter(F.col(id_col) == F.col("rep")).select(group, id_col)
-    vectors = terms.join(own, [group, id_col], "left_semi").select(group, id_col, "term", "df", "w")
-    open_ = checkpointed(prefixes(vectors, group, id_col, threshold))
-    dropped = None
-    while not open_.isEmpty():
-        heads = open_.withColumn("_rn", F.row_number().over(W.partitionBy(group, "term").orderBy(id_col)))
-        heads = heads.filter(F.col("_rn") <= LIST_HEAD)
-        a = heads.select(group, "term", F.col(id_col).alias("i"))
-        b = heads.select(group, "term", F.col(id_col).alias("j"))
-        pairs = a.join(b, [group, "term"]).filter("i < j").select(group, "i", "j").distinct()
-        close = cosines(pairs, vectors, group, id_col).filter(F.col("cosine") >= threshold)
-        blocked = close.select(group, F.col("j").alias(id_col)).distinct()
-        wanted = open_.groupBy(group, id_col).agg(F.count(F.lit(1)).alias("_all"))
-        seen = heads.groupBy(group, id_col).agg(F.count(F.lit(1)).alias("_seen"))
-        whole = wanted.join(seen, [group, id_col]).filter("_all = _seen").select(group, id_col)
-        kept = checkpointed(whole.join(blocked, [group, id_col], "left_anti"))
-        lead = open_.join(kept, [group, id_col], "left_semi").select(group, "term", F.col(id_col).alias("i"))
-        rest = open_.select(group, "term", F.col(id_col).alias("j"))
-        reach = lead.join(rest, [group, "term"]).filter("i < j").select(group, "i", "j").distinct()
-        hits = cosines(reach, vectors, group, id_col).filter(F.col("cosine") >= threshold)
-        new = hits.groupBy(group, "j").agg(F.min("i").alias("leader"), F.min_by("cosine", "i").alias("cosine"))
-        new = checkpointed(new.withColumnRenamed("j", id_col))
-        dropped = new if dropped is None else dropped.unionByName(new)
-        gone = kept.unionByName(new.select(group, id_col))
-        open_ = checkpointed(open_.join(gone, [group, id_col], "left_anti"))
-    twins = copies.filter(F.col(id_col) != F.col("rep"))
-    if dropped is None:
-        return twins.select(group, id_col, F.col("rep").alias("leader"), F.lit(1.0).alias("cosine"))
-    # a copy follows its representative: dropped with the same leader, or led by the kept representative itself
-    led = dropped.select(group, F.col(id_col).alias("rep"), F.col("leader"), "cosine")
-    twins = twins.join(led, [group, "rep"], "left").select(
-        group, id_col, F.coalesce("leader", "rep").alias("leader"), F.coalesce("cosine", F.lit(1.0)).alias("cosine")
-    )
-    return dropped.select(group, id_col, "leader", "cosine").unionByName(twins)
+    copies, vectors = _distinct_vectors(df, group, id_col, text, max_terms)
+    pairs = checkpointed(near_pairs(vectors, group, id_col, threshold))
+    dropped = eliminated(pairs, group)
+    led = dropped.select(group, F.col("id").alias("rep"), "leader", "cosine")
+    twins = copies.filter(F.col(id_col) != F.col("rep")).join(led, [group, "rep"], "left")
+    twins = twins.select(group, id_col, F.coalesce("leader", "rep").alias("leader"), F.coalesce("cosine", F.lit(1.0)).alias("cosine"))
+    return dropped.select(group, F.col("id").alias(id_col), "leader", "cosine").unionByName(twins)
 
 
 def leader_dedup(df: DataFrame, group: str, id_col: str, text: str, threshold: float = NEAR_DUP_COSINE) -> DataFrame:

@@ -13,23 +13,37 @@ from .registry import query
 NEAR_COLS = ("company_id", "id", "title")
 
 
-@query(
-    "tfidf_weights",
-    """WITH tok AS (SELECT id, company_id, regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]{2,}') AS w FROM {articles}),
+_TFIDF = """tok AS (SELECT id, company_id, regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]{2,}') AS w FROM {articles}),
     gram AS (SELECT id, company_id, unnest(w) AS term FROM tok
       UNION ALL SELECT id, company_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok),
     tf AS (SELECT company_id, id, term, count(*) AS tf FROM gram GROUP BY 1, 2, 3),
     voc AS (SELECT company_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
     docs AS (SELECT company_id, count(*) AS n FROM {articles} GROUP BY 1),
     raw AS (SELECT tf.company_id, id, tf.term, df, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS x FROM tf
-      JOIN voc ON voc.company_id = tf.company_id AND voc.term = tf.term JOIN docs ON docs.company_id = tf.company_id)
-    SELECT company_id, id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY company_id, id)) AS w FROM raw""",
-    "w",
-)
+      JOIN voc ON voc.company_id = tf.company_id AND voc.term = tf.term JOIN docs ON docs.company_id = tf.company_id),
+    weights AS (SELECT company_id, id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY company_id, id)) AS w FROM raw)"""
+
+
+@query("tfidf_weights", f"WITH {_TFIDF} SELECT * FROM weights", "w")
 def _(t: Tables):
     return similarity.tfidf(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
 
 
+@query(
+    "near_duplicate_pairs",
+    f"""WITH {_TFIDF},
+    prints AS (SELECT company_id, id, sha256(string_agg(concat(term, ' ', round(w, 12)), '|' ORDER BY term)) AS f FROM weights GROUP BY 1, 2),
+    reps AS (SELECT company_id, min(id) AS id FROM prints GROUP BY company_id, f),
+    own AS (SELECT weights.* FROM weights JOIN reps USING (company_id, id))
+    SELECT a.company_id, a.id AS i, b.id AS j, sum(a.w * b.w) AS cosine FROM own a
+    JOIN own b ON a.company_id = b.company_id AND a.term = b.term AND a.id < b.id
+    GROUP BY 1, 2, 3 HAVING sum(a.w * b.w) >= 0.85""",
+    "cosine",
+)
+def _(t: Tables):
+    return similarity.near_duplicate_pairs(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
+
+
 @query("near_duplicates")
 def _(t: Tables):
     return similarity.near_duplicates(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
@@ -55,16 +69,14 @@ def _drain(writer) -> None:
 
 @query(
     "index_stream",
-    """WITH d AS (SELECT company_id, CAST(published_at AS DATE) AS article_date, count(*) AS n_articles, avg(pos_score - neg_score) AS mean_stance
-      FROM {scored_events} GROUP BY 1, 2)
-    SELECT * FROM d WHERE CAST(article_date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(published_at) FROM {scored_events}) - INTERVAL 2 DAY""",
+    """SELECT company_id, CAST(published_at AS DATE) AS article_date, count(*) AS n_articles, avg(pos_score - neg_score) AS mean_stance
+    FROM {scored_events} GROUP BY 1, 2""",
     "mean_stance",
 )
 def _(t: Tables) -> DataFrame:
     at = shared_folder(t.spark)
-    writer = incremental.index_stream(_stream(t, "orders").scored_events).writeStream.format("parquet").outputMode("append")
-    _drain(writer.option("path", at + "/out").option("checkpointLocation", at + "/state"))
-    return t.spark.read.parquet(at + "/out")
+    _drain(incremental.index_stream(_stream(t, "orders").scored_events, at + "/out", at + "/state"))
+    return incremental.daily_totals(t.spark.read.parquet(at + "/out"))
 
 
 @query(

@@ -30,10 +30,10 @@ SELECT CAST(n_nationkey AS BIGINT) AS id, concat('N', CAST(n_nationkey AS STRING
        CAST(n_regionkey + 1 AS DOUBLE) / 5 AS exposure FROM {nation}""",
     "articles": f"""
 SELECT d.doc_id AS id, d.doc_id % 25 AS company_id, d.doc_id % 20 AS media_outlet_id,
-       CASE WHEN d.doc_id % 4 = 0 THEN concat(n.n_name, ' ', substr(d.text, 1, 60))
-            WHEN d.doc_id % 4 = 1 THEN concat('  ', upper(n.n_name), '   ', substr(d.text, 1, 60))
-            WHEN d.doc_id % 4 = 2 THEN concat(n.n_name, ' 20% off: ', substr(d.text, 1, 60))
-            ELSE substr(d.text, 1, 60) END AS title,
+       CASE WHEN d.doc_id % 4 = 0 THEN concat(n.n_name, ' ', d.text)
+            WHEN d.doc_id % 4 = 1 THEN concat('  ', upper(n.n_name), '   ', d.text)
+            WHEN d.doc_id % 4 = 2 THEN concat(n.n_name, ' 20% off: ', d.text)
+            ELSE d.text END AS title,
        d.text AS content, concat('https://www.', d.source, '.example.com/a/', CAST(d.doc_id AS STRING)) AS url,
        concat(d.source, '.example.com') AS source,
        CAST('2015-01-01 00:00:00' AS TIMESTAMP) + ((d.doc_id * 7919) % 96000) * INTERVAL '1' HOUR AS published_at,

@@ -53,9 +53,7 @@ def test_term_limit_keeps_most_frequent(spark):
     assert got == {"aa", "bb"}
 
 
-@pytest.mark.parametrize("head", [2, 64])
-def test_greedy_matches_brute_force(spark, head, monkeypatch):
-    monkeypatch.setattr(S, "LIST_HEAD", head)
+def test_greedy_matches_brute_force(spark):
     rows, k = [], 0
     for g in (1, 2):
         for b in range(4):
@@ -90,6 +88,16 @@ def test_chain_keeps_both_ends(spark):
     assert out[0]["cosine"] == pytest.approx(sim(0, 1))
 
 
+def test_pairs_match_brute_force(spark):
+    titles = ["aa bb cc dd ee ff gg hh", "aa bb cc dd ee ff gg zz", "aa bb cc dd ee ff gg hh", "xx yy", "aa bb cc dd ee ff gg zz kk"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "g long, id long, title string")
+    v = brute_vectors(titles)
+    dot = lambda i, j: sum(x * v[j].get(t, 0) for t, x in v[i].items())
+    want = {(i, j): dot(i, j) for i in range(5) for j in range(i + 1, 5) if dot(i, j) >= 0.5 and i != 2 and j != 2}
+    got = {(r["i"], r["j"]): r["cosine"] for r in S.near_duplicate_pairs(df, "g", "id", "title", 0.5).collect()}
+    assert want and got == pytest.approx(want)
+
+
 def test_many_copies_give_few_pairs(spark):
     df = spark.range(400).select(F.lit(1).alias("g"), "id", F.lit("the same headline again").alias("title"))
     out = S.near_duplicates(df, "g", "id", "title")

@@ -25,30 +25,44 @@ def test_ingest_drops_repeats_and_keeps_matches(spark, small, tmp_path):
     again = rows.withColumn("id", F.col("id") + 10**6)
     src = source(spark, rows.unionByName(again), str(tmp_path / "in"))
     sink = str(tmp_path / "out")
-    drain(I.ingest_stream(src, small.companies, sink, str(tmp_path / "c1"), "20000 days"))
+    drain(I.ingest_stream(src, small.companies, sink, str(tmp_path / "c1")))
     got = spark.read.parquet(sink)
     want = mentions_company(rows, small.companies, "normalised")
     assert got.count() == got.select("company_id", "article_hash").distinct().count() == want.count()
     # a second stream over the same stories adds nothing
-    drain(I.ingest_stream(src, small.companies, sink, str(tmp_path / "c2"), "20000 days"))
+    drain(I.ingest_stream(src, small.companies, sink, str(tmp_path / "c2")))
     assert spark.read.parquet(sink).count() == want.count()
 
 
+def test_ingest_keeps_every_first_headline(spark, tmp_path):
+    """Years arrive out of order over several batches; blank titles and URLs are left out."""
+    schema = "id long, company_id long, title string, url string, published_at timestamp"
+    day = lambda y: dt.datetime(y, 6, 1)
+    batches = [
+        [(1, 1, "Acme wins", "u1", day(2024)), (2, 1, "Acme wins", "u1", day(2025)), (3, 1, " ", "u2", day(2024))],
+        [(4, 1, "Acme is founded", "u3", day(2015)), (5, 1, "Acme wins", "u1", day(2014)), (6, 1, "Acme grows", "", day(2016))],
+        [(7, 1, "ACME  grows", "u4", day(2016)), (8, 1, None, "u5", day(2016)), (9, 1, "acme grows", "U4", day(2017))],
+    ]
+    companies = spark.createDataFrame([(1, "ACM", "Acme")], "id long, symbol string, name string")
+    folder = tmp_path / "in"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/b={n}")
+    sink = str(tmp_path / "out")
+    for n in range(len(batches)):  # one query per backfill run, all into one store
+        src = spark.readStream.schema(schema).parquet(f"{folder}/b={n}")
+        drain(I.ingest_stream(src, companies, sink, str(tmp_path / f"c{n}")))
+    assert {r["id"] for r in spark.read.parquet(sink).collect()} == {1, 4, 7}
+
+
 def test_daily_index_stream_equals_batch(spark, small, tmp_path):
     rows = small.articles.select("id", "company_id", "published_at", "pos_score", "neg_score")
-    late = rows.limit(1).withColumn("published_at", F.lit(dt.datetime(2040, 1, 1)))
+    late = rows.limit(1).withColumn("published_at", F.lit(dt.datetime(1999, 1, 1)))
     src = source(spark, rows.unionByName(late), str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    w = I.index_stream(src, "20000 days").writeStream.format("parquet").option("path", out)
-    drain(w.option("checkpointLocation", str(tmp_path / "c")).outputMode("append"))
-    # nothing is final under so long a watermark, and everything is under a short one
-    assert spark.read.schema("company_id long").parquet(out).count() == 0
-    one = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    w = I.index_stream(one, "1 day").writeStream.format("parquet").option("path", out + "2")
-    drain(w.option("checkpointLocation", str(tmp_path / "c2")).outputMode("append"))
-    got = {(r[0], r[1]): (r[2], round(r[3], 9)) for r in spark.read.parquet(out + "2").collect()}
+    drain(I.index_stream(src, out, str(tmp_path / "c")))
+    got = {(r[0], r[1]): (r[2], round(r[3], 9)) for r in I.daily_totals(spark.read.parquet(out)).collect()}
     day = F.to_date("published_at")
-    batch = rows.groupBy("company_id", day.alias("d")).agg(F.count("*"), F.avg(F.col("pos_score") - F.col("neg_score")))
+    batch = rows.unionByName(late).groupBy("company_id", day.alias("d")).agg(F.count("*"), F.avg(F.col("pos_score") - F.col("neg_score")))
     assert got == {(r[0], r[1]): (r[2], round(r[3], 9)) for r in batch.collect()}
 
 
@@ -59,7 +73,8 @@ def _score(df):
 def test_scoring_resumes(spark, small, tmp_path):
     rows = small.headlines
     sink = str(tmp_path / "out")
-    relevance.classify(rows.filter("id % 2 = 0"), score=_score).write.parquet(sink)
+    half = source(spark, rows.filter("id % 2 = 0"), str(tmp_path / "half"))
+    drain(I.score_stream(half, _score, sink, str(tmp_path / "c0")))
     src = source(spark, rows, str(tmp_path / "in"))
     drain(I.score_stream(src, _score, sink, str(tmp_path / "c")))
     got = spark.read.parquet(sink)
