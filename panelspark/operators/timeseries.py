@@ -122,6 +122,24 @@ def long_series(df: DataFrame, cols: list[str], by: str = "ticker", time: str =
 # --- small solves --------------------------------------------------------------------------------------------------
 
 
+def _solved(fn: Callable, x, width: int) -> list[tuple]:
+    """fn's rows; one row of nulls where a firm's numbers allow no result, so that the other firms have theirs."""
+    try:
+        with np.errstate(all="ignore"):
+            rows = list(fn(x))
+    except (np.linalg.LinAlgError, ZeroDivisionError, OverflowError):
+        rows = [(None,) * width]
+    return [tuple(None if isinstance(v, (float, np.floating)) and not np.isfinite(v) else v for v in r) for r in rows]
+
+
+def _full_rank(m: np.ndarray) -> bool:
+    """Whether no column behind the moments is constant, or a combination of the others."""
+    size = np.sqrt(np.clip(np.diag(m), 0, None))
+    if not np.isfinite(m).all() or (size <= 0).any():
+        return False
+    return bool(np.linalg.eigvalsh(m / np.outer(size, size)).min() > 1e-12)
+
+
 def _per_row(df: DataFrame, keys: list[str], fn: Callable, out: str) -> DataFrame:
     """Apply fn(row) -> iterable of tuples to every aggregated row."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
@@ -129,7 +147,7 @@ def _per_row(df: DataFrame, keys: list[str], fn: Callable, out: str) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(*[getattr(r, k) for k in keys], *t) for r in pdf.itertuples(index=False) for t in fn(r)]
+            rows = [(*[getattr(r, k) for k in keys], *t) for r in pdf.itertuples(index=False) for t in _solved(fn, r, len(names) - len(keys))]
             yield pd.DataFrame(rows, columns=names)
 
     return df.mapInPandas(run, f"{types}, {out}")
@@ -142,7 +160,7 @@ def _per_group(df: DataFrame, keys: list[str], fn: Callable, out: str) -> DataFr
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = tuple(pdf[k].iloc[0] for k in keys)
-        return pd.DataFrame([(*head, *t) for t in fn(pdf)], columns=names)
+        return pd.DataFrame([(*head, *t) for t in _solved(fn, pdf, len(names) - len(keys))], columns=names)
 
     return df.groupBy(*keys).applyInPandas(run, f"{types}, {out}")
 
@@ -196,6 +214,9 @@ def adf(series: DataFrame, maxlag: int = 12, by: str = "ticker") -> DataFrame:
             beta = inv @ m[use, k - 1]
             sse = m[k - 1, k - 1] - beta @ m[use, k - 1]
             at = len(det)
+            if not sse > 1e-20 * m[k - 1, k - 1] or not _full_rank(m[np.ix_(use, use)]):
+                yield trend, None, None, None, None, None
+                continue
             stat = float(beta[at] / np.sqrt(sse / (n - len(use)) * inv[at, at]))
             yield trend, stat, mackinnon_p(stat, trend), p, int(n), mackinnon_5pct(trend, int(n))
 
@@ -208,17 +229,17 @@ def kpss(series: DataFrame, by: str = "ticker") -> DataFrame:
     pos = F.col("pos").cast("double")
     trend = series.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_my"), F.avg(pos).alias("_mt"),
-        (F.covar_pop(pos, F.col("y")) / F.var_pop(pos)).alias("_b"),
+        F.try_divide(F.covar_pop(pos, F.col("y")), F.var_pop(pos)).alias("_b"), F.sum(F.col("y") * F.col("y")).alias("_yy"),
     )
     level = F.col("y") - F.col("_my")
     slope = level - F.coalesce("_b", F.lit(0.0)) * (pos - F.col("_mt"))
     both = F.explode(F.array(F.struct(F.lit("c").alias("spec"), level.alias("e")), F.struct(F.lit("ct").alias("spec"), slope.alias("e"))))
-    e = series.join(trend, keys).select(*keys, "pos", "_n", both.alias("_p")).select(*keys, "pos", "_n", "_p.*")
+    e = series.join(trend, keys).select(*keys, "pos", "_n", "_yy", both.alias("_p")).select(*keys, "pos", "_n", "_yy", "_p.*")
     keys3 = [*keys, "spec"]
     w = _ordered(keys3, "pos")
     partial = e.withColumn("_S", F.sum("e").over(w))
     base = partial.groupBy(*keys3).agg(
-        F.max("_n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("_S") * F.col("_S")).alias("eta")
+        F.max("_n").alias("n"), F.max("_yy").alias("yy"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("_S") * F.col("_S")).alias("eta")
     )
 
     def lagged(rows: DataFrame, upto: Column) -> DataFrame:
@@ -233,15 +254,17 @@ def kpss(series: DataFrame, by: str = "ticker") -> DataFrame:
     at = lambda l: F.coalesce(F.try_element_at("acov", l), F.lit(0.0)) / (F.col("n") / 2)
     s0 = F.col("g0") / F.col("n") + F.aggregate(F.transform(steps, at), F.lit(0.0), lambda a, v: a + v)
     s1 = F.aggregate(F.transform(steps, lambda l: at(l) * l), F.lit(0.0), lambda a, v: a + v)
-    gamma = 1.1447 * F.pow(F.pow(s1 / s0, F.lit(2.0)), F.lit(1.0 / 3))
+    gamma = 1.1447 * F.pow(F.pow(F.try_divide(s1, s0), F.lit(2.0)), F.lit(1.0 / 3))
     chosen = F.least(F.floor(gamma * F.pow("n", F.lit(1.0 / 3))), F.col("n") - 1).cast("int")
     first = first.withColumn("lags", chosen).drop("acov")
     again = e.join(first.select(*keys3, "lags"), keys3).filter("lags > 0")
     out = first.join(lagged(again, F.col("lags")), keys3, "left")
 
     def solve(r):
-        cov = r.acov or {}
-        cov = dict(cov)
+        if pd.isna(r.lags) or not r.g0 > 1e-20 * r.yy:  # a constant, or an exact trend
+            yield (None,) * 4
+            return
+        cov = dict(r.acov or {})
         v = r.g0 + 2 * sum(c * (1 - l / (r.lags + 1)) for l, c in cov.items())
         stat = float(r.eta / r.n**2 / (v / r.n))
         yield stat, kpss_p(stat, r.spec), int(r.lags), int(r.n)
@@ -295,9 +318,11 @@ def johansen(df: DataFrame, a: str, b: str, by: str = "ticker", time: str = "wee
 
     def solve(r):
         n = int(r.n)
-        if n + 2 < minimum:
+        g = unpack(r.g, 7)
+        if n + 2 < minimum or not all(_full_rank(g[np.ix_(i, i)]) for i in ([0, 1, 2, 3, 4], [0, 1, 2, 5, 6])):
+            yield (None,) * 5
             return
-        m = _partial(unpack(r.g, 7), [0, 1, 2], [3, 4, 5, 6])
+        m = _partial(g, [0, 1, 2], [3, 4, 5, 6])
         s00, s01, s11 = m[:2, :2], m[:2, 2:], m[2:, 2:]
         eig = np.linalg.eigvals(np.linalg.inv(s11) @ s01.T @ np.linalg.inv(s00) @ s01)
         lam = np.sort(np.clip(eig.real, 0, 1 - 1e-15))[::-1]
@@ -327,9 +352,10 @@ def var_order(df: DataFrame, a: str, b: str, max_lags: int = MAX_VAR_LAGS, minim
 
     def solve(r):
         n, k = int(r.n), 2 * max_lags + 3
-        if n + max_lags < minimum:
-            return
         m = unpack(r.g, k)
+        if n + max_lags < minimum or not _full_rank(m):
+            yield None, None, None, n + max_lags
+            return
         aic, bic = [], []
         for p in range(max_lags + 1):
             sigma = _partial(m, list(range(1 + 2 * p)), [k - 2, k - 1]) / n
@@ -377,7 +403,13 @@ def var_fit(
         _var_moments(rows, names, by), [by, "p"], solve,
         "coef_a array<double>, coef_b array<double>, is_stable boolean, min_root_modulus double, n_obs long",
     )
-    return out.withColumnRenamed("p", "chosen_lag")
+    return _every_firm(orders, out.withColumnRenamed("p", "chosen_lag"), by)
+
+
+def _every_firm(asked: DataFrame, result: DataFrame, by: str) -> DataFrame:
+    """A firm without a lag order has a row of nulls."""
+    none = asked.filter("chosen_lag IS NULL").select(by, *(F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema.fields if f.name != by))
+    return result.unionByName(none)
 
 
 def _dot(vector: Column, coef: str) -> Column:
@@ -433,7 +465,7 @@ def var_diagnostics(
         yield tuple(float(v) for v in out)
 
     out = _per_row(sums.join(arch, by), [by, "p"], solve, "portmanteau_p double, normality_p double, arch_a_p double, arch_b_p double")
-    return out.withColumnRenamed("p", "chosen_lag")
+    return _every_firm(fit, out.withColumnRenamed("p", "chosen_lag"), by)
 
 
 def _binomial(s: float, k: float, mom: dict, order: int) -> float:
@@ -457,7 +489,8 @@ def granger(
     """HAC-robust Granger tests in both directions on the full, pre-break and post-break samples of every firm."""
     sample = F.explode(F.array(F.lit("Full"), F.when(F.col(post), "Post").otherwise("Pre")))
     rows = df.select(by, time, F.col(bias).cast("double").alias("_b"), F.col(ret).cast("double").alias("_r"), sample.alias("sample"))
-    rows = rows.join(orders.select(by, F.col("chosen_lag").alias("p")), by)
+    # a firm without a lag order is tried with one lag, and the tests below find what is wrong
+    rows = rows.join(orders.select(by, F.coalesce("chosen_lag", F.lit(1).cast("long")).alias("p")), by)
     ways = F.explode(
         F.array(
             F.struct(F.lit("bias2ret").alias("way"), F.col("_r").alias("a"), F.col("_b").alias("b")),
@@ -467,7 +500,7 @@ def granger(
     rows = rows.select(by, time, "sample", "p", ways.alias("_w")).select(by, time, "sample", "p", "_w.*")
     keys = [by, "sample", "way"]
     size = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    rows = rows.withColumn("n_sample", size).filter(F.col("n_sample") >= minimum)
+    rows = rows.withColumn("n_sample", size)
     w = _ordered(keys, time)
     names = [f"{c}{i}" for i in range(1, max_lags + 1) for c in "ab"]
     rows = rows.withColumns({n: F.lag(n[0], int(n[1:])).over(w) for n in names})
@@ -484,9 +517,10 @@ def granger(
 
     def solve(r):
         p, n, k = int(r.p), int(r.n), 2 * max_lags + 2
-        if n <= 2 * p + 5:
-            return
         m, use = unpack(r.g, k), list(range(1 + 2 * int(r.p)))
+        if r.n_sample < minimum or n <= 2 * p + 5 or not _full_rank(m[np.ix_(use, use)]):
+            yield None, None, n
+            return
         inv = np.linalg.pinv(m[np.ix_(use, use)])
         beta = np.zeros(k - 1)
         beta[use] = inv @ m[use, k - 1]
@@ -496,12 +530,15 @@ def granger(
 
     fits = _per_row(sums, group, solve, "beta array<double>, inv array<double>, n_used long")
     u = F.col("a") - _dot(F.array(*x), "beta")
-    scored = rows.join(fits.select(*keys, "beta"), keys).withColumn("_u", u)
+    scored = rows.join(fits.filter("beta IS NOT NULL").select(*keys, "beta"), keys).withColumn("_u", u)
     scores = [f"_s{i}" for i in range(len(x))]
     scored = scored.select(*keys, "p", "pos", *[(F.col("_u") * c).alias(s) for s, c in zip(scores, x)])
     meat = gram(moving_sums(scored, [*keys, "p"], "pos", scores, F.col("p")), keys, scores).select(*keys, "g")
 
     def test(r):
+        if r.beta is None or r.g is None:
+            yield None, None
+            return
         p, k = int(r.p), 2 * max_lags + 1
         use = list(range(1 + 2 * p))
         inv = np.asarray(r.inv).reshape(k, k)[np.ix_(use, use)]
@@ -509,7 +546,7 @@ def granger(
         tested = [2 * i for i in range(1, p + 1)]
         yield _wald(np.asarray(r.beta)[use], inv, m, tested, int(r.n_used))
 
-    out = _per_row(fits.join(meat, keys), group, test, "f_stat double, p_value double")
+    out = _per_row(fits.join(meat, keys, "left"), group, test, "f_stat double, p_value double")
     pick = lambda way, c: F.max(F.when(F.col("way") == way, F.col(c)))
     return out.groupBy(by, "sample", F.col("n_sample").alias("n_obs"), F.col("p").alias("lag")).agg(
         *[pick(way, c).alias(f"{'f_stat' if c == 'f_stat' else 'p_val'}_{way}") for way in ("bias2ret", "ret2bias") for c in ("f_stat", "p_value")]

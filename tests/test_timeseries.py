@@ -273,3 +273,47 @@ def test_tails_match_published_points():
     for trend in ("n", "c", "ct"):
         assert D.mackinnon_p(D.mackinnon_5pct(trend, 100_000), trend) == pytest.approx(0.05, abs=2e-3)
     assert D.kpss_p(0.463, "c") == pytest.approx(0.05) and D.kpss_p(9.0, "c") == pytest.approx(0.01)
+
+
+@pytest.fixture(scope="module")
+def spoiled(spark, system):
+    """A normal firm beside a constant one, one with two equal series, and a short one."""
+    a = system["A"]
+    flat, short = np.full(260, 3.0), {c: x[:12] for c, x in a.items()}
+    return make(spark, {"A": a, "K": {"bias": flat, "ret": flat + 1}, "E": {"bias": a["bias"], "ret": a["bias"]}, "S": short})
+
+
+def test_one_bad_firm_leaves_the_others_alone(spark, frame, spoiled):
+    from pyspark.sql import functions as F
+
+    def rows(df, cols, only=None):
+        return {tuple(r[c] for c in ("ticker", *cols)): r.asDict() for r in df.filter(F.col("ticker") == only if only else F.lit(True)).collect()}
+
+    series, clean = (T.long_series(d, ["bias", "ret"]) for d in (spoiled, frame))
+    for test, cols in ((T.adf, ("variable", "spec")), (T.kpss, ("variable", "spec"))):
+        got, want = rows(test(series), cols), rows(test(clean), cols, "A")
+        assert all(got[k] == pytest.approx(v) for k, v in want.items())
+        assert all(r["stat"] is None for k, r in got.items() if k[0] == "K") and any(k[0] == "K" for k in got)
+    verdicts = rows(T.stationarity_verdict(T.adf(series), T.kpss(series)), ("variable",))
+    assert {r["conclusion"] for k, r in verdicts.items() if k[0] == "K"} == {"Unknown"}
+    assert all(r["integration_order"] for r in T.integration_order(T.stationarity_verdict(T.adf(clean), T.kpss(clean))).collect())
+    got = rows(T.johansen(spoiled, "bias", "ret"), ())
+    assert got[("A",)] == pytest.approx(rows(T.johansen(frame, "bias", "ret"), ())[("A",)])
+    assert all(got[(t,)]["trace_r0"] is None for t in "KES")
+    orders = T.var_order(spoiled, "bias", "ret")
+    by_firm = rows(orders, ())
+    assert by_firm[("A",)] == rows(T.var_order(frame, "bias", "ret"), ())[("A",)]
+    assert all(by_firm[(t,)]["chosen_lag"] is None for t in "KE")
+    fit = T.var_fit(spoiled, orders, "bias", "ret")
+    want = T.var_fit(frame, T.var_order(frame, "bias", "ret"), "bias", "ret")
+    assert rows(fit, ())[("A",)] == rows(want, ())[("A",)] and rows(fit, ())[("K",)]["is_stable"] is None
+    checks, wanted = rows(T.var_diagnostics(spoiled, fit, "bias", "ret"), ()), rows(T.var_diagnostics(frame, want, "bias", "ret"), ())
+    assert checks[("A",)] == pytest.approx(wanted[("A",)]) and checks[("E",)]["portmanteau_p"] is None
+    post = F.col("week_monday") > F.lit(START + 130 * WEEK)
+    g = T.granger(spoiled.withColumn("is_post_break", post), "bias", "ret", orders)
+    h = T.granger(frame.withColumn("is_post_break", post), "bias", "ret", T.var_order(frame, "bias", "ret"))
+    got, want = rows(g, ("sample",)), rows(h, ("sample",), "A")
+    assert len(want) == 3 and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert all(r["p_val_bias2ret"] is None and r["f_stat_ret2bias"] is None for k, r in got.items() if k[0] in "KES")
+    table = {r["ticker"]: r for r in T.granger_table(g).collect()}
+    assert set(table) == set("AKE") | ({"S"} if "S" in table else set())
