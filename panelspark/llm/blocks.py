@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_BYTES = 8 << 20
+#: Rows that Python workers are handed at a time: a row is a whole text, so the default of 10,000 is too many.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands BATCH_ROWS of them to Python at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def size_class(total: int, each: int) -> int:

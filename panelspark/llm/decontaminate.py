@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scale import checkpointed
 from . import arrays as A
+from .blocks import in_small_batches
 
 WINDOW = 10
 #: Postings of one index row: a block of documents is closed when it holds so many words.
@@ -67,7 +68,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([name, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return checkpointed(rows.mapInArrow(invert, ", ".join(f"{n} {t}" for n, t in _INDEX)))
+    return checkpointed(in_small_batches(rows).mapInArrow(invert, ", ".join(f"{n} {t}" for n, t in _INDEX)))
 
 
 class Windows:

@@ -11,6 +11,8 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .blocks import in_small_batches
+
 # Elements of the HTML standard by the part they play, and the words by which sites name their furniture.
 RAW = "script style noscript template textarea title svg math iframe object select option button canvas audio video"
 BLOCKS = (
@@ -40,8 +42,9 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+")
 
-#: Weights where no labelled page tells: a word, a tag, and a tag that no labelled region has.
-WORD, TAG, NEVER = 1.0, -2.0, -100.0
+#: Weights where no labelled page tells: a word, a tag, a tag of running text, and a tag that no labelled region has.
+WORD, TAG, TEXT_TAG, NEVER = 1.0, -2.0, 0.0, -100.0
+TEXT_TAGS = frozenset("p br h1 h2 h3 h4 h5 h6 b i em strong span blockquote pre code sub sup q cite abbr u s small".split())
 
 
 def is_furniture(tag: str, attrs: str, inside: bool) -> bool:
@@ -140,7 +143,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
         rows = [(name, inside, n) for (name, inside), n in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.bool_(), pa.int64()))], names=["name", "inside", "n"])
 
-    counts = pages.select(F.col(html_col).alias("html")).mapInArrow(count, "name string, inside boolean, n long")
+    counts = in_small_batches(pages).select(F.col(html_col).alias("html")).mapInArrow(count, "name string, inside boolean, n long")
     got = {(r["name"], r["inside"]): r["n"] for r in counts.groupBy("name", "inside").agg(F.sum("n").alias("n")).collect()}
     all_in, all_out = (sum(n for (_, i), n in got.items() if i == inside) for inside in (True, False))
     if not all_in or not all_out:
@@ -157,7 +160,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the best-scoring contiguous region, joined by a line feed each."""
     if not page:
         return ""
-    word, tag_weight = weights.get("word", WORD), TAG
+    word = weights.get("word", WORD)
     blocks: list[tuple[float, str]] = []  # (score of the tags before it and of its words, text)
     text: list[str] = []
     before = 0.0
@@ -182,7 +185,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             text.append(" ")
         # the tags of furniture, which is left out, and those within an article or main element don't part a region
         if not skipped and not content:
-            before += weights.get(_named(kind), tag_weight)
+            before += weights.get(_named(kind), TEXT_TAG if name in TEXT_TAGS else TAG)
     close()
     # linear scan: the running sum starts anew where it has fallen below zero
     best, region, total, start = 0.0, (0, 0), 0.0, 0
@@ -205,11 +208,12 @@ def extract_text(pages: DataFrame, weights: dict[str, float], html_col: str = "h
     """
 
     @F.pandas_udf("string")
-    def extract(pages):
+    def extracted(pages):
         import pandas as pd
 
         return pd.Series([main_text(p, weights) for p in pages], dtype=object)
 
+    extract = extracted.asNondeterministic()  # else the count of characters runs it again
     names = [c for c in pages.columns if c not in (text_col, "n_chars")]
-    out = pages.select(*names, extract(F.col(html_col)).alias(text_col))
+    out = in_small_batches(pages).select(*names, extract(F.col(html_col)).alias(text_col))
     return out.withColumn("n_chars", F.length(text_col).cast("long"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .blocks import in_small_batches
+
 DOCS_PER_LANGUAGE = 300
 PASSAGE_BYTES = 1024
 DICTIONARY_BYTES = 65_536
@@ -72,7 +74,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     sample: dict[str, list] = {}
     used: dict[str, int] = {}
-    for row in sorted(rows.mapInArrow(passages, "lang string, id string, lines array<string>").collect()):
+    for row in sorted(in_small_batches(rows).mapInArrow(passages, "lang string, id string, lines array<string>").collect()):
         sample.setdefault(row["lang"], []).append(row["lines"])
         for line in set(row["lines"]):
             used[line] = used.get(line, 0) + 1
@@ -128,12 +130,13 @@ def language_id(
     fixed = tuple(sorted(dictionaries.items()))
 
     @F.pandas_udf("lang_pred string, score double")
-    def guess(texts):
+    def guessed(texts):
         import pandas as pd
 
         compressors = _compressors(fixed)
         return pd.DataFrame([classify(t, compressors) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score", "accepted").withColumn("_guess", guess(F.col(text_col)))
-    out = out.withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+    guess = guessed.asNondeterministic()  # else each use of its fields, and a filter on them, runs it again
+    rows = in_small_batches(docs.drop("lang_pred", "score", "accepted", "__guess")).withColumn("__guess", guess(F.col(text_col)))
+    out = rows.withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")
     return out.withColumn("accepted", (F.col("lang_pred") != UNDECIDED) & (F.col("score") >= min_margin))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scale import checkpointed
 from . import arrays as A
+from .blocks import BLOCK_BYTES, in_small_batches, size_class
+from .repeats import TOLD, is_known, seen_twice, told
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
@@ -85,11 +87,11 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_shingles": n, "key": pa.array(keys, pa.binary()), "bands": lists})
 
-    return docs.mapInArrow(describe, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return in_small_batches(docs).mapInArrow(describe, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (centre, member) pairs whose whole sets are similar enough.
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(centre, member, both, linked): the whole sets of each pair, by the size of what both have.
 
     A centre's set meets its members in parts of about STAR_MEMBERS, so a centre of a large group fills no task.
     """
@@ -106,21 +108,43 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for name, m in zip(A.column(member, "member").to_pylist(), A.parts(member, "own", np.uint64)):
                 at = np.minimum(np.searchsorted(c, m), len(c) - 1)
                 both = int(np.count_nonzero(c[at] == m))
-                if 100 * both >= percent * (len(c) + len(m) - both):
-                    out.append(name)
-        n = len(out)
+                out.append((name, both, 100 * both >= percent * (len(c) + len(m) - both)))
         head = centre.column("centre")[0].as_py() if centre.num_rows else None
-        return pa.table({"centre": pa.array([head] * n, pa.int64()), "member": pa.array(out, pa.int64())})
+        names, both, linked = zip(*out) if out else ((), (), ())
+        return pa.table({"centre": pa.array([head] * len(out), pa.int64()), "member": pa.array(names, pa.int64()), "both": pa.array(both, pa.int64()), "linked": pa.array(linked, pa.bool_())})
 
     around = members.select(F.col("centre").alias("of"), F.col("part").alias("slice"), "member", F.col("shingles").alias("own"))
     return (
         centres.select("centre", "part", "shingles")
         .groupBy("centre", "part")
         .cogroup(around.groupBy("of", "slice"))
-        .applyInArrow(compare, "centre long, member long")
+        .applyInArrow(compare, "centre long, member long, both long, linked boolean")
     )
 
 
+def _in_common(sets: DataFrame) -> DataFrame:
+    """(rep, common, texts): how many of a set's shingles some other set has too; the sets are those of all candidates.
+
+    No intersection is larger. A heavily edited copy has many shingles of its own, so this rules it out as a partner of
+    every member of its group at once, where comparing it with each of them would take as many checks as there are.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("n")).first()["n"]
+    blocks = size_class(total, BLOCK_BYTES)
+    whole = sets.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("block"), "rep", "shingles").groupBy("block")
+
+    def tell(table: pa.Table) -> pa.Table:
+        return told(table.column("block")[0].as_py(), A.joined(A.parts(table, "shingles", np.uint64), np.uint64), blocks)
+
+    def count(table: pa.Table, shared: pa.Table) -> pa.Table:
+        own = A.parts(table, "shingles", np.uint64)
+        known = np.concatenate([[0], np.cumsum(is_known(shared, A.joined(own, np.uint64)))])
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int64)
+        return pa.table({"rep": table.column("rep"), "common": pa.array(np.diff(known[ends]), pa.int64())})
+
+    shared = whole.applyInArrow(tell, TOLD).groupBy("bucket").applyInArrow(seen_twice, "block long, hashes binary")
+    return whole.cogroup(shared.groupBy("block")).applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.max("common").alias("common"), F.count(F.lit(1)).alias("texts"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of (a, b): the smallest node that can be reached, by alternating large and small stars.
 
@@ -148,6 +172,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.filter("linked").select(F.col("centre").alias("a"), F.col("member").alias("b"))
+
+
 def _stamp(edges: DataFrame) -> tuple:
     """Tells two sets of edges apart."""
     h = F.xxhash64("u", "v")
@@ -167,9 +195,11 @@ def near_duplicates(
     is named by its smallest id, whose document is kept. Texts with equal sets are one class from the start. Candidates are
     classes that share one of 42 bands of six bins: at a similarity of 0.85 all of them fail with a chance of 2e-9.
 
-    In a bucket candidates form a star around one member. Members that end up in another component than the centre get
-    further centres, four times as many each round, until a bucket is one component or every member has been a centre:
-    so no candidate between different components goes unchecked, and a group of n copies costs about n checks.
+    In a bucket candidates form a star around its smallest member. Members that end up in another component than others
+    get further centres, sixteen times as many each round, until a bucket is one component or every member has been a
+    centre: so no candidate between different components goes unchecked, and a group of n copies costs about n checks.
+    Pairs are passed over only where they can't be linked: two members have at most in common what the first centre has of
+    either, and of the rest what any other candidate has as well.
 
     Lower-cased A-Z; words are runs of other characters than space. Null and blank texts have no shingles and are linked with
     nothing. Rows that share an id are linked with each other. Rows without an id get no component and are kept. An empty
@@ -188,35 +218,48 @@ def near_duplicates(
     shared = features.filter("doc_id IS NOT NULL AND key IS NOT NULL").join(classes.select("key", "rep"), "key").filter("doc_id <> rep").select("doc_id", "rep")
     twice = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
     edges = checkpointed(shared.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    labels = checkpointed(components(edges))
+    labels = components(edges)
+    # the first star: every member with the smallest of its bucket
+    hub = members.groupBy("bucket").agg(F.min("rep").alias("hub"))
+    members = checkpointed(members.join(hub, "bucket").join(_in_common(sets), "rep"))
+    first = checkpointed(_compared(members.filter("rep <> hub").select(F.col("hub").alias("centre"), F.col("rep").alias("member")).distinct(), sets, percent))
+    edges = checkpointed(edges.union(_links(first)))
+    labels = components(edges)
+    shared = first.groupBy(F.col("centre").alias("hub"), F.col("member").alias("rep")).agg(F.max("both").alias("both"))
+    # what two members have in common lies in the hub's set, or outside of it among what others have as well
+    extra = F.when(F.col("texts") > 1, F.col("common")).otherwise(F.col("common") - F.col("both"))
+    members = members.filter("rep <> hub").join(shared, ["hub", "rep"]).select("bucket", "rep", "n", "both", extra.alias("extra"))
+    members = checkpointed(members)
     spent = None
-    level = 0
+    level = 1
     while True:
         known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         if spent is not None:
             known = known.join(spent, ["bucket", "rep"], "left_anti")
         known = checkpointed(known)
-        bucket = known.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.min_by("rep", F.xxhash64("rep", F.lit(level)) if level else F.col("rep")).alias("first")
-        ).filter("lo < hi").select("bucket", "c", "first")
+        bucket = (
+            known.groupBy("bucket")
+            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.min_by("rep", F.xxhash64("rep", F.lit(level))).alias("first"))
+            .filter("lo < hi")
+            .select("bucket", "c", "first")
+        )
         open_ = checkpointed(known.join(bucket, "bucket"))
         if open_.isEmpty():
             break
-        # 4 ** level centres of a bucket are expected, and one is certain
-        share = F.pmod(F.xxhash64("rep", F.lit(level + 1)), F.lit(1 << 20)) < F.lit(1 << 20) * (4**level - 1) / F.col("c")
+        # 16 ** level centres of a bucket are expected, and one is certain
+        share = F.pmod(F.xxhash64("rep", F.lit(-level)), F.lit(1 << 20)) < F.lit(float(1 << 20) * 16**level) / F.col("c")
+        centres = open_.filter((F.col("rep") == F.col("first")) | share)
         centres = checkpointed(
-            open_.filter((F.col("rep") == F.col("first")) | share).select("bucket", F.col("rep").alias("centre"), F.col("comp").alias("of"), F.col("n").alias("m"))
+            centres.select("bucket", *(F.col(a).alias(b) for a, b in (("rep", "centre"), ("comp", "of"), ("n", "m"), ("both", "with_hub"), ("extra", "beyond"))))
         )
-        small, large = F.least("n", "m"), F.greatest("n", "m")
+        most = F.least("both", "with_hub") + F.least("extra", "beyond")
+        possible = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
         pairs = checkpointed(
-            open_.join(centres, "bucket")
-            .filter((F.col("comp") != F.col("of")) & (100 * small >= percent * large))
-            .select("centre", F.col("rep").alias("member"))
-            .distinct()
+            open_.join(centres, "bucket").filter((F.col("comp") != F.col("of")) & possible).select("centre", F.col("rep").alias("member")).distinct()
         )
-        links = checkpointed(_linked(pairs, sets, percent))
-        edges = checkpointed(edges.union(links.select(F.col("centre").alias("a"), F.col("member").alias("b"))))
-        labels = checkpointed(components(edges))
+        if not pairs.isEmpty():
+            edges = checkpointed(edges.union(_links(_compared(pairs, sets, percent))))
+            labels = components(edges)
         used = centres.select("bucket", F.col("centre").alias("rep"))
         spent = checkpointed(used if spent is None else spent.union(used))
         level += 1

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..scale import checkpointed
+from .blocks import in_small_batches
 from .token_counts import model_path
 
 TOKENIZER = "byte_bpe_50k"
@@ -68,7 +69,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, most: int = SEQUEN
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(rows).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scale import checkpointed
 from . import arrays as A
+from .blocks import in_small_batches
 from .decontaminate import tokens
 
 # The kinds in the order that breaks ties, and their patterns.
@@ -127,7 +128,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
             )
 
-    return docs.mapInArrow(scan, _FOUND)
+    return in_small_batches(docs).mapInArrow(scan, _FOUND)
 
 
 def _document_frequency(docs: DataFrame) -> DataFrame:
@@ -209,11 +210,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__key"))
 
     @F.pandas_udf("string")
-    def clean(texts, spans):
+    def cleaned(texts, spans):
         import pandas as pd
 
-        return pd.Series([redact(t, s) for t, s in zip(texts, spans)])
+        return pd.Series([redact(t, s) for t, s in zip(texts, spans)], dtype=object)
 
+    clean = cleaned.asNondeterministic()  # else a use of the column runs it again
     kept = docs.join(spans, same, "left")
     changed = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean(text_col, "__spans"))
     return kept.withColumn(text_col, changed).select(*docs.columns)

@@ -128,14 +128,47 @@ def _by_bucket(trigger: np.ndarray, buckets: int):
     return order, zip(names.tolist(), low.tolist(), [*low[1:].tolist(), len(order)])
 
 
+TOLD = "bucket long, block long, hashes binary, twice binary"
+_TOLD = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())])
+_SHARED = pa.schema([("block", pa.int64()), ("hashes", pa.binary())])
+
+
+def told(block: int, hashes: np.ndarray, buckets: int) -> pa.Table:
+    """The distinct hashes of a block by bucket, each with whether the block has it twice."""
+    values, counts = np.unique(hashes, return_counts=True)
+    rows = [
+        (b, block, values[lo:hi].tobytes(), np.packbits(counts[lo:hi] > 1).tobytes())
+        for b, lo, hi in _by_bucket(values, buckets)[1]
+    ]
+    return pa.table(dict(zip(_TOLD.names, map(list, zip(*rows)) if rows else ([],) * 4)), _TOLD)
+
+
+def seen_twice(table: pa.Table) -> pa.Table:
+    """For each block those of its hashes that the corpus has twice."""
+    values = A.parts(table, "hashes", np.uint64)
+    twice = [np.unpackbits(t, count=len(v)) for t, v in zip(A.parts(table, "twice", np.uint8), values)]
+    merged, inverse = np.unique(np.concatenate(values), return_inverse=True)
+    keep = (np.bincount(inverse, np.concatenate(twice) + np.ones(len(inverse)), len(merged)) > 1)[inverse]
+    out, at = [], 0
+    for block, v in zip(A.column(table, "block").to_pylist(), values):
+        hit = v[keep[at : at + len(v)]]
+        at += len(v)
+        if len(hit):
+            out.append((block, hit.tobytes()))
+    return pa.table({"block": [x[0] for x in out], "hashes": [x[1] for x in out]}, _SHARED)
+
+
+def is_known(shared: pa.Table, own: np.ndarray) -> np.ndarray:
+    """Whether each hash is among those that came back to the block."""
+    known = np.sort(A.joined(A.parts(shared, "hashes", np.uint64), np.uint64))
+    if len(known) == 0:
+        return np.zeros(len(own), np.bool_)
+    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+
+
 def _chosen(p: Phrases, shared: pa.Table) -> np.ndarray:
     """The distinct phrases whose trigger the corpus has twice."""
-    known = np.sort(A.joined(A.parts(shared, "triggers", np.uint64), np.uint64))
-    if len(known) == 0 or len(p.seen) == 0:
-        return np.zeros(0, np.int64)
-    own = p.trigger[p.seen]
-    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    return np.flatnonzero(known[at] == own)
+    return np.flatnonzero(is_known(shared, p.trigger[p.seen]))
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, finish: Callable, schema: str) -> DataFrame:
@@ -146,30 +179,8 @@ def marked(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, finish:
     dealt = in_blocks(docs, id_col, text_col, blocks)
 
     def triggers(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
         p = _load(table, scheme)[3]
-        values, counts = np.unique(p.trigger, return_counts=True)
-        rows = [
-            (b, block, values[lo:hi].tobytes(), np.packbits(counts[lo:hi] > 1).tobytes())
-            for b, lo, hi in _by_bucket(values, buckets)[1]
-        ]
-        return pa.table(dict(zip(("bucket", "block", "triggers", "twice"), map(list, zip(*rows)) if rows else ([],) * 4)), names_schema)
-
-    names_schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("triggers", pa.binary()), ("twice", pa.binary())])
-
-    def share(table: pa.Table) -> pa.Table:
-        blocks = A.column(table, "block").to_numpy()
-        values = A.parts(table, "triggers", np.uint64)
-        twice = [np.unpackbits(t, count=len(v)) for t, v in zip(A.parts(table, "twice", np.uint8), values)]
-        merged, inverse = np.unique(np.concatenate(values), return_inverse=True)
-        shared = np.bincount(inverse, np.concatenate(twice) + np.ones(len(inverse)), len(merged)) > 1
-        keep, out, at = shared[inverse], [], 0
-        for block, v in zip(blocks.tolist(), values):
-            hit = v[keep[at : at + len(v)]]
-            at += len(v)
-            if len(hit):
-                out.append((block, hit.tobytes()))
-        return pa.table({"block": [x[0] for x in out], "triggers": [x[1] for x in out]}, pa.schema([("block", pa.int64()), ("triggers", pa.binary())]))
+        return told(table.column("block")[0].as_py(), p.trigger, buckets)
 
     fields = ("entry", "windows", "doc", "place", "sizes", "content")
     phrase_schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((f, pa.binary()) for f in fields)])
@@ -237,11 +248,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, finish:
         return finish(table, raw, borders, p.borders, covered)
 
     whole = dealt.groupBy("block")
-    shared = (
-        whole.applyInArrow(triggers, "bucket long, block long, triggers binary, twice binary")
-        .groupBy("bucket")
-        .applyInArrow(share, "block long, triggers binary")
-    )
+    shared = whole.applyInArrow(triggers, TOLD).groupBy("bucket").applyInArrow(seen_twice, "block long, hashes binary")
     sent = whole.cogroup(shared.groupBy("block")).applyInArrow(
         send, "bucket long, block long, " + ", ".join(f"{f} binary" for f in fields)
     )

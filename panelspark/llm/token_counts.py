@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
+from .blocks import in_small_batches
 
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
@@ -132,4 +133,4 @@ def token_counts(
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": np.diff(borders), "n_tokens": n})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long")
+    return in_small_batches(rows).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long")
