@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scale import checkpointed
 from . import arrays as A
-from .blocks import BLOCK_BYTES, in_small_batches, size_class
-from .repeats import TOLD, is_known, seen_twice, told
+from .blocks import in_small_batches
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
@@ -91,7 +90,10 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(centre, member, both, linked): the whole sets of each pair, by the size of what both have.
+    """(centre, member, n, both, linked, extra, missing): the whole sets of each pair.
+
+    ``n`` is the member's size and ``both`` the intersection's; ``extra`` and ``missing`` are masks of what the member has
+    beyond the centre and of what it has not.
 
     A centre's set meets its members in parts of about STAR_MEMBERS, so a centre of a large group fills no task.
     """
@@ -102,47 +104,57 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     )
 
+    masks = pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), masks, masks)
+    schema = pa.schema(list(zip(("centre", "member", "n", "both", "linked", "extra", "missing"), kinds)))
+
     def compare(centre: pa.Table, member: pa.Table) -> pa.Table:
         out = []
+        head = centre.column("centre")[0].as_py() if centre.num_rows else None
         for c in A.parts(centre, "shingles", np.uint64):
             for name, m in zip(A.column(member, "member").to_pylist(), A.parts(member, "own", np.uint64)):
                 at = np.minimum(np.searchsorted(c, m), len(c) - 1)
-                both = int(np.count_nonzero(c[at] == m))
-                out.append((name, both, 100 * both >= percent * (len(c) + len(m) - both)))
-        head = centre.column("centre")[0].as_py() if centre.num_rows else None
-        names, both, linked = zip(*out) if out else ((), (), ())
-        return pa.table({"centre": pa.array([head] * len(out), pa.int64()), "member": pa.array(names, pa.int64()), "both": pa.array(both, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+                found = c[at] == m
+                both = int(np.count_nonzero(found))
+                has = np.zeros(len(c), np.bool_)
+                has[at[found]] = True
+                linked = 100 * both >= percent * (len(c) + len(m) - both)
+                out.append((head, name, len(m), both, linked, _mask(m[~found]), _mask(c[~has])))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else ([],) * 7, schema.types)], schema=schema)
 
     around = members.select(F.col("centre").alias("of"), F.col("part").alias("slice"), "member", F.col("shingles").alias("own"))
     return (
         centres.select("centre", "part", "shingles")
         .groupBy("centre", "part")
         .cogroup(around.groupBy("of", "slice"))
-        .applyInArrow(compare, "centre long, member long, both long, linked boolean")
+        .applyInArrow(compare, "centre long, member long, n long, both long, linked boolean, extra array<long>, missing array<long>")
     )
 
 
-def _in_common(sets: DataFrame) -> DataFrame:
-    """(rep, common, texts): how many of a set's shingles some other set has too; the sets are those of all candidates.
+def _mask(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, one set for each token."""
+    out = np.zeros(4, np.int64)
+    bit = tokens >> np.uint64(3) & np.uint64(255)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (bit & np.uint64(63))).view(np.int64))
+    return out
 
-    No intersection is larger. A heavily edited copy has many shingles of its own, so this rules it out as a partner of
-    every member of its group at once, where comparing it with each of them would take as many checks as there are.
-    """
-    total = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("n")).first()["n"]
-    blocks = size_class(total, BLOCK_BYTES)
-    whole = sets.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("block"), "rep", "shingles").groupBy("block")
 
-    def tell(table: pa.Table) -> pa.Table:
-        return told(table.column("block")[0].as_py(), A.joined(A.parts(table, "shingles", np.uint64), np.uint64), blocks)
+def _only_in(a: str, b: str) -> Column:
+    """Bits that are in mask ``a`` alone: at least so many tokens are in the first set alone."""
+    bits = (F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(4))
+    return reduce(lambda x, y: x + y, bits).cast("long")
 
-    def count(table: pa.Table, shared: pa.Table) -> pa.Table:
-        own = A.parts(table, "shingles", np.uint64)
-        known = np.concatenate([[0], np.cumsum(is_known(shared, A.joined(own, np.uint64)))])
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int64)
-        return pa.table({"rep": table.column("rep"), "common": pa.array(np.diff(known[ends]), pa.int64())})
 
-    shared = whole.applyInArrow(tell, TOLD).groupBy("bucket").applyInArrow(seen_twice, "block long, hashes binary")
-    return whole.cogroup(shared.groupBy("block")).applyInArrow(count, "rep long, common long").groupBy("rep").agg(F.max("common").alias("common"), F.count(F.lit(1)).alias("texts"))
+def _at_most(x: str, y: str) -> Column:
+    """A bound on what two members of a star have in common, from what each has of the hub, beyond it and not of it.
+
+    Of the hub's set both have at most what one has and the other's missing ones leave; beyond it at most what one has and
+    the other may have.
+    """
+    name = lambda who, part: f"{who}.{part}"
+    within = F.least(*(F.col(name(p, "both")) - _only_in(name(q, "missing"), name(p, "missing")) for p, q in ((x, y), (y, x))))
+    beyond = F.least(*(F.col(name(p, "n")) - F.col(name(p, "both")) - _only_in(name(p, "extra"), name(q, "extra")) for p, q in ((x, y), (y, x))))
+    return within + beyond
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,11 +207,10 @@ def near_duplicates(
     is named by its smallest id, whose document is kept. Texts with equal sets are one class from the start. Candidates are
     classes that share one of 42 bands of six bins: at a similarity of 0.85 all of them fail with a chance of 2e-9.
 
-    In a bucket candidates form a star around its smallest member. Members that end up in another component than others
-    get further centres, sixteen times as many each round, until a bucket is one component or every member has been a
-    centre: so no candidate between different components goes unchecked, and a group of n copies costs about n checks.
-    Pairs are passed over only where they can't be linked: two members have at most in common what the first centre has of
-    either, and of the rest what any other candidate has as well.
+    In a bucket candidates form a star: each is compared with the smallest. Members that are then outside the component of
+    their hub are compared with all others of its star, unless a bound rules a link out. The bound is nearly exact: what a
+    member lacks of the hub and has beyond it are kept as bit masks, which tell what another member can't share. So no
+    candidate between different components goes unchecked, and a group of n copies costs about n checks.
 
     Lower-cased A-Z; words are runs of other characters than space. Null and blank texts have no shingles and are linked with
     nothing. Rows that share an id are linked with each other. Rows without an id get no component and are kept. An empty
@@ -219,50 +230,28 @@ def near_duplicates(
     twice = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
     edges = checkpointed(shared.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = components(edges)
-    # the first star: every member with the smallest of its bucket
+    # the star: every member with the smallest of its bucket
     hub = members.groupBy("bucket").agg(F.min("rep").alias("hub"))
-    members = checkpointed(members.join(hub, "bucket").join(_in_common(sets), "rep"))
-    first = checkpointed(_compared(members.filter("rep <> hub").select(F.col("hub").alias("centre"), F.col("rep").alias("member")).distinct(), sets, percent))
+    star = members.join(hub, "bucket").filter("rep <> hub").select(F.col("hub").alias("centre"), F.col("rep").alias("member")).distinct()
+    first = checkpointed(_compared(star, sets, percent))
     edges = checkpointed(edges.union(_links(first)))
     labels = components(edges)
-    shared = first.groupBy(F.col("centre").alias("hub"), F.col("member").alias("rep")).agg(F.max("both").alias("both"))
-    # what two members have in common lies in the hub's set, or outside of it among what others have as well
-    extra = F.when(F.col("texts") > 1, F.col("common")).otherwise(F.col("common") - F.col("both"))
-    members = members.filter("rep <> hub").join(shared, ["hub", "rep"]).select("bucket", "rep", "n", "both", extra.alias("extra"))
-    members = checkpointed(members)
-    spent = None
-    level = 1
-    while True:
-        known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        if spent is not None:
-            known = known.join(spent, ["bucket", "rep"], "left_anti")
-        known = checkpointed(known)
-        bucket = (
-            known.groupBy("bucket")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.min_by("rep", F.xxhash64("rep", F.lit(level))).alias("first"))
-            .filter("lo < hi")
-            .select("bucket", "c", "first")
-        )
-        open_ = checkpointed(known.join(bucket, "bucket"))
-        if open_.isEmpty():
-            break
-        # 16 ** level centres of a bucket are expected, and one is certain
-        share = F.pmod(F.xxhash64("rep", F.lit(-level)), F.lit(1 << 20)) < F.lit(float(1 << 20) * 16**level) / F.col("c")
-        centres = open_.filter((F.col("rep") == F.col("first")) | share)
-        centres = checkpointed(
-            centres.select("bucket", *(F.col(a).alias(b) for a, b in (("rep", "centre"), ("comp", "of"), ("n", "m"), ("both", "with_hub"), ("extra", "beyond"))))
-        )
-        most = F.least("both", "with_hub") + F.least("extra", "beyond")
-        possible = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
-        pairs = checkpointed(
-            open_.join(centres, "bucket").filter((F.col("comp") != F.col("of")) & possible).select("centre", F.col("rep").alias("member")).distinct()
-        )
-        if not pairs.isEmpty():
-            edges = checkpointed(edges.union(_links(_compared(pairs, sets, percent))))
-            labels = components(edges)
-        used = centres.select("bucket", F.col("centre").alias("rep"))
-        spent = checkpointed(used if spent is None else spent.union(used))
-        level += 1
+    # members that the star left outside the hub's component meet the others of the star, where the bound lets them
+    def comp(df: DataFrame, key: str, name: str) -> DataFrame:
+        known = labels.select(F.col("node").alias(key), F.col("comp").alias(name))
+        return df.join(known, key, "left").withColumn(name, F.coalesce(name, key))
+
+    placed = checkpointed(comp(comp(first, "member", "comp"), "centre", "hub_comp"))
+    outside = placed.filter("comp <> hub_comp")
+    some = placed.join(outside.select("centre").distinct(), "centre", "left_semi")
+    x, y = outside.alias("x"), some.alias("y")
+    new = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.hub_comp")) | (F.col("x.member") < F.col("y.member")))
+    possible = (100 + percent) * _at_most("x", "y") >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.centre") == F.col("y.centre")) & new & possible)
+    pairs = checkpointed(pairs.select(F.col("x.member").alias("centre"), F.col("y.member").alias("member")).distinct())
+    if not pairs.isEmpty():
+        edges = checkpointed(edges.union(_links(checkpointed(_compared(pairs, sets, percent)))))
+        labels = components(edges)
     named = classes.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("key", F.coalesce("comp", "rep").alias("comp"))
     out = features.select("doc_id", "n_shingles", "key").join(named, "key", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import oracles
 from .decontaminate import decontaminate
 from .html_text import extract_text, learn_weights
 from .language_id import held_out, language_id, learn
@@ -95,5 +96,12 @@ QUERIES = {
     )
 }
 
-#: SQL for a query that SQL can state.
-SQL: dict[str, str] = {}
+#: SQL for the queries that SQL can state: not tokenizers, packing into any numbers, learned weights and dictionaries, or
+#: the places of regular-expression matches.
+SQL: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op3_suffix_array_dedup": oracles.OP3,
+    "op5_minhash_dedup": oracles.OP5,
+    "op6_top_k": oracles.OP6,
+    "op8_decontaminate": oracles.OP8,
+}
