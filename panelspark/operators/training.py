@@ -8,7 +8,6 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
 
 from ..scale import rank_in_group, sampling_hash, unit_hash
 from ..session import PSEUDO_CONFIDENCE
@@ -16,10 +15,6 @@ from .dedup import merge_sources
 from .filters import clean_labels
 from .relevance import argmax_label, label_filter
 
-# ranks up to this size are cut inside every input partition before the shuffle, so a hot group stays small
-_PARTIAL_LIMIT = 900
-_TOP_LIMIT = 100_000
-
 
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Uniform sample of n rows, the same for the same seed."""
@@ -27,10 +22,7 @@ def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataF
 
 
 def _first_n(df: DataFrame, n: int, key: Column, id_col: str) -> DataFrame:
-    """The n rows with the smallest key."""
-    if n <= _TOP_LIMIT:
-        return df.orderBy(key, id_col).limit(n)
-    # a large sample would pass through one task as a top-n; positions keep it spread out
+    """The n rows with the smallest key; positions keep a large sample spread out."""
     ranked = rank_in_group(df.withColumn("_h", key), [], [F.col("_h"), F.col(id_col)], "_rn")
     return ranked.filter(F.col("_rn") <= n).drop("_rn", "_h")
 
@@ -40,9 +32,6 @@ def shuffle(df: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
 
 
 def _head_per_group(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
-    if n <= _PARTIAL_LIMIT:
-        rn = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        return df.withColumn("_rn", rn).filter(F.col("_rn") <= n).drop("_rn")
     return rank_in_group(df, keys, order, "_rn").filter(F.col("_rn") <= n).drop("_rn")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text
 from ..operators import dedup, evaluation, filters, matrices, relevance, training
+from ..scale import rank_in_group
 from ..sources import sinks, tables
 from ..views import Tables
 from .registry import query
@@ -901,27 +902,56 @@ def _(t: Tables):
 # --- sampling (ordered by a hash that SQL engines do not share: rows and invariants are checked) --------------------
 
 
-@query("uniform_sample")
+_KEY = "sha256(concat(CAST(id AS STRING), ':42'))"
+
+
+def _first(columns: str, source: str, n: str, within: str = "") -> str:
+    """SQL of the n rows with the smallest keys, within each group."""
+    over = f"{f'PARTITION BY {within} ' if within else ''}ORDER BY {_KEY}, id"
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER ({over}) AS rn FROM {source}) AS ranked WHERE rn <= {n}"
+
+
+@query("uniform_sample", _first("id, company_id", "{articles}", "100"))
 def _(t: Tables):
     return training.sample_n(t.articles.select("id", "company_id"), 100)
 
 
-@query("capped_per_firm")
+@query("capped_per_firm", _first("id, company_id", "{articles}", "20", "company_id"))
 def _(t: Tables):
     return training.cap_per_group(t.articles.select("id", "company_id"), ["company_id"], 20)
 
 
-@query("capped_per_firm_and_class")
+_ANNOTATED = "id, title, label, source, company_id"
+
+
+@query("capped_per_firm_and_class", _first(_ANNOTATED, "{annotated}", "CASE WHEN label = 'relevant' THEN 4 ELSE 12 END", "company_id, label"))
 def _(t: Tables):
     return training.cap_per_class(t.annotated, "company_id", 12)
 
 
-@query("stratified_sample_with_topup")
+@query(
+    "stratified_sample_with_topup",
+    f"""WITH base AS (SELECT {_ANNOTATED} FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY {_KEY}, id) AS rn,
+      greatest(1, 60 // (SELECT count(DISTINCT company_id) FROM {{annotated}})) AS quota FROM {{annotated}}) AS q WHERE rn <= quota),
+    rest AS (SELECT {_ANNOTATED} FROM {{annotated}} WHERE id NOT IN (SELECT id FROM base))
+    SELECT * FROM base UNION ALL {_first(_ANNOTATED, "rest", "60 - (SELECT count(*) FROM base)")}""",
+)
 def _(t: Tables):
     return training.stratified_topup(t.annotated, "company_id", 60)
 
 
-@query("weighted_annotation_sample")
+@query(
+    "weighted_annotation_sample",
+    f"""WITH gold AS (SELECT * FROM {{annotated}} WHERE source = 'gold_manual'),
+    pool AS (SELECT id, company_id, title FROM {{articles}} WHERE id NOT IN (SELECT id FROM gold)),
+    base AS (SELECT id, company_id, title FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY {_KEY}, id) AS rn,
+      greatest(2, 120 // (3 * (SELECT count(DISTINCT company_id) FROM pool))) AS quota FROM pool) AS q WHERE rn <= quota),
+    seen AS (SELECT company_id, count(*) AS c FROM gold WHERE label = 'relevant' GROUP BY 1),
+    rest AS (SELECT p.*, -ln((CAST(concat('0x', substr(sha256(concat(CAST(id AS STRING), ':42')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
+      * (coalesce(c, 0) + 1) AS k FROM pool p LEFT JOIN seen USING (company_id) WHERE id NOT IN (SELECT id FROM base))
+    SELECT * FROM base UNION ALL SELECT id, company_id, title FROM (SELECT *, row_number() OVER (ORDER BY k, id) AS rn FROM rest) AS r
+    WHERE rn <= 120 - (SELECT count(*) FROM base)""",
+)
 def _(t: Tables):
     gold = t.annotated.filter("source = 'gold_manual'")
     return training.weighted_sample(t.articles.select("id", "company_id", "title"), gold, 120, "company_id")
@@ -951,23 +981,48 @@ def _(t: Tables):
     return training.assign_folds(t.annotated.select("id", "label"), 5).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stratified_folds")
+@query(
+    "stratified_folds",
+    f"SELECT id, label, (row_number() OVER (PARTITION BY label ORDER BY {_KEY}, id) - 1) % 5 AS fold FROM {{annotated}}",
+)
 def _(t: Tables):
     return training.assign_folds(t.annotated.select("id", "label"), 5)
 
 
-@query("shuffled_training_rows")
+@query(
+    "shuffled_training_rows",
+    f"SELECT {_ANNOTATED}, row_number() OVER (ORDER BY {_KEY}, id) AS position FROM {{annotated}}",
+)
 def _(t: Tables):
-    return training.shuffle(t.annotated)
+    # the order is shown as a number, or a comparison without order would not see it
+    shuffled = training.shuffle(t.annotated).withColumn("_row", F.monotonically_increasing_id())
+    return rank_in_group(shuffled, [], [F.col("_row")], "position").drop("_row")
 
 
-@query("pseudo_labelled_set")
+@query(
+    "pseudo_labelled_set",
+    f"""WITH gold AS (SELECT id, title, label, source, company_id FROM {{annotated}} WHERE source = 'gold_manual'),
+    pool AS (SELECT a.id, title, company_id, CASE WHEN p1 >= 0.5 THEN 'relevant' ELSE 'irrelevant' END AS label,
+      'pseudo_label' AS source FROM {{articles}} a JOIN {{model_scores}} m ON m.id = a.id
+      WHERE greatest(p1, 1 - p1) >= 0.9 AND a.id NOT IN (SELECT id FROM gold))
+    SELECT * FROM gold UNION ALL
+    {_first(_ANNOTATED, "pool", "CASE WHEN label = 'relevant' THEN 10 ELSE 30 END", "company_id, label")}""",
+)
 def _(t: Tables):
     pool = t.articles.join(t.model_scores.select("id", F.col("p1").alias("p_rel")), "id").select("id", "title", "company_id", "p_rel")
     return training.pseudo_labels(pool, t.annotated, 0.9, 30, "company_id")
 
 
-@query("assembled_training_set")
+@query(
+    "assembled_training_set",
+    f"""WITH gold AS (SELECT id, title, label, source, CAST(company_id AS STRING) AS company_name FROM {{annotated}} WHERE source = 'gold_manual'),
+    a AS (SELECT id, title, company_name, 'llm_v2' AS source, CASE WHEN {_regex('reason', fv.HEDGE_PATTERN)} THEN 'DROP'
+        WHEN lower(trim(label)) = 'relevant' AND {LABEL_RULES} THEN 'irrelevant' ELSE lower(trim(label)) END AS label FROM {{headlines}}
+      WHERE lower(trim(label)) IN ('relevant', 'irrelevant') AND id NOT IN (SELECT id FROM gold)),
+    kept AS (SELECT * FROM a WHERE label <> 'DROP')
+    SELECT * FROM gold UNION ALL
+    {_first("id, title, label, source, company_name", "kept", "CASE WHEN label = 'relevant' THEN 10 ELSE 30 END", "company_name, label")}""",
+)
 def _(t: Tables):
     gold = t.annotated.filter("source = 'gold_manual'").withColumn("company_name", F.col("company_id").cast("string"))
     return training.training_set(gold, t.headlines, 30)

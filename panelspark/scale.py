@@ -117,10 +117,10 @@ def group_quantiles(
 
 
 def sampling_hash(id_col: str, seed: int) -> Column:
-    """Deterministic pseudo-random 64-bit key of a row."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    """Deterministic pseudo-random key of a row: the hexadecimal SHA-256 of ``id:seed``, which any engine can compute."""
+    return F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))), 256)
 
 
 def unit_hash(id_col: str, seed: int) -> Column:
-    """Deterministic value in (0, 1)."""
-    return (F.shiftrightunsigned(sampling_hash(id_col, seed), 11).cast("double") + 0.5) / float(2**53)
+    """Deterministic value in (0, 1) from the first 13 hexadecimal digits of the key."""
+    return (F.conv(F.substring(sampling_hash(id_col, seed), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
