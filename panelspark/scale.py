@@ -5,6 +5,8 @@ Any key may hold a large share of all rows, so none of these helpers sorts or co
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,14 +15,19 @@ from pyspark.sql import Window as W
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a local session may fall back to /tmp."""
+    """A new folder under the one named by ``spark.checkpoint.dir``.
+
+    Only a local session may go without it: it gets a folder of its own, which is removed when Python ends.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named:
             sc.setCheckpointDir(named)
         elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-", dir="/tmp"))
+            own = tempfile.mkdtemp(prefix="panelspark-", dir="/tmp")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            sc.setCheckpointDir(own)
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{sc.getCheckpointDir()}/{uuid.uuid4()}"

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Analysis windows, cut-offs and thresholds.
@@ -38,6 +43,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, for a session whose workers can't import it (it is not installed there)."""
+    folder = tempfile.mkdtemp(prefix="panelspark-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/panelspark", "zip", root.parent, root.name))
+    return spark
+
+
 def local_session(cores: int = 8, name: str = "panelspark") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     spark = (
