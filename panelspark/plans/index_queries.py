@@ -430,13 +430,13 @@ def _(t: Tables):
     SELECT id, event_month, """
     + ", ".join(
         f"CAST(CASE WHEN event_month = {m} THEN 1 ELSE 0 END AS BIGINT) AS event_{filters.month_label(m)}"
-        for m in range(-6, 7)
+        for m in range(-24, 25)
         if m != -1
     )
-    + " FROM e WHERE event_month BETWEEN -6 AND 6",
+    + " FROM e WHERE event_month BETWEEN -24 AND 24",
 )
 def _(t: Tables):
-    return filters.event_dummies(t.scored_events.select("id", "published_at"), "published_at", -6, 6, -1, 1998).drop("published_at")
+    return filters.event_dummies(t.scored_events.select("id", "published_at"), "published_at", -24, 24, -1, 1998).drop("published_at")
 
 
 @query(

@@ -133,14 +133,14 @@ def _(t: Tables):
 @query(
     "upsert_latest",
     """WITH u AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey
-        ORDER BY l_linenumber DESC, l_extendedprice DESC) AS rn FROM {lineitem} WHERE l_quantity > 25)
+        ORDER BY l_linenumber DESC, l_extendedprice DESC) AS rn FROM {lineitem})
     SELECT o_orderkey AS id, o_totalprice AS price FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM u)
     UNION ALL SELECT l_orderkey, l_extendedprice FROM u WHERE rn = 1""",
     "price",
 )
 def _(t: Tables):
     base = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    updates = t.lineitem.filter("l_quantity > 25").select(
+    updates = t.lineitem.select(
         F.col("l_orderkey").alias("id"), "l_linenumber", F.col("l_extendedprice").alias("price")
     )
     return sinks.upsert_latest(base, updates, ["id"], "l_linenumber")
@@ -160,11 +160,11 @@ def _(t: Tables):
 @query(
     "score_write_back",
     """SELECT a.id, coalesce(m.p1, a.pos_score) AS pos_score, coalesce(m.p2, a.neg_score) AS neg_score FROM {articles} a
-    LEFT JOIN (SELECT * FROM {model_scores} WHERE p3 >= 0.5) m ON m.id = a.id""",
+    LEFT JOIN {model_scores} m ON m.id = a.id""",
     "pos_score neg_score",
 )
 def _(t: Tables):
-    new = t.model_scores.filter("p3 >= 0.5").select("id", F.col("p1").alias("pos_score"), F.col("p2").alias("neg_score"))
+    new = t.model_scores.select("id", F.col("p1").alias("pos_score"), F.col("p2").alias("neg_score"))
     return sinks.write_back(t.articles.select("id", "pos_score", "neg_score"), new, "id", ["pos_score", "neg_score"])
 
 
@@ -349,11 +349,11 @@ def _(t: Tables):
 @query(
     "title_check_failures",
     f"""SELECT a.id, coalesce(title, '') AS title, coalesce(name, '') AS company_name, coalesce(symbol, '') AS symbol, published_at
-    FROM {{articles}} a LEFT JOIN (SELECT * FROM {{companies}} WHERE exposure < 1) c ON c.id = a.company_id
+    FROM {{articles}} a LEFT JOIN {{companies}} c ON c.id = a.company_id
     WHERE trim(coalesce(title, '')) = '' OR c.id IS NULL OR NOT {MENTION}""",
 )
 def _(t: Tables):
-    return filters.title_failures(t.articles, t.companies.filter("exposure < 1"))
+    return filters.title_failures(t.articles, t.companies)
 
 
 @query(
@@ -504,10 +504,10 @@ def _(t: Tables):
 @query(
     "article_company_left_join",
     """SELECT a.id, coalesce(c.symbol, '') AS company_symbol, coalesce(c.name, '') AS company_name FROM {articles} a
-    LEFT JOIN (SELECT * FROM {companies} WHERE exposure < 1) c ON c.id = a.company_id""",
+    LEFT JOIN {companies} c ON c.id = a.company_id""",
 )
 def _(t: Tables):
-    c = t.companies.filter("exposure < 1").select(F.col("id").alias("company_id"), "symbol", "name")
+    c = t.companies.select(F.col("id").alias("company_id"), "symbol", "name")
     return t.articles.join(c, "company_id", "left").select(
         "id", F.coalesce("symbol", F.lit("")).alias("company_symbol"), F.coalesce("name", F.lit("")).alias("company_name")
     )
@@ -829,12 +829,11 @@ def _(t: Tables):
     return t.annotated.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-VERDICTS = "v AS (SELECT id, CASE WHEN id % 4 < 2 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM {annotated} WHERE company_id < 20)"
+VERDICTS = "v AS (SELECT id, CASE WHEN id % 4 < 2 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM {annotated})"
 
 
 def verdicts(t: Tables, yes: str, no: str):
-    rows = t.annotated.filter("company_id < 20")
-    return rows.select("id", F.when(F.col("id") % 4 < 2, yes).otherwise(no).alias("verdict"))
+    return t.annotated.select("id", F.when(F.col("id") % 4 < 2, yes).otherwise(no).alias("verdict"))
 
 
 @query(

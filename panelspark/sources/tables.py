@@ -64,8 +64,19 @@ def pick_column(df: DataFrame, *names: str) -> str | None:
     return None
 
 
+def _unambiguous(df: DataFrame) -> DataFrame:
+    """Without the columns whose name, ignoring case, an earlier one has."""
+    names = [c.lower() for c in df.columns]
+    numbered = df.toDF(*(f"_{i}" for i in range(len(names))))
+    return numbered.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(df.columns) if names.index(c.lower()) == i))
+
+
 def canonical_ohlcv(df: DataFrame, symbol: str = "^VIX", source: str = "csv") -> DataFrame:
-    """Map loosely named market columns to the fixed schema; missing optional columns become null."""
+    """Map loosely named market columns to the fixed schema; missing optional columns become null.
+
+    Of several columns with one loose name the first counts.
+    """
+    df = _unambiguous(df)
     date, close = pick_column(df, "date", "datetime", "trade_date"), pick_column(df, "close")
     if date is None or close is None:
         raise ValueError("a date and a close column are needed")

@@ -159,3 +159,10 @@ def test_verdict_parsing(spark):
     df = spark.createDataFrame([('ok [{"id": "1", "verdict": "REJECT"}, {"id": 2, "verdict": "CONFIRM"}]',), (bad + "]",), ("none",)], "response string")
     got = {(r["id"], r["verdict"]) for r in training.parse_verdicts(df).collect()}
     assert got == {("1", "REJECT"), ("2", "CONFIRM"), ("7", "CONFIRM")}
+
+
+def test_first_of_two_columns_with_one_name_counts(spark):
+    from panelspark.sources.tables import canonical_ohlcv
+
+    df = spark.createDataFrame([("2020-01-02", 1.0, 9.0, 5)], "Date string, a double, b double, Volume int").toDF("Date", "Close", "close", "Volume")
+    assert [(r["close"], r["volume"]) for r in canonical_ohlcv(df).collect()] == [(1.0, 5)]
