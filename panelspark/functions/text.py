@@ -38,13 +38,14 @@ def domain(url: Column, lower: bool = True) -> Column:
     return F.when(host != "", host)
 
 
-def first_paragraph(content: Column) -> Column:
-    """First block longer than 80 characters (at most 1000 of it), else the first 500 characters."""
+def first_paragraph(content: Column, block_chars: int | None = None, other_chars: int | None = None) -> Column:
+    """First block longer than 80 characters, else the text; with the arguments at most so many characters of either."""
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
     ends = r"^\s+|\s+$"
     whole = F.regexp_replace(F.coalesce(content, F.lit("")), ends, "")
     blocks = F.transform(F.split(whole, r"\n{2,}|\r\n\r\n"), lambda b: F.regexp_replace(b, ends, ""))
     block = F.get(F.filter(blocks, lambda b: F.length(b) > 80), F.lit(0))
-    return F.coalesce(F.substring(block, 1, 1000), F.substring(whole, 1, 500))
+    return F.coalesce(cut(block, block_chars), cut(whole, other_chars))
 
 
 def _first_word(name: Column) -> Column:

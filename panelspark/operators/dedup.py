@@ -57,6 +57,16 @@ def dedup_hash(new: DataFrame, existing: DataFrame, keys: tuple = ("company_id",
     return fresh.join(first, [*group, order], "left_semi")
 
 
+def ingest_flags(candidates: DataFrame, stored: DataFrame, keys: tuple = ("company_id",), order: str = "id") -> DataFrame:
+    """Add ``is_existing`` (the hash is stored) and ``is_duplicate`` (an earlier candidate with a good title has it)."""
+    group = [*keys, "article_hash"]
+    known = stored.select(*group).distinct().withColumn("_known", F.lit(True))
+    first = candidates.filter("title_ok").groupBy(*group).agg(F.min(order).alias("_first"))
+    out = candidates.join(known, group, "left").join(first, group, "left")
+    repeat = F.col("title_ok") & (F.col(order) > F.col("_first"))
+    return out.withColumns({"is_existing": F.coalesce("_known", F.lit(False)), "is_duplicate": repeat}).drop("_known", "_first")
+
+
 def leakage_filter(train: DataFrame, test: DataFrame, title: str = "title") -> DataFrame:
     """Training rows whose tidy headline does not occur in the test set."""
     key = lambda c: F.lower(F.trim(c))

@@ -432,8 +432,8 @@ def _(t: Tables):
     )
 
 
-PARAGRAPH = """para AS (SELECT id, company_id, title, content, coalesce(substr(list_filter(list_transform(string_split_regex(whole, '\\n{2,}|\\r\\n\\r\\n'),
-      lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 80)[1], 1, 1000), substr(whole, 1, 500)) AS paragraph
+PARAGRAPH = """para AS (SELECT id, company_id, title, content, coalesce(list_filter(list_transform(string_split_regex(whole, '\\n{2,}|\\r\\n\\r\\n'),
+      lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 80)[1], whole) AS paragraph
       FROM (SELECT *, regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g') AS whole FROM {articles}))"""
 
 
@@ -444,28 +444,23 @@ def _(t: Tables):
 
 @query(
     "target_split",
-    f"""WITH {PARAGRAPH}, chosen AS (SELECT p.id, name, CASE WHEN length(paragraph) > 100 AND contains(lower(paragraph), lower(name))
-        THEN paragraph ELSE title END AS x FROM para p JOIN (SELECT id, 'the' AS name FROM {{companies}}) c ON c.id = p.company_id),
-    cut AS (SELECT *, instr(lower(x), lower(name)) AS pos FROM chosen),
-    sides AS (SELECT id, x, CASE WHEN pos > 0 THEN substr(x, pos, length(name)) ELSE name END AS target,
+    f"""WITH {PARAGRAPH}, chosen AS (SELECT h.id, company_name AS name, split_part(company_name, ' ', 1) AS word,
+      CASE WHEN length(paragraph) > 100 AND contains(lower(paragraph), lower(split_part(company_name, ' ', 1))) THEN paragraph ELSE h.title END AS x
+      FROM {{headlines}} h JOIN para p ON p.id = h.id),
+    cut AS (SELECT *, CASE WHEN contains(lower(x), lower(name)) THEN name ELSE word END AS part FROM chosen),
+    found AS (SELECT *, instr(lower(x), lower(part)) AS pos FROM cut),
+    sides AS (SELECT id, x, CASE WHEN pos > 0 THEN substr(x, pos, length(part)) ELSE name END AS target,
       CASE WHEN pos > 0 THEN regexp_replace(substr(x, 1, pos - 1), '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(x, '^\\s+|\\s+$', '', 'g') END AS l,
-      CASE WHEN pos > 0 THEN regexp_replace(substr(x, pos + length(name)), '^\\s+|\\s+$', '', 'g') ELSE '' END AS r FROM cut)
-    SELECT id, target, substr(x, 1, 300) AS text_used, substr(CASE WHEN length(l) < 3 OR length(r) < 3 THEN x ELSE l END, 1, 150) AS left_context,
-      substr(CASE WHEN length(l) < 3 OR length(r) < 3 THEN x ELSE r END, 1, 150) AS right_context FROM sides""",
+      CASE WHEN pos > 0 THEN regexp_replace(substr(x, pos + length(part)), '^\\s+|\\s+$', '', 'g') ELSE '' END AS r FROM found)
+    SELECT id, target, x AS text_used, CASE WHEN length(l) < 3 OR length(r) < 3 THEN x ELSE l END AS left_context,
+      CASE WHEN length(l) < 3 OR length(r) < 3 THEN x ELSE r END AS right_context FROM sides""",
 )
 def _(t: Tables):
-    rows = t.articles.select(
-        "id",
-        text.choose_text(F.col("title"), text.first_paragraph(F.col("content")), F.lit("the")).alias("x"),
-    )
-    rows = rows.withColumn("s", text.split_target(F.col("x"), F.lit("the")))
-    return rows.select(
-        "id",
-        F.col("s.target").alias("target"),
-        F.substring("x", 1, 300).alias("text_used"),
-        F.substring("s.left", 1, 150).alias("left_context"),
-        F.substring("s.right", 1, 150).alias("right_context"),
-    )
+    rows = t.headlines.select("id", "title", "company_name").join(t.articles.select("id", "content"), "id")
+    name = F.col("company_name")
+    rows = rows.select("id", "company_name", text.choose_text(F.col("title"), text.first_paragraph(F.col("content")), name).alias("x"))
+    rows = rows.withColumn("s", text.split_target(F.col("x"), name))
+    return rows.select("id", F.col("s.target").alias("target"), F.col("x").alias("text_used"), F.col("s.left").alias("left_context"), F.col("s.right").alias("right_context"))
 
 
 @query(
@@ -659,22 +654,23 @@ def _(t: Tables):
 
 @query(
     "ingest_cell_stats",
-    f"""WITH f AS (SELECT a.company_id, CAST(year(published_at) AS BIGINT) AS year, published_at < TIMESTAMP '2017-01-01' AS old, {MENTION} AS ok, a.source = 'src1.example.com' AS dup
-      FROM {{articles}} a JOIN {{companies}} c ON c.id = a.company_id)
+    f"""WITH h AS (SELECT a.id, a.company_id, CAST(year(published_at) AS BIGINT) AS year, {MENTION} AS ok, published_at < TIMESTAMP '2017-01-01' AS stored,
+      sha256(concat({TEXT_KEY.replace('{c}', 'title')}, '|', {TEXT_KEY.replace('{c}', 'a.source')})) AS hash
+      FROM {{articles}} a JOIN {{companies}} c ON c.id = a.company_id),
+    known AS (SELECT DISTINCT company_id, hash FROM h WHERE stored),
+    f AS (SELECT h.company_id, year, ok, known.hash IS NOT NULL AS old,
+      ok AND row_number() OVER (PARTITION BY h.company_id, h.hash, ok ORDER BY id) > 1 AS dup
+      FROM h LEFT JOIN known ON known.company_id = h.company_id AND known.hash = h.hash)
     SELECT company_id, year, count(*) AS fetched, count(*) FILTER (old) AS existing, count(*) FILTER (NOT old AND NOT ok) AS filtered_title,
       count(*) FILTER (NOT old AND ok AND dup) AS filtered_duplicates, count(*) FILTER (NOT old AND ok AND NOT dup) AS inserted,
       CAST(2 * grouping(company_id) + grouping(year) AS BIGINT) AS level FROM f GROUP BY ROLLUP (company_id, year)""",
 )
 def _(t: Tables):
     c = t.companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"), F.col("symbol").alias("company_symbol"))
-    rows = t.articles.join(c, "company_id").select(
-        "company_id",
-        F.year("published_at").alias("year"),
-        (F.col("published_at") < F.lit("2017-01-01").cast("timestamp")).alias("is_existing"),
-        filters.mention().alias("title_ok"),
-        (F.col("source") == "src1.example.com").alias("is_duplicate"),
-    )
-    return matrices.cell_stats(rows)
+    rows = dedup.with_hash(t.articles.join(c, "company_id"), "title", "source")
+    stored = rows.filter(F.col("published_at") < F.lit("2017-01-01").cast("timestamp"))
+    flagged = dedup.ingest_flags(rows.withColumn("title_ok", filters.mention()), stored)
+    return matrices.cell_stats(flagged.withColumn("year", F.year("published_at")))
 
 
 # --- relevance and evaluation --------------------------------------------------------------------------------------
