@@ -36,10 +36,12 @@ def class_report(df: DataFrame, label: str = "label", predicted: str = "predicte
     return sums.withColumns(_rates(tp, F.col("np") - tp, F.col("support") - tp)).drop("np", "tp").filter("support > 0")
 
 
-def threshold_sweep(df: DataFrame, score: str, thresholds: list[float] = SWEEP_POINTS, label: str = "label") -> DataFrame:
-    """Counts and rates at every threshold from one pass over the rows."""
+def threshold_sweep(
+    df: DataFrame, score: str, thresholds: list[float] = SWEEP_POINTS, label: str = "label", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Counts and rates at every threshold from one pass over the rows, for each value of ``by``."""
     hit, true = (lambda t: F.col(score) >= t), F.col(label) == "relevant"
-    counts = df.agg(
+    counts = df.groupBy(*by).agg(
         F.count_if(true).alias("_pos"),
         *[F.count_if(hit(t) & true).alias(f"_tp{i}") for i, t in enumerate(thresholds)],
         *[F.count_if(hit(t) & ~true).alias(f"_fp{i}") for i, t in enumerate(thresholds)],
@@ -51,7 +53,7 @@ def threshold_sweep(df: DataFrame, score: str, thresholds: list[float] = SWEEP_P
             for i, t in enumerate(thresholds)
         ]
     )
-    rows = counts.select(F.explode(points).alias("r")).select("r.*")
+    rows = counts.select(*by, F.explode(points).alias("r")).select(*by, "r.*")
     rows = rows.withColumns(_rates(F.col("tp"), F.col("fp"), F.col("fn")))
     return rows.withColumn("n_pred", F.col("tp") + F.col("fp")).withColumn("precision_ok", F.col("precision") >= 0.90)
 
@@ -63,13 +65,13 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return best.select("b.*")
 
 
-def compare_scores(df: DataFrame, scores: list[str], thresholds: list[float] = GRID_POINTS) -> DataFrame:
-    """Best threshold of each score column, one row per column."""
-    out = None
-    for s in scores:
-        row = best_threshold(threshold_sweep(df, s, thresholds)).withColumn("score", F.lit(s))
-        out = row if out is None else out.unionByName(row)
-    return out
+def compare_scores(df: DataFrame, scores: list[str], thresholds: list[float] = GRID_POINTS, label: str = "label") -> DataFrame:
+    """Best threshold of each score column, one row per column, from one pass over the rows."""
+    named = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("value")) for s in scores])).alias("_s")
+    sweep = threshold_sweep(df.select(label, named).select(label, "_s.*"), "value", thresholds, label, ("score",)).filter("n_pred > 0")
+    rest = [c for c in sweep.columns if c != "score"]
+    best = sweep.groupBy("score").agg(F.max_by(F.struct(*rest), F.struct(F.col("f1"), -F.col("threshold"))).alias("b"))
+    return best.select("b.*", "score")
 
 
 def score_histogram(df: DataFrame, score: str, edges: list[float] = POSITIVE_BUCKETS, label: str = "label") -> DataFrame:

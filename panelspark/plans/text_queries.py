@@ -781,17 +781,22 @@ def _(t: Tables):
     return evaluation.threshold_sweep(judged(t), "p2", [0.70])
 
 
+# the three models, their ensemble, and the ensemble after the headline rules
+_ALL_SCORES = ("p1", "p2", "p3", "ensemble_prob", "adj_prob")
+
+
 @query(
     "best_thresholds",
-    f"WITH {JUDGED}, r AS ("
-    + " UNION ALL ".join(
-        f"SELECT *, {_RATES}, '{s}' AS score FROM ({_sweep_sql(s, fv.GRID_POINTS)})" for s in ("p1", "p2", "p3")
-    )
+    f"""WITH {SCORED}, labelled AS (SELECT s.* REPLACE (a.label AS label), m.p1, m.p2, m.p3 FROM scored s JOIN {{annotated}} a ON a.id = s.id
+      JOIN {{model_scores}} m ON m.id = s.id),
+    judged AS (SELECT id, label, p1, p2, p3, ensemble_prob, adj_prob FROM {_adjusted('labelled', 'ensemble_prob')}), r AS ("""
+    + " UNION ALL ".join(f"SELECT *, {_RATES}, '{s}' AS score FROM ({_sweep_sql(s, fv.GRID_POINTS)})" for s in _ALL_SCORES)
     + ") SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY score ORDER BY f1 DESC, threshold) AS k FROM r WHERE n_pred > 0) WHERE k = 1",
     "threshold precision recall f1",
 )
 def _(t: Tables):
-    return evaluation.compare_scores(judged(t), ["p1", "p2", "p3"])
+    rows = scored(t).drop("label").join(t.annotated.select("id", "label"), "id")
+    return evaluation.compare_scores(relevance.adjust_scores(rows), list(_ALL_SCORES))
 
 
 def _histogram_sql(edges: list[float]) -> str:
