@@ -67,10 +67,12 @@ def test_caps_and_samples(spark):
     assert training.stratified_topup(df, "k", 300).count() == 300
 
 
-def test_large_sample_equals_small_path(spark, monkeypatch):
+def test_sample_has_the_smallest_keys(spark):
+    import hashlib
+
     df = hot(spark)
-    want = {r["id"] for r in training.sample_n(df, 700).collect()}
-    monkeypatch.setattr(training, "_TOP_LIMIT", 10)
+    key = lambda i: (hashlib.sha256(f"{i}:42".encode()).hexdigest(), i)
+    want = set(sorted((r["id"] for r in df.select("id").collect()), key=key)[:700])
     assert {r["id"] for r in training.sample_n(df, 700).collect()} == want
 
 
