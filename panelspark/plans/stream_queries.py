@@ -29,27 +29,38 @@ def _(t: Tables):
     return similarity.tfidf(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
 
 
-@query(
-    "near_duplicate_pairs",
-    f"""WITH {_TFIDF},
+_PAIRS = f"""{_TFIDF},
     prints AS (SELECT company_id, id, sha256(string_agg(concat(term, ' ', round(w, 12)), '|' ORDER BY term)) AS f FROM weights GROUP BY 1, 2),
-    reps AS (SELECT company_id, min(id) AS id FROM prints GROUP BY company_id, f),
-    own AS (SELECT weights.* FROM weights JOIN reps USING (company_id, id))
-    SELECT a.company_id, a.id AS i, b.id AS j, sum(a.w * b.w) AS cosine FROM own a
-    JOIN own b ON a.company_id = b.company_id AND a.term = b.term AND a.id < b.id
-    GROUP BY 1, 2, 3 HAVING sum(a.w * b.w) >= 0.85""",
-    "cosine",
-)
+    reps AS (SELECT company_id, f, min(id) AS id FROM prints GROUP BY company_id, f),
+    own AS (SELECT weights.* FROM weights JOIN reps USING (company_id, id)),
+    pairs AS (SELECT a.company_id, a.id AS i, b.id AS j, sum(a.w * b.w) AS cosine FROM own a
+      JOIN own b ON a.company_id = b.company_id AND a.term = b.term AND a.id < b.id GROUP BY 1, 2, 3 HAVING sum(a.w * b.w) >= 0.85)"""
+# elimination in id order: a text joins the kept ones of its firm unless one of them is close
+_GONE = f"""WITH RECURSIVE {_PAIRS},
+    near AS (SELECT r.company_id, r.id, row_number() OVER (PARTITION BY r.company_id ORDER BY r.id) AS rn,
+      coalesce(list(p.i) FILTER (p.i IS NOT NULL), CAST([] AS BIGINT[])) AS partners
+      FROM reps r LEFT JOIN pairs p ON p.company_id = r.company_id AND p.j = r.id GROUP BY r.company_id, r.id),
+    step AS (SELECT DISTINCT company_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM near
+      UNION ALL SELECT s.company_id, s.n + 1, CASE WHEN list_has_any(s.kept, x.partners) THEN s.kept ELSE list_append(s.kept, x.id) END
+      FROM step s JOIN near x ON x.company_id = s.company_id AND x.rn = s.n + 1),
+    final AS (SELECT company_id, arg_max(kept, n) AS kept FROM step GROUP BY 1),
+    led AS (SELECT p.company_id, j AS id, min(i) AS leader, arg_min(cosine, i) AS cosine FROM pairs p JOIN final k ON k.company_id = p.company_id
+      WHERE list_contains(k.kept, i) AND NOT list_contains(k.kept, j) GROUP BY 1, 2),
+    gone AS (SELECT * FROM led UNION ALL SELECT p.company_id, p.id, coalesce(l.leader, r.id), coalesce(l.cosine, 1.0) FROM prints p
+      JOIN reps r ON r.company_id = p.company_id AND r.f = p.f AND r.id <> p.id LEFT JOIN led l ON l.company_id = r.company_id AND l.id = r.id)"""
+
+
+@query("near_duplicate_pairs", f"WITH {_PAIRS} SELECT * FROM pairs", "cosine")
 def _(t: Tables):
     return similarity.near_duplicate_pairs(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
 
 
-@query("near_duplicates")
+@query("near_duplicates", f"{_GONE} SELECT company_id, id, leader, cosine FROM gone", "cosine")
 def _(t: Tables):
     return similarity.near_duplicates(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
 
 
-@query("near_duplicate_survivors")
+@query("near_duplicate_survivors", f"{_GONE} SELECT company_id, id, title FROM {{articles}} WHERE id NOT IN (SELECT id FROM gone)")
 def _(t: Tables):
     return similarity.leader_dedup(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
 
