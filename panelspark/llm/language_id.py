@@ -59,11 +59,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     they say nothing about the language of the rest.
     """
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # of each language only rows with small hashes, about ten times as many as wanted, are ranked
+    # of each language only rows with small hashes, about ten times as many as wanted, are ranked; the shares are a row per
+    # language, far less than the dictionaries that every task holds, and without the broadcast all rows would move by language
     key = F.xxhash64("id")
     names = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     share = names.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(10.0 * DOCS_PER_LANGUAGE) / F.count(F.lit(1))).alias("share"))
-    few = names.join(share, "lang").filter(key.cast("double") <= F.col("share") * 2.0**64 - 2.0**63)
+    few = names.join(F.broadcast(share), "lang").filter(key.cast("double") <= F.col("share") * 2.0**64 - 2.0**63)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(key, "id"))
     picked = few.withColumn("rank", rank).filter(F.col("rank") <= DOCS_PER_LANGUAGE).select("id", "lang")
     rows = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id")
