@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from .blocks import in_small_batches
 
 # Elements of the HTML standard by the part they play, and the words by which sites name their furniture.
-RAW = "script style noscript template textarea title svg math iframe object select option button canvas audio video"
+RAW = "script style textarea title"
+#: Elements whose content is no text of the page. An unclosed or self-closed one is a tag alone; of RAW, an unclosed one is all of the rest.
+UNREAD = frozenset("noscript template svg math iframe object select datalist option button canvas audio video".split())
 BLOCKS = (
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -32,35 +34,104 @@ FURNITURE_NAMES = frozenset(
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 CONTENT = frozenset(("article", "main"))
 
-_RAW, _BLOCKS = frozenset(RAW.split()), frozenset(BLOCKS.split())
+_BLOCKS = frozenset(BLOCKS.split())
 _KNOWN = _BLOCKS | frozenset(INLINE.split())
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+")
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$|^[^=]*/$")
 
 #: Weights where no labelled page tells: a word, a tag, a tag of running text, and a tag that no labelled region has.
 WORD, TAG, TEXT_TAG, NEVER = 1.0, -2.0, 0.0, -100.0
 TEXT_TAGS = frozenset("p br h1 h2 h3 h4 h5 h6 b i em strong span blockquote pre code sub sup q cite abbr u s small".split())
 
 
-def is_furniture(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment section by its name."""
+#: Words that a class or id weighs against an element's own if all of its names are names of furniture, else in proportion.
+NAMED = 20
+
+
+def furniture_share(tag: str, attrs: str, inside: bool) -> float:
+    """How far an element is a menu, header, footer, sidebar, notice, advert, form or comment section by its name: 2 by its
+    tag, role or hiding, else the largest share of furniture among the names in its class and its id."""
     if tag in FURNITURE or (tag == "header" and not inside):
-        return True
+        return 2.0
+    share = 0.0
     if not attrs or tag in ("html", "body") or tag in CONTENT:
-        return False
+        return share
     for name, a, b, c in _ATTRIBUTE.findall(attrs):
         value = (a or b or c).lower()
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in FURNITURE_ROLES):
-            return True
-        if name in ("class", "id") and not FURNITURE_NAMES.isdisjoint(_NAMES.findall(value)):
-            return True
-    return False
+            return 2.0
+        if name in ("class", "id"):
+            names = _NAMES.findall(value)
+            share = max(share, sum(n in FURNITURE_NAMES for n in names) / max(1, len(names)))
+    return share
+
+
+def _elements(marks: list[re.Match]) -> dict[int, int]:
+    """The tag that closes an element, by the tag that opens it; elements without an end tag of their own are left out."""
+    stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
+    out = {}
+    for n, m in enumerate(marks):
+        tag = (m["tag"] or "").lower()
+        if m["close"]:
+            if opened[tag]:
+                while True:
+                    name, first = stack.pop()
+                    opened[name] -= 1
+                    if name == tag:
+                        out[first] = n
+                        break
+        elif tag and tag not in VOID and not (tag in UNREAD and _SELF_CLOSED.search(m["attrs"] or "")):
+            if tag in ("p", "option") and stack and stack[-1][0] == tag:
+                out[stack.pop()[1]] = n - 1  # ends before the next of its kind
+                opened[tag] -= 1
+            stack.append((tag, n))
+            opened[tag] += 1
+    return out
+
+
+def _left_out(page: str, marks: list[re.Match], ends: dict[int, int]) -> list[bool]:
+    """For each tag, whether its class or id makes its element furniture.
+
+    Names weigh against what the element holds: words for it, tags of other than running text against it. All names of
+    furniture are enough, unless the element holds most of the page's words or an article or main element; only a comment
+    section goes even then, unless it is such a wrapper.
+    """
+    words, score, articles = [0], [0.0], [0]
+    for n, m in enumerate(marks):
+        tag = (m["tag"] or "").lower()
+        following = page[m.end() : marks[n + 1].start() if n + 1 < len(marks) else len(page)]
+        count = len(following.split())
+        words.append(words[-1] + count)
+        score.append(score[-1] + WORD * count + (TAG if tag and tag not in TEXT_TAGS else 0.0))
+        articles.append(articles[-1] + (tag in CONTENT and not m["close"]))
+    out = [False] * len(marks)
+    for n, m in enumerate(marks):
+        attrs = m["attrs"] if m["tag"] and not m["close"] else ""
+        share = furniture_share("", attrs, False) if attrs else 0.0
+        if not 0 < share <= 1:
+            continue
+        # an element without an end tag ends with the one around it, which isn't known here: it is weighed by its next tag
+        end = ends.get(n, min(n + 1, len(marks)))
+        own = words[end] - words[n]
+        if articles[end] > articles[n]:
+            continue
+        if share == 1:
+            comments = not _COMMENTS.isdisjoint(_NAMES.findall(attrs.lower()))
+            out[n] = comments or 2 * own <= words[-1]
+        elif m["tag"].lower() not in TEXT_TAGS:  # a heading or paragraph is no wrapper: words beside others in its class say little
+            out[n] = score[end] - score[n] - NAMED * share <= 0
+    return out
+
+
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 
 def read(page: str) -> Iterator[tuple[str, str, bool, bool]]:
@@ -69,10 +140,16 @@ def read(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     ``content``: within an article or main element. ``skipped``: a piece of furniture or within one. An element that is
     never closed ends with the one around it.
     """
-    at = 0
+    at, until = 0, -1
     stack: list[tuple[str, bool, bool]] = []
     content = skipped = False
-    for m in _MARKUP.finditer(page):
+    marks = list(_MARKUP.finditer(page))
+    ends = _elements(marks)
+    named = _left_out(page, marks, ends)
+    for n, m in enumerate(marks):
+        if n <= until:  # within an element that isn't read
+            at = m.end()
+            continue
         if m.start() > at:
             yield "text", page[at : m.start()], content, skipped
         at = m.end()
@@ -82,6 +159,12 @@ def read(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 yield "text", " ", content, skipped
             continue
         tag = tag.lower()
+        if tag in UNREAD:
+            yield "text", " ", content, skipped
+            until = n if m["close"] else ends.get(n, n)
+            if n in ends and not marks[until]["close"] and not m["close"]:
+                at = marks[until + 1].start()
+            continue
         if m["close"]:
             within = skipped
             for i in range(len(stack) - 1, -1, -1):
@@ -95,7 +178,7 @@ def read(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 if tag == "p" and stack and stack[-1][0] == "p":
                     _, content, skipped = stack.pop()
                 stack.append((tag, content, skipped))
-                skipped = skipped or is_furniture(tag, m["attrs"] or "", content)
+                skipped = skipped or named[n] or furniture_share(tag, m["attrs"] or "", content) > 1
                 yield tag, "", content, skipped
                 content = content or tag in CONTENT
             else:

@@ -1,5 +1,6 @@
 """Cases in which an operator did less than its whole job."""
 
+from panelspark.llm import html_text as H
 from panelspark.llm import personal_data as N
 
 
@@ -15,3 +16,23 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
         got = [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"]
         assert got == [w for w in text.replace(",", "").split() if w.lower() == "zorblatt"]
     assert not any("zorblatt" in r["text"].lower() for r in N.sanitise(df).collect())
+
+
+def test_elements_whose_names_begin_alike_or_without_end_tag():
+    page = """<body><svg-icon name=x></svg-icon><title-bar>Top</title-bar><svg viewBox="0 0 1 1"/><datalist><option value=a><option value=b>c</datalist>
+    <option value=x><video src=y><p>One two three.</p><button-group>four</button-group><select><option>no<option>not</select>
+    <svg><title>no</title></svg><option>neither</option><p>five six</p><title>rest</body>"""
+    assert H.main_text(page, {"other": 0.0}) == "Top\nOne two three.\nfour\nfive six"
+
+
+def test_wrappers_whose_class_has_a_word_of_furniture():
+    words = "several words of the story "
+    page = f"""<div class="layout has-sidebar"><h1 class="entry-header-title">The whole title of it</h1><p>{words * 9}</p><div class="sidebar"><p>{words}</p></div>
+    <div class="site-footer"><a href=x>About</a> <a href=y>Us</a></div></div><section id="comments"><p>{words * 30}</p></section>"""
+    weights = {"div": -1.0, "/div": -1.0}
+    assert H.main_text(page, weights) == "The whole title of it\n" + (words * 9).strip()
+    assert H.main_text(f'<div class="main widget"><article><p>{words}</p></article></div>', {}) == words.strip()
+
+
+def test_options_without_end_tags():
+    assert H.main_text("a<option>no<option>no</option><p>b", {}) == "a\nb"
