@@ -182,9 +182,9 @@ def proximity_matches(w: Windows, block: Block, order: np.ndarray, slop: int) ->
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[tuple[list, list]]:
     """The benchmark in parts of bounded size, read one after another."""
     ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
     for row in rows.orderBy("i", "t").toLocalIterator():
-        ids.append(row["i"])
+        ids.append(A.NO_ID if row["i"] is None else row["i"])
         texts.append(row["t"])
         size += len(row["t"]) * 4
         if size >= most:
@@ -265,7 +265,7 @@ def _searcher(w: Windows, order: np.ndarray, slop: int | None, schema: pa.Schema
                 else:
                     spans.append({"start": s, "end": e})
             doc = int(block.doc[i])
-            out.append((None if doc == A.NO_ID else doc, f"{name}:{i}", kind, int(block.begin[i + 1] - block.begin[i]), sorted(items), spans))
+            out.append((None if doc == A.NO_ID else doc, f"{name}:{i}", kind, int(block.begin[i + 1] - block.begin[i]), [None if x == A.NO_ID else x for x in sorted(items)], spans))
         return out
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def decontaminate(
     """(doc_id, n_words, n_hit, items, spans): the words of each document that lie in an occurrence of a benchmark window.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null texts
-    have no words, and items without an id or text are not searched for. Rows with equal or null ids keep a row each. An
+    have no words. Items without a text are not searched for; those without an id are, and ``items`` has one null for them. Rows with equal or null ids keep a row each. An
     empty benchmark hits nothing; an empty table gives an empty table. Other columns are ignored.
     """
     found = find_matches(build_index(docs, id_col, text_col), benchmark, item_col, item_text_col, window)

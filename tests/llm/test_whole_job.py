@@ -1,5 +1,6 @@
 """Cases in which an operator did less than its whole job."""
 
+from panelspark.llm import decontaminate as D
 from panelspark.llm import html_text as H
 from panelspark.llm import personal_data as N
 
@@ -36,3 +37,10 @@ def test_wrappers_whose_class_has_a_word_of_furniture():
 
 def test_options_without_end_tags():
     assert H.main_text("a<option>no<option>no</option><p>b", {}) == "a\nb"
+
+
+def test_benchmark_items_without_an_id(spark):
+    rows = spark.createDataFrame([(1, "so one two three four"), (2, "one two"), (3, "a b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (7, "B c"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.decontaminate(rows, items).collect()}
+    assert got == {1: (3, [None]), 2: (0, []), 3: (2, [7])}
