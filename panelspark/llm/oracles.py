@@ -61,3 +61,24 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS h FROM (SELECT doc_id, unnest(range(
 items AS (SELECT doc_id, count(*) AS c, string_agg(x, ',' ORDER BY x) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(h, 0) AS n_hit, coalesce(c, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(h, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_CODES = "[CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END FOR c IN string_split({0}, '')]"
+_CRC = f"""list_reduce(flatten({_CODES}), lambda h, x: xor(h >> 8, tab[1 + (xor(h, CAST(x AS BIGINT)) & 255)]), CAST(4294967295 AS BIGINT))"""
+
+OP11 = f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+    THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, CAST(i AS BIGINT)) AS v FROM range(256) t(i))),
+run AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) GROUP BY 1, 2),
+h AS (SELECT w, n, xor({_CRC.format("concat(doc_id, ':', w)")}, 4294967295) AS h FROM run, crc WHERE len(w) >= 5),
+word AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0
+    THEN concat(substr(w, 1, CAST(h % len(w) AS BIGINT)), substr(w, CAST(h % len(w) + 2 AS BIGINT))) ELSE w END AS w FROM h)
+  WHERE len(w) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS (SELECT w, i, concat(substr(w, 1, i - 1), substr(w, i + 1)) AS s FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM word)),
+near AS (SELECT a.w, b.w AS v FROM cut a JOIN cut b ON a.i = b.i AND a.s = b.s AND a.w <> b.w
+  UNION SELECT cut.w, s FROM cut JOIN word ON word.w = s UNION SELECT s, cut.w FROM cut JOIN word ON word.w = s),
+best AS (SELECT near.w, v, word.n AS m, row_number() OVER (PARTITION BY near.w ORDER BY word.n DESC, v) AS r, count(*) OVER (PARTITION BY near.w) AS c
+  FROM near JOIN word ON word.w = v),
+formed AS (SELECT word.w, word.n, coalesce(c, 0) AS c, CASE WHEN m >= 2 * word.n THEN v END AS v, CASE WHEN m >= 2 * word.n THEN m END AS m
+  FROM word LEFT JOIN best ON best.w = word.w AND r = 1),
+path AS (SELECT w, w AS x, 0 AS d FROM formed UNION ALL SELECT path.w, v, d + 1 FROM path JOIN formed ON formed.w = path.x WHERE v IS NOT NULL)
+SELECT formed.w AS word, v AS form, (SELECT max_by(x, d) FROM path WHERE path.w = formed.w) AS root, n, c AS n_near, m AS form_n FROM formed"""

@@ -11,6 +11,7 @@ from .language_id import held_out, language_id, learn
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
 from .personal_data import find_personal_data
+from .spelling_variants import spelling_variants
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -80,6 +81,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES = {
         op8_decontaminate,
         op9_language_id,
         op10_personal_data,
+        op11_spelling_variants,
     )
 }
 
@@ -104,4 +110,5 @@ SQL: dict[str, str] = {
     "op5_minhash_dedup": oracles.OP5,
     "op6_top_k": oracles.OP6,
     "op8_decontaminate": oracles.OP8,
+    "op11_spelling_variants": oracles.OP11,
 }

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -120,3 +121,37 @@ def private(text):
                 continue
             spans.append((m.start(), k, m.end()))
     return ",".join(f"{KINDS[k][0]}:{s}:{e}" for s, k, e in sorted(spans))
+
+
+def variants(docs):
+    """word -> (form, root, n, n_near, form_n)."""
+    counts = Counter()
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+    def edits(w):
+        letters = sorted({c for x in counts for c in x})
+        for i in range(len(w) + 1):
+            yield from (w[:i] + c + w[i:] for c in letters)
+            if i < len(w):
+                yield w[:i] + w[i + 1 :]
+                yield from (w[:i] + c + w[i + 1 :] for c in letters)
+
+    near = {w: {v for v in edits(w) if v in counts and v != w} for w in counts}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= 2 * counts[w] else None
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), counts.get(form[w]))
+    return out
