@@ -82,3 +82,19 @@ formed AS (SELECT word.w, word.n, coalesce(c, 0) AS c, CASE WHEN m >= 2 * word.n
   FROM word LEFT JOIN best ON best.w = word.w AND r = 1),
 path AS (SELECT w, w AS x, 0 AS d FROM formed UNION ALL SELECT path.w, v, d + 1 FROM path JOIN formed ON formed.w = path.x WHERE v IS NOT NULL)
 SELECT formed.w AS word, v AS form, (SELECT max_by(x, d) FROM path WHERE path.w = formed.w) AS root, n, c AS n_near, m AS form_n FROM formed"""
+
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY 1),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) t(k) WHERE len(ws) >= k) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.k, c.phrase, c.a, j, x.a AS l, y.a AS r, n, CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS b FROM cut),
+kept AS (SELECT * FROM best WHERE b = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = best.lang AND c.k > best.k AND 100 * c.a >= 100 * best.a
+  AND contains(concat(' ', c.phrase, ' '), concat(' ', best.phrase, ' ')))),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept)
+SELECT * FROM ranked WHERE rank <= 2000"""

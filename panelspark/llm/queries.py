@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .html_text import extract_text, learn_weights
 from .language_id import held_out, language_id, learn
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
 from .personal_data import find_personal_data
+from .quality import quality_scores
 from .spelling_variants import spelling_variants
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -85,6 +87,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +109,8 @@ QUERIES = {
         op9_language_id,
         op10_personal_data,
         op11_spelling_variants,
+        op12_phrase_collocations,
+        op13_quality_classifier,
     )
 }
 
@@ -111,4 +123,5 @@ SQL: dict[str, str] = {
     "op6_top_k": oracles.OP6,
     "op8_decontaminate": oracles.OP8,
     "op11_spelling_variants": oracles.OP11,
+    "op12_phrase_collocations": oracles.OP12,
 }
