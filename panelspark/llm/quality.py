@@ -32,7 +32,9 @@ _PARTS = 64
 # shapes are words too, behind the hashed ones: lower case, first letter upper, all upper, mixed, number, sign, run of one sign, line end
 _SHAPES = 8
 ROWS = BUCKETS + _SHAPES
-FEATURES = 2 * DIMENSIONS + 1
+#: How alike a word's vector and those of the next words are is pooled too, for these distances.
+AHEAD = (1, 2)
+FEATURES = 2 * DIMENSIONS + 1 + len(AHEAD)
 
 _KIND = np.arange(256, dtype=np.int16) + 3  # a sign forms runs with itself alone
 _KIND[A.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = 1
@@ -130,19 +132,25 @@ def learn_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _pooled(raw: np.ndarray, borders: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Per text the mean and the standard deviation of its tokens' vectors, and the logarithm of their number."""
+    """Per text the mean and the standard deviation of its tokens' vectors, the mean product of a word's vector with that of
+    the word behind it and of the next but one (1 where a word is repeated), and the logarithm of the number of tokens."""
     owner, word, shape = tokens(raw, borders)
     n = np.bincount(owner, minlength=len(borders) - 1).astype(np.float64)
-    sums = np.zeros((2, len(n), DIMENSIONS))
+    sums, alike = np.zeros((2, len(n), DIMENSIONS)), np.zeros((len(AHEAD), len(n)))
     for lo in range(0, len(word), _TOKENS):
         v = vectors[word[lo : lo + _TOKENS]] + vectors[shape[lo : lo + _TOKENS]]
         own = owner[lo : lo + _TOKENS]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         sums[0][own[first]] += np.add.reduceat(v, first, axis=0, dtype=np.float64)
         sums[1][own[first]] += np.add.reduceat(v * v, first, axis=0, dtype=np.float64)
+        for k, step in enumerate(AHEAD):
+            other = word[lo + step : lo + _TOKENS + step]
+            pair = np.einsum("ij,ij->i", vectors[word[lo : lo + len(other)]], vectors[other])
+            pair = pair * (owner[lo + step : lo + _TOKENS + step] == own[: len(other)])
+            alike[k] += np.bincount(own[: len(other)], pair, len(n))
     mean, square = sums / np.maximum(n, 1)[None, :, None]
     spread = np.sqrt(np.maximum(square - mean * mean, 0))
-    return np.hstack([mean, spread, np.log1p(n)[:, None]]).astype(np.float32)
+    return np.hstack([mean, spread, (alike / np.maximum(n, 1)).T, np.log1p(n)[:, None]]).astype(np.float32)
 
 
 def document_vectors(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
