@@ -155,3 +155,30 @@ def variants(docs):
             root = form[root]
         out[w] = (form[w], root, n, len(near[w]), counts.get(form[w]))
     return out
+
+
+def phrases(rows, min_count=100, top=2000):
+    """rows: (lang, text); sorted (lang, rank, phrase, a, l, r, n, score)."""
+    f, n = Counter(), Counter()
+    for lang, t in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", lower(t)):
+            w = re.findall(rb"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
+    f = {g: a for g, a in f.items() if a >= min_count}
+    inside = defaultdict(int)
+    for g, a in f.items():
+        w = g[1:]
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                inside[g[0], *w[i : i + k]] = max(inside[g[0], *w[i : i + k]], a)
+    out = defaultdict(list)
+    for g, a in f.items():
+        if len(g) > 2 and inside[g] < a:
+            cuts = ((f[g[:k]], f[g[0], *g[k:]]) for k in range(2, len(g)))
+            score, k, l, r = min((1000 * a * n[g[0]] // (l * r), k, l, r) for k, (l, r) in enumerate(cuts))
+            out[g[0]].append((-score, -a, b" ".join(g[1:]), l, r))
+    return sorted(
+        (lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, found in out.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:top])
+    )
