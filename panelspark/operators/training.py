@@ -1,17 +1,10 @@
-"""Seeded sampling, label assembly, verdicts, weights and a Spark ML headline classifier."""
+"""Seeded sampling, label assembly, verdicts and weights."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import checkpointed, rank_in_group, sampling_hash, unit_hash
+from ..scale import rank_in_group, sampling_hash, unit_hash
 from ..session import PSEUDO_CONFIDENCE
 from .dedup import merge_sources
 from .filters import clean_labels
@@ -186,47 +179,3 @@ def class_weights(df: DataFrame, cap: float = 1.5, label: str = "label") -> Data
     n = F.col("rel") + F.col("irr")
     wi, wr = F.try_divide(n, 2 * F.col("irr")), F.try_divide(n, 2 * F.col("rel"))
     return counts.select(wi.alias("w_irrelevant"), F.when(wr > cap * wi, cap * wi).otherwise(wr).alias("w_relevant"))
-
-
-def fit_classifier(
-    df: DataFrame, folds: int = 5, seed: int = 42, features: int = 1 << 18, reg: tuple = (0.01, 0.1), rows: DataFrame | None = None
-):
-    """Cross-validated logistic regression on headline words and word pairs, weighted by source and class.
-
-    ``rows``: the same rows with their ``fold``, if they are dealt already; then the model of each fold is kept too.
-    """
-    weights = class_weights(df).first()
-    keep = rows is not None
-    rows = sample_weights(rows if keep else assign_folds(df, folds, seed=seed))
-    rows = rows.withColumn(
-        "weight",
-        F.col("sample_weight") * F.when(F.col("label") == "relevant", weights["w_relevant"]).otherwise(weights["w_irrelevant"]),
-    ).withColumn("target", (F.col("label") == "relevant").cast("double"))
-    lr = LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", maxIter=50)
-    stages = [
-        RegexTokenizer(inputCol="title", outputCol="words", pattern=r"\W+"),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        HashingTF(inputCol="words", outputCol="tf1", numFeatures=features),
-        HashingTF(inputCol="pairs", outputCol="tf2", numFeatures=features),
-        IDF(inputCol="tf1", outputCol="idf1"),
-        IDF(inputCol="tf2", outputCol="idf2"),
-        VectorAssembler(inputCols=["idf1", "idf2"], outputCol="features"),
-        lr,
-    ]
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg)).build()
-    judge = BinaryClassificationEvaluator(labelCol="target", weightCol="weight")
-    cv = CrossValidator(
-        estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=2, collectSubModels=keep
-    )
-    return cv.fit(rows)
-
-
-
-def held_out_scores(df: DataFrame, folds: int = 5, seed: int = 42, **options) -> DataFrame:
-    """Every row with the prediction of the classifier fitted to the other folds alone, at the regularisation that the
-    cross-validation chooses."""
-    rows = checkpointed(assign_folds(df, folds, seed=seed))
-    model = fit_classifier(df, folds, seed, rows=rows, **options)
-    best = max(range(len(model.avgMetrics)), key=model.avgMetrics.__getitem__)
-    scored = [model.subModels[i][best].transform(rows.filter(F.col("fold") == i)) for i in range(folds)]
-    return reduce(DataFrame.unionByName, (s.select(*df.columns, "probability", "prediction") for s in scored))

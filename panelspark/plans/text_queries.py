@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text
-from ..operators import dedup, evaluation, filters, matrices, relevance, training
+from ..operators import dedup, evaluation, filters, headline_classifier, matrices, relevance, training
 from ..scale import rank_in_group
 from ..sources import sinks, tables
 from ..views import Tables
@@ -1050,4 +1050,4 @@ def _(t: Tables):
 
 @query("headline_classifier_scores")
 def _(t: Tables):
-    return training.held_out_scores(t.annotated).select("id", "label", "prediction")
+    return headline_classifier.held_out_scores(t.annotated).select("id", "label", "prediction")
