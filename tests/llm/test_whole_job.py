@@ -3,7 +3,6 @@
 from panelspark.llm import decontaminate as D
 from panelspark.llm import html_text as H
 from panelspark.llm import personal_data as N
-from panelspark.operators import training as T
 
 
 def test_disclosing_terms_go_wherever_they_stand(spark):
@@ -45,12 +44,3 @@ def test_benchmark_items_without_an_id(spark):
     items = spark.createDataFrame([(None, "one two three"), (7, "B c"), (None, None)], "item_id long, text string")
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.decontaminate(rows, items).collect()}
     assert got == {1: (3, [None]), 2: (0, []), 3: (2, [7])}
-
-
-def test_classifier_scores_rows_it_has_not_seen(spark):
-    """A word of one row alone tells its label only to a model that was fitted to that row."""
-    rows = [(i, f"same word{i}", "relevant" if i % 2 else "irrelevant", "llm_v2") for i in range(12)]
-    df = spark.createDataFrame(rows, "id long, title string, label string, source string")
-    out = T.held_out_scores(df, folds=2, features=1 << 12, reg=(0.1,)).collect()
-    assert sorted(r["id"] for r in out) == list(range(12))
-    assert any((r["label"] == "relevant") != (r["prediction"] == 1.0) for r in out)
