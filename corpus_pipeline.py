@@ -34,16 +34,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id are one group, of which one row stays: that with the smallest text.
     """
     kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    twice = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row"))
-    return twice.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("doc_id")
+    rest = [c for c in docs.columns if c != "text"]
+    twice = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *rest)).alias("row"))
+    once = named.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(twice.select("row.*")).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark stay. Rows without an id are judged together with each other."""
+    """Documents without any window of the benchmark stay. Rows that share an id are judged together; a row without an id is
+    judged alone."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    hit = decontaminate(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    nameless = checkpointed(docs.filter("doc_id IS NULL").withColumn("__row", F.monotonically_increasing_id()))
+
+    def hits(rows: DataFrame, key: str) -> DataFrame:
+        return decontaminate(rows, benchmark, key).filter("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+
+    named = docs.filter("doc_id IS NOT NULL")
+    named = named.join(hits(named, "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return named.unionByName(nameless.join(hits(nameless, "__row"), "__row", "left_anti").drop("__row"))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
