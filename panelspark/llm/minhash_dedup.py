@@ -190,8 +190,7 @@ def _links(compared: DataFrame) -> DataFrame:
 
 def _stamp(edges: DataFrame) -> tuple:
     """Tells two sets of edges apart."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum("u"), F.sum("v"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
 
 def near_duplicates(

@@ -1,7 +1,11 @@
 """Cases in which an operator did less than its whole job."""
 
+import corpus_pipeline as pipe
+from rows import SMALL
+
 from panelspark.llm import decontaminate as D
 from panelspark.llm import html_text as H
+from panelspark.llm import minhash_dedup as M
 from panelspark.llm import personal_data as N
 
 
@@ -44,3 +48,27 @@ def test_benchmark_items_without_an_id(spark):
     items = spark.createDataFrame([(None, "one two three"), (7, "B c"), (None, None)], "item_id long, text string")
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.decontaminate(rows, items).collect()}
     assert got == {1: (3, [None]), 2: (0, []), 3: (2, [7])}
+
+
+def test_ids_near_the_largest(spark):
+    top = 9_223_372_036_854_775_000
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(top + i, f"{text} and {i}") for i in range(4)] + [(-top, "something else here"), (top + 9, f"{text} and 1")]
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {top: top, top + 1: top, top + 2: top, top + 3: top, top + 9: top, -top: -top}
+
+
+def test_rows_without_an_id_are_judged_alone(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    rows = [(None, "clean words of no exam"), (None, f"so {item} ends"), (None, None), (1, f"see {item}"), (2, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    got = sorted(map(str, (tuple(r)[:2] for r in pipe.drop_contaminated(spark, docs, SMALL).collect())))
+    assert got == sorted(map(str, [rows[0], rows[2], rows[4]]))
+
+
+def test_of_rows_with_one_id_one_stays(spark):
+    rows = [(1, "b one two three four five"), (1, "a one two three four five"), (2, "other words entirely than those"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    out = pipe.drop_near_duplicates(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "x"), (0, "x"), (1, "a one two three four five"), (2, "other words entirely than those")]
