@@ -64,30 +64,6 @@ def total_gram(df: DataFrame, cols: list[Column | str]) -> tuple[int, np.ndarray
     return (row["n"], unpack(row["g"], k)) if row["n"] else (0, np.zeros((k, k)))
 
 
-def vector_gram(df: DataFrame, vector: str, k: int) -> tuple[int, np.ndarray]:
-    """The same for an array column of length k. Each input partition forms one partial sum from its Arrow batches."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((k, k)), 0
-        for pdf in batches:
-            if len(pdf):
-                m = np.vstack(pdf[vector].to_numpy())
-                total += m.T @ m
-                n += len(m)
-        yield pd.DataFrame({"pos": np.arange(k * k + 1), "v": np.append(total.ravel(), float(n))})
-
-    rows = df.select(vector).mapInPandas(partial, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(k * k + 1)
-    for r in rows:
-        flat[r["pos"]] = r["v"]
-    return int(flat[-1]), flat[:-1].reshape(k, k)
-
-
-def vector_agg(df: DataFrame, key: str, vector: str, k: int, how, name: str) -> DataFrame:
-    """Element-wise aggregate of an array column of length k per key, combined before the shuffle."""
-    return df.groupBy(key).agg(F.array(*[how(F.get(vector, F.lit(i))) for i in range(k)]).alias(name))
-
-
 def moving_sums(df: DataFrame, by: list[str], pos: str, scores: list[str], lags: Column) -> DataFrame:
     """Sums of each score over positions t-lags..t, for t up to ``lags`` past the end.
 

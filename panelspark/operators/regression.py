@@ -6,13 +6,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql import Window as W
 
 from ..functions.dates import month_index
 from ..functions.distributions import chi2_sf, f_critical, f_sf, normal_two_sided
-from ..moments import total_gram, vector_agg, vector_gram
+from ..moments import total_gram
 from ..scale import checkpointed, group_quantiles, rank_in_group
 from .filters import has_scores, in_window, month_label, post_flag, stance, top_score
 
@@ -121,100 +121,90 @@ def within(
     return out.drop(*[c + s for c in cols for s in ("__e", "__t")])
 
 
-# levels of all but the largest factor that may be solved for at once on the driver (a matrix of at most 3 MB)
-DIRECT_LEVELS = 600
+#: The normal equations count as solved when the residual, scaled by the levels' weights, is this small against the first one.
+SOLVED_TO = 1e-11
+#: Rounds without a smaller residual after which double precision allows no better one.
+STALLED_ROUNDS = 30
 
 
 def absorb(df: DataFrame, cols: list[str], factors: list[str]) -> DataFrame:
-    """Exact removal of several factors.
+    """Exact removal of several factors; rows without a level of each are left out.
 
     The result only depends on the means of each cell of the crossed factors, so the work runs on one row per cell with
-    its row count as weight, however many rows there are. The largest factor is always removed by its means; the levels
-    of the others are solved for directly while they are few, else by alternating projections.
+    its row count as weight, however many rows there are. The factor with most levels is removed by its means; the effects of
+    the other levels solve the normal equations that are left, by conjugate gradients that scale every level by its weight:
+    one path for any number of levels, with the state in tables.
     """
-    cells = df.groupBy(*factors).agg(F.count(F.lit(1)).alias("_w"), *[F.avg(c).alias(c) for c in cols])
-    cells = checkpointed(cells)
-    sizes = cells.agg(*[F.countDistinct(f).alias(f) for f in factors]).first().asDict()
-    order = sorted(factors, key=lambda f: sizes[f])
-    few = sum(sizes[f] for f in order[:-1]) <= DIRECT_LEVELS
-    done = _absorb_direct(cells, cols, order) if few else _absorb_rounds(cells, cols, order)
-    done = done.select(*factors, *[F.col(c).alias(c + "__a") for c in cols])
-    shift = cells.join(done, factors).select(*factors, *[(F.col(c + "__a") - F.col(c)).alias(c + "__s") for c in cols])
-    out = df.join(shift, factors)
-    return out.withColumns({c: F.col(c) + F.col(c + "__s") for c in cols}).drop(*[c + "__s" for c in cols])
-
-
-def _sweep(cells: DataFrame, cols: list[str], factor: str) -> DataFrame:
-    """Subtract the weighted means per level; the means stay as ``<col>__m``."""
-    means = cells.groupBy(factor).agg(*[(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c + "__m") for c in cols])
-    return cells.join(means, factor).withColumns({c: F.col(c) - F.col(c + "__m") for c in cols})
-
-
-def _without_means(cells: DataFrame, cols: list[str]) -> DataFrame:
-    return cells.drop(*[c + "__m" for c in cols])
-
-
-def _absorb_direct(cells: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
-    """Normal equations of the smaller factors after the largest one is partialled out."""
-    spark, small, big = cells.sparkSession, order[:-1], order[-1]
-    levels, size = {}, 0
-    for f in small:
-        values = [r[0] for r in cells.select(f).distinct().orderBy(f).collect()]
-        levels[f] = [(v, size + i) for i, v in enumerate(values)]
-        size += len(values)
-    rows = _without_means(_sweep(cells, cols, big), cols)
-    for f in small:
-        kind = cells.schema[f].dataType.simpleString()
-        rows = rows.join(spark.createDataFrame(levels[f], f"`{f}` {kind}, `_i_{f}` int"), f)
-    index = F.array(*[f"_i_{f}" for f in small])
-    pairs = rows.select("_w", F.explode(index).alias("_a"), index.alias("_all")).select("_w", "_a", F.explode("_all").alias("_b"))
-    left = np.zeros((size, size))
-    for r in pairs.groupBy("_a", "_b").agg(F.sum("_w").alias("w")).collect():
-        left[r["_a"], r["_b"]] = r["w"]
-    long = rows.select(big, "_w", *cols, F.explode(index).alias("_a"))
-    counts = long.groupBy(big, "_a").agg(F.sum("_w").cast("double").alias("_n"))
-    entries = F.map_from_entries(F.collect_list(F.struct("_a", "_n")))
-    # every cell contributes one entry per small factor, hence the division by their number
-    per_big = counts.groupBy(big).agg(entries.alias("_m"), (F.sum("_n") / len(small)).alias("_t"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.sqrt("_t"))
-    left -= vector_gram(per_big.select(vector.alias("_v")), "_v", size)[1]
-    right = np.zeros((size, len(cols)))
-    for r in long.groupBy("_a").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in cols]).collect():
-        right[r["_a"]] = [r[c] for c in cols]
-    theta = np.linalg.lstsq(left, right, rcond=1e-11)[0]
-    for f in small:
-        kind = cells.schema[f].dataType.simpleString()
-        table = [(v, *map(float, theta[i])) for v, i in levels[f]]
-        effect = spark.createDataFrame(table, f"`{f}` {kind}, " + ", ".join(f"`{c}__f` double" for c in cols))
-        rows = rows.join(effect, f).withColumns({c: F.col(c) - F.col(c + "__f") for c in cols}).drop(*[c + "__f" for c in cols])
-    return _without_means(_sweep(rows, cols, big), cols)
-
-
-def _absorb_rounds(cells: DataFrame, cols: list[str], factors: list[str], tol: float = 1e-9, max_rounds: int = 500) -> DataFrame:
-    """Alternating projections. Each round is checkpointed to keep the plan short, and moves along the line from the
-    last point by the optimal step (Gearhart and Koshy, 1989)."""
-    for _ in range(max_rounds):
-        swept = cells.withColumns({c + "__0": F.col(c) for c in cols}).withColumn("_worst", F.lit(0.0))
-        for f in factors:
-            swept = _sweep(swept, cols, f)
-            worst = F.greatest("_worst", *[F.abs(F.col(c + "__m")) for c in cols])
-            swept = _without_means(swept.withColumn("_worst", worst), cols)
-        swept = checkpointed(swept)
-        gap = {c: F.col(c + "__0") - F.col(c) for c in cols}
-        stats = swept.agg(
-            F.max("_worst").alias("_worst"),
-            F.sum("_w").alias("_w"),
-            *[F.sum(F.col("_w") * F.col(c + "__0") * g).alias(c + "__a") for c, g in gap.items()],
-            *[F.sum(F.col("_w") * g * g).alias(c + "__b") for c, g in gap.items()],
-        ).first()
-        if (stats["_worst"] or 0.0) < tol:
-            return swept.drop("_worst", *[c + "__0" for c in cols])
-        # a column that has settled gives no usable direction any more
-        moving = {c: stats[c + "__b"] > (tol**2) * stats["_w"] for c in cols}
-        step = {c: stats[c + "__a"] / stats[c + "__b"] if moving[c] else 1.0 for c in cols}
-        cells = swept.withColumns({c: F.col(c + "__0") - g * step[c] for c, g in gap.items()})
-        cells = cells.drop("_worst", *[c + "__0" for c in cols])
-    raise RuntimeError("the fixed effects did not converge")
+    df = df.dropna(subset=factors)
+    cells = df.groupBy(*factors).agg(F.count(F.lit(1)).cast("double").alias("_w"), *[F.avg(c).alias(c) for c in cols])
+    sizes = cells.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first().asDict()
+    *others, most = sorted(factors, key=lambda f: sizes[f])
+    keys = [f"_k{i}" for i in range(len(others))]
+    named = {k: F.concat(F.lit(f"{i}:"), F.col(f).cast("string")) for i, (k, f) in enumerate(zip(keys, others))}
+    cells = checkpointed(cells.withColumns({**named, "_most": F.col(most)}))
+    left = cells
+    if others:
+        left = _at_cells(cells, checkpointed(_effects(cells, cols, keys)), cols, keys)
+        left = left.withColumns({c: F.col(c) - F.col(c + "__v") for c in cols})
+    left = _net(left, cols).select(*factors, *[F.col(c).alias(c + "__u") for c in cols])
+    fitted = cells.join(left, factors).select(*factors, *[(F.col(c) - F.col(c + "__u")).alias(c + "__s") for c in cols])
+    out = df.join(checkpointed(fitted), factors)
+    return out.withColumns({c: F.col(c) - F.col(c + "__s") for c in cols}).drop(*[c + "__s" for c in cols])
+
+
+def _net(cells: DataFrame, cols: list[str]) -> DataFrame:
+    """Subtract the weighted means per level of the factor with most levels."""
+    means = cells.groupBy("_most").agg(*[(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c + "__m") for c in cols])
+    return cells.join(means, "_most").withColumns({c: F.col(c) - F.col(c + "__m") for c in cols}).drop(*[c + "__m" for c in cols])
+
+
+def _at_cells(cells: DataFrame, levels: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """Every cell with ``<col>__v``, the sum of what its levels have in (_k, cols)."""
+    out = cells
+    for k in keys:
+        out = out.join(levels.select(F.col("_k").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in cols]), k)
+    sums = {c + "__v": sum((F.col(f"{c}_{k}") for k in keys[1:]), F.col(f"{c}_{keys[0]}")) for c in cols}
+    return out.withColumns(sums).drop(*[f"{c}_{k}" for c in cols for k in keys])
+
+
+def _per_level(cells: DataFrame, values: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Weighted sums of cell values per level of every factor: (_k, names of the values)."""
+    rows = cells.select("_w", F.explode(F.array(*keys)).alias("_k"), *[v.alias(n) for n, v in values.items()])
+    return rows.groupBy("_k").agg(*[F.sum(F.col("_w") * F.col(n)).alias(n) for n in values])
+
+
+def _effects(cells: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """(_k, cols): effects of the levels named in ``keys``, by conjugate gradients; all columns share the passes. Each round stores the state
+    (effect x, residual r, direction p, product q) once, and the dot products are observed while it is written."""
+    first = _per_level(_net(cells, cols), {"_d": F.lit(1.0), **{c + "__r": F.col(c) for c in cols}}, keys)
+    state = first.select("_k", "_d", *[F.lit(0.0).alias(c + "__x") for c in cols], *[c + "__r" for c in cols])
+    state = state.withColumns({c + "__p": F.col(c + "__r") / F.col("_d") for c in cols})
+    start: dict[str, float] | None = None
+    best, stalled = math.inf, 0
+    state = checkpointed(state)
+    while True:
+        direction = state.select("_k", *[F.col(c + "__p").alias(c) for c in cols])
+        moved = _at_cells(cells.select("_w", "_most", *keys), direction, cols, keys)
+        moved = _net(moved, [c + "__v" for c in cols])
+        product = _per_level(moved, {c + "__q": F.col(c + "__v") for c in cols}, keys)
+        seen = Observation()
+        r, p, q, d = ({c: F.col(f"{c}__{x}") for c in cols} if x != "d" else F.col("_d") for x in "rpqd")
+        sums = {f"{n}_{c}": v for c in cols for n, v in {"rr": r[c] * r[c] / d, "pq": p[c] * q[c], "rq": r[c] * q[c] / d, "qq": q[c] * q[c] / d}.items()}
+        state = checkpointed(state.join(product, "_k").observe(seen, *[F.coalesce(F.sum(v), F.lit(0.0)).alias(n) for n, v in sums.items()]))
+        got = {k: float(v) for k, v in seen.get.items()}
+        start = start or {c: got[f"rr_{c}"] for c in cols}
+        worst = max((got[f"rr_{c}"] / start[c] if start[c] > 0 else 0.0) for c in cols)
+        best, stalled = (worst, 0) if worst < best else (best, stalled + 1)
+        if worst <= SOLVED_TO**2 or stalled >= STALLED_ROUNDS:
+            return state.select("_k", *[F.col(c + "__x").alias(c) for c in cols])
+        step, turn = {}, {}
+        for c in cols:
+            rr, pq = got[f"rr_{c}"], got[f"pq_{c}"]
+            step[c] = rr / pq if pq > 0 and rr > (SOLVED_TO**2) * start[c] else 0.0
+            left = rr - 2 * step[c] * got[f"rq_{c}"] + step[c] ** 2 * got[f"qq_{c}"]
+            turn[c] = max(0.0, left) / rr if step[c] else 0.0
+        state = state.withColumns({f"{c}__r": r[c] - step[c] * q[c] for c in cols} | {f"{c}__x": F.col(f"{c}__x") + step[c] * p[c] for c in cols})
+        state = state.withColumns({f"{c}__p": r[c] / d + turn[c] * p[c] for c in cols}).drop(*[c + "__q" for c in cols])
 
 
 # --- least squares -------------------------------------------------------------------------------------------------
@@ -328,39 +318,6 @@ def ols(df: DataFrame, y: str, xs: list[str], vcov: str = "hc1", cluster: str |
     return out
 
 
-def ols_wide(df: DataFrame, y: str, vector: str, names: list[str], entity: str, cluster: str) -> Fit:
-    """The same with many regressors held in one array column, entity means removed first."""
-    k = len(names)
-    rows = df.select(entity, cluster, F.col(y).cast("double").alias("_y"), F.col(vector).alias("_x")).dropna()
-    # small rows here become wide ones below, so they are spread over all cores first
-    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.select(entity, cluster, F.array_prepend("_x", F.col("_y")).alias("_x"))
-    means = vector_agg(rows, entity, "_x", k + 1, F.avg, "_m")
-    both = F.zip_with("_x", "_m", lambda a, b: a - b)
-    rows = rows.join(means, entity).select(cluster, F.array_prepend(both, F.lit(1.0)).alias("_z")).persist()
-    n, m = vector_gram(rows, "_z", k + 2)
-    s = _solve(n, m)
-    full = np.zeros(k + 2)
-    full[1] = 1.0
-    full[[i + 2 for i in s.used]] = -s.beta
-    weights = F.array(*[F.lit(float(b)) for b in full])
-    u = F.aggregate(F.zip_with("_z", weights, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    scored = rows.withColumn("_u", u)
-    # residual and scores; the constant's slot carries the residual itself
-    scored = scored.withColumn("_s", F.transform("_z", lambda v: v * F.col("_u")))
-    _, meat = vector_gram(scored, "_s", k + 2)
-    at = [i + 2 for i in s.used]
-    sse = float(meat[0, 0])
-    per_cluster = vector_agg(scored, cluster, "_s", k + 2, F.sum, "_s")
-    groups, cmeat = vector_gram(per_cluster, "_s", k + 2)
-    picked, lost = [names[i] for i in s.used], [x for i, x in enumerate(names) if i not in s.used]
-    r2 = float(1 - sse / s.sst) if s.sst > 0 else math.nan
-    se = _errors(s.inv, meat[np.ix_(at, at)], n / max(n - len(at), 1))
-    fit = Fit(picked, lost, s.beta, se, n, r2, sse, s.xtx, scored, rows)
-    fit.cluster = _cluster_errors(s.inv, cmeat[np.ix_(at, at)], groups, n)
-    return fit
-
-
 def stance_model(panel: DataFrame, time_fe: bool = False, log_volume: bool = False) -> Fit:
     """Daily stance on post and article volume with firm (and day) effects, clustered by day."""
     volume = "article_volume"
@@ -377,17 +334,106 @@ def return_model(panel: DataFrame, firm: str = "ticker", time_fe: bool = False)
     return ols(within(panel, "daily_return", xs, firm, "date" if time_fe else None), "daily_return", xs)
 
 
-def event_study(panel: DataFrame, lo: int = -24, hi: int = 24, ref: int = -1, base_year: int = 2020) -> DataFrame:
-    """Monthly event study with firm effects, clustered by day."""
+def event_study(
+    panel: DataFrame, lo: int = -24, hi: int = 24, ref: int = -1, base_year: int = 2020, firm: str = "company_id", y: str = "daily_stance", x: str = "article_volume"
+) -> DataFrame:
+    """Monthly event study with firm effects, clustered by day; rows without firm, day, y or x are left out.
+
+    A month's dummy less its firm mean is e_m - a_im, where a_im is the share of firm i's days in month m. So X'X, X'y and the
+    robust variance follow from counts and sums of (firm, month) cells, and the scores of a day from sums over its rows
+    of the residual times a_im; no row ever holds the dummies. Rows with one value per day of the window, at most 31 for
+    each month, reach the driver.
+    """
+    rows = panel.withColumn("_m", month_index(F.col("date"), base_year)).filter(F.col("_m").between(lo, hi))
+    rows = rows.select(F.col(firm).alias("_i"), "date", "_m", F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
+    rows = checkpointed(rows.dropna())
+    n = F.count(F.lit(1)).cast("double")
+    cells = checkpointed(rows.groupBy("_i", "_m").agg(n.alias("n"), F.sum("_y").alias("sy"), F.sum("_x").alias("sx")))
+    firms = checkpointed(cells.groupBy("_i").agg(F.sum("n").alias("ni"), (F.sum("sy") / F.sum("n")).alias("my"), (F.sum("sx") / F.sum("n")).alias("mx")))
     months = [m for m in range(lo, hi + 1) if m != ref]
-    rows = panel.withColumn("event_month", month_index(F.col("date"), base_year)).filter(F.col("event_month").between(lo, hi))
-    dummies = F.transform(F.array(*[F.lit(m) for m in months]), lambda m: (F.col("event_month") == m).cast("double"))
-    rows = rows.withColumn("_design", F.array_append(dummies, F.col("article_volume").cast("double")))
-    names = [f"event_{month_label(m)}" for m in months] + ["article_volume"]
-    fit = ols_wide(rows, "daily_stance", "_design", names, "company_id", "date")
+    at = {m: i + 2 for i, m in enumerate(months)}
+    v = len(months) + 2
+    # moments of (1, y, months, x), all less their firm means
+    net = rows.join(firms, "_i").select("_i", "date", "_m", (F.col("_y") - F.col("my")).alias("_y"), (F.col("_x") - F.col("mx")).alias("_x"))
+    total, m = np.zeros(()), np.zeros((v + 1, v + 1))
+    for r in net.groupBy("_m").agg(n.alias("n"), *[F.sum(F.expr(c)).alias(k) for k, c in _PRODUCTS.items()]).collect():
+        total = total + r["n"]
+        m[1, 1], m[1, v], m[v, v] = m[1, 1] + r["yy"], m[1, v] + r["xy"], m[v, v] + r["xx"]
+        if r["_m"] in at:
+            k = at[r["_m"]]
+            m[k, k], m[1, k], m[k, v] = r["n"], r["y"], r["x"]
+    shares = cells.filter(F.col("_m") != ref).join(firms.select("_i", "ni"), "_i").select("_i", "_m", (F.col("n") / F.col("ni")).alias("a"), "ni")
+    other = shares.select("_i", F.col("_m").alias("_o"), F.col("a").alias("b"))
+    pair = shares.join(other, "_i").groupBy("_m", "_o")
+    for r in pair.agg(F.sum(F.col("a") * F.col("b") * F.col("ni")).alias("s")).collect():
+        m[at[r["_m"]], at[r["_o"]]] -= r["s"]
+    m = np.triu(m) + np.triu(m, 1).T
+    s = _solve(int(total), m)
+    full = np.zeros(v - 1)
+    full[s.used] = s.beta
+    month_effect = F.element_at(F.create_map(*[F.lit(z) for i, k in enumerate(months) for z in (k, float(full[i]))]), F.col("_m"))
+    # the residual adds the month effects' firm mean
+    inner = cells.withColumn("_e", F.coalesce(month_effect, F.lit(0.0))).groupBy("_i").agg((F.sum(F.col("n") * F.col("_e")) / F.sum("n")).alias("_f"))
+    u = F.col("_y") - F.coalesce(month_effect, F.lit(0.0)) + F.col("_f") - float(full[-1]) * F.col("_x")
+    scored = checkpointed(net.join(inner, "_i").select("_i", "date", "_m", "_x", u.alias("_u")))
+    meat, sse = _event_meat(scored, shares, other, at, v)
+    daily = _event_days(scored, shares, months, at, v)
+    keep = [i + 2 for i in s.used]
+    names = [f"event_{month_label(k)}" for k in months] + [x]
+    used = [names[i] for i in s.used]
+    size, k = int(total), len(used)
+    r2 = float(1 - sse / s.sst) if s.sst > 0 else math.nan
+    se = _errors(s.inv, meat[np.ix_(keep, keep)], size / max(size - k, 1))
+    fit = Fit(used, [c for c in names if c not in used], s.beta, se, size, r2, sse, s.xtx, scored, scored)
+    fit.cluster = _cluster_errors(s.inv, (daily.T @ daily)[np.ix_(keep, keep)], len(daily), size)
     return fit.frame().withColumn("month_label", F.regexp_replace("variable", "^event_", ""))
 
 
+_PRODUCTS = {"y": "_y", "x": "_x", "yy": "_y * _y", "xy": "_x * _y", "xx": "_x * _x"}
+
+
+def _event_meat(scored: DataFrame, shares: DataFrame, other: DataFrame, at: dict[int, int], v: int) -> tuple[np.ndarray, float]:
+    """Sum of u^2 x x' over all rows from sums of (firm, month) cells, and the sum of u^2."""
+    w, x = F.col("_u") * F.col("_u"), F.col("_x")
+    cells = checkpointed(scored.groupBy("_i", "_m").agg(F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx")))
+    meat, sse = np.zeros((v + 1, v + 1)), 0.0
+    for r in cells.groupBy("_m").agg(F.sum("s").alias("s"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx")).collect():
+        sse += r["s"]
+        meat[v, v] += r["sxx"]
+        if r["_m"] in at:
+            meat[at[r["_m"]], at[r["_m"]]] += r["s"]
+            meat[at[r["_m"]], v] += r["sx"]
+    # s_im a_io and s_i a_im a_io, summed over firms
+    for r in cells.join(other, "_i").groupBy("_m", "_o").agg(F.sum(F.col("s") * F.col("b")).alias("s"), F.sum(F.col("sx") * F.col("b")).alias("sx")).collect():
+        o = at[r["_o"]]
+        meat[o, v] -= r["sx"]
+        if r["_m"] in at:
+            meat[at[r["_m"]], o] -= r["s"]
+            meat[o, at[r["_m"]]] -= r["s"]
+    whole = cells.groupBy("_i").agg(F.sum("s").alias("s"))
+    pairs = shares.join(other, "_i").join(whole, "_i").groupBy("_m", "_o")
+    for r in pairs.agg(F.sum(F.col("a") * F.col("b") * F.col("s")).alias("s")).collect():
+        meat[at[r["_m"]], at[r["_o"]]] += r["s"]
+    meat[v, :v] = meat[:v, v]
+    return meat, sse
+
+
+def _event_days(scored: DataFrame, shares: DataFrame, months: list[int], at: dict[int, int], v: int) -> np.ndarray:
+    """The scores of every day: sums of u (e_m - a_im) and of u x over its rows."""
+    vectors = shares.groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("_m", "a"))).alias("_a"))
+    sums = [F.sum(F.col("_u") * F.coalesce(F.try_element_at("_a", F.lit(m)), F.lit(0.0))).alias(f"g{i}") for i, m in enumerate(months)]
+    rows = scored.join(vectors, "_i", "left").groupBy("date", "_m").agg(F.sum("_u").alias("u"), F.sum(F.col("_u") * F.col("_x")).alias("ux"), F.array(*sums).alias("g"))
+    days = rows.toPandas()
+    out = np.zeros((len(days), v + 1))
+    if len(days):
+        out[:, 2:v] = -np.vstack(days["g"].to_numpy())
+        out[:, v] = days["ux"]
+        for i, (month, u) in enumerate(zip(days["_m"], days["u"])):
+            if month in at:
+                out[i, at[month]] += u
+    return out
+
+
 def continuous_did(df: DataFrame, y: str, x: str, factors: list[str]) -> Fit:
     """y on x with all factors absorbed, heteroskedasticity-robust errors."""
     return ols(within(df, y, [x], factors[0], fe="absorb", factors=factors), y, [x], vcov="hc0")
@@ -470,28 +516,81 @@ def _vif(xtx: np.ndarray, centred: np.ndarray, i: int) -> float | None:
 # --- synthetic control ---------------------------------------------------------------------------------------------
 
 
-def _synthetic_effect(min_pre: int, min_post: int, min_donors: int):
-    """Effect for one treated firm from its days: own return and the array of all donors' returns."""
-
-    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"firm": [], "effect": []})
-        x = np.array(pdf["donors"].tolist(), dtype=float)
-        y, post = pdf["y"].to_numpy(dtype=float), pdf["post"].to_numpy() == 1
-        pre = ~post
-        if pre.sum() < min_pre or post.sum() < min_post:
-            return empty
-        valid = pre & (np.isfinite(x).sum(axis=1) >= min_donors)
-        if valid.sum() < min_pre:
-            return empty
-        seen = np.isfinite(x[valid])
-        n_seen = seen.sum(axis=0)
-        means = np.where(n_seen > 0, np.nansum(np.where(seen, x[valid], 0.0), axis=0) / np.maximum(n_seen, 1), np.nan)
-        # a donor never seen before the cut-off has no mean to fill with and cannot be used
-        usable = n_seen > 0
-        x = np.where(np.isfinite(x), x, means)[:, usable]
-        w = np.clip(np.linalg.lstsq(x[valid], y[valid], rcond=None)[0], 0.0, None)
-        w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1.0 / len(w))
-        return pd.DataFrame({"firm": [str(pdf["firm"].iloc[0])], "effect": [float(np.mean(y[post] - x[post] @ w))]})
+#: Firms whose daily returns one task holds at a time, as a matrix of days by firms; tasks take three such blocks.
+FIRM_BLOCK = 64
+
+
+def _firm_blocks(daily: DataFrame, days: int) -> DataFrame:
+    """(block, codes, values): FIRM_BLOCK firms each, their values by day packed as a matrix with nan where there is none."""
+
+    def packed(table: pa.Table) -> pa.Table:
+        code, day, y = (table.column(c).to_numpy() for c in ("code", "day", "_y"))
+        codes = np.unique(code)
+        values = np.full((days, len(codes)), np.nan)
+        values[day, np.searchsorted(codes, code)] = y
+        return pa.table({"block": table.column("block")[:1], "codes": pa.array([codes.tolist()], pa.list_(pa.int64())), "x": pa.array([values.tobytes()], pa.binary())})
+
+    rows = daily.select(F.floor((F.col("code") - 1) / FIRM_BLOCK).cast("long").alias("block"), "code", "day", "_y")
+    return rows.groupBy("block").applyInArrow(packed, "block long, codes array<long>, x binary")
+
+
+def _moments_of(valid: np.ndarray, post: np.ndarray):
+    """For blocks of donors a and b and of treated firms c: per treated firm the products of the donors' returns over its
+    valid days, where a donor's missing day counts as its mean over these days."""
+
+    def moments(table: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+        xa, xb, y = (np.frombuffer(row[x]).reshape(len(valid), -1) for x in ("xa", "xb", "xc"))
+        (ma, a), (mb, b) = ((np.isfinite(x), np.nan_to_num(x, nan=0.0)) for x in (xa, xb))
+        out = []
+        for c, code in enumerate(row["codes_c"]):
+            there = np.isfinite(y[:, c])
+            on, after = (there & valid).astype(float)[:, None], there & post
+            n, sums = on.sum(), [(on * x).sum(axis=0) for x in (a, ma, b, mb)]
+            sa, na, sb, nb = sums
+            ua, ub = sa / np.maximum(na, 1), sb / np.maximum(nb, 1)
+            da, dm = a * on, ma * on
+            g = da.T @ b + (sa[:, None] - da.T @ mb) * ub + ua[:, None] * (sb - dm.T @ b)
+            g += ua[:, None] * ub * (n - na[:, None] - nb + dm.T @ mb)
+            own, days = np.where(there, y[:, c], 0.0), int(after.sum())
+            h = (da * own[:, None]).sum(axis=0) + ua * ((on[:, 0] * own).sum() - (dm * own[:, None]).sum(axis=0))
+            later = (a[after].sum(axis=0) + ua * (days - ma[after].sum(axis=0))) / max(days, 1)
+            out.append((code, row["a"], row["b"], row["codes_a"], g.tobytes(), h.tolist(), later.tolist(), na.tolist(), int((there & ~post).sum()), days, int(n), float(own[after].sum() / max(days, 1))))
+        return pa.table({f.name: pa.array([r[i] for r in out], f.type) for i, f in enumerate(_MOMENTS)}, schema=_MOMENTS)
+
+    return moments
+
+
+_MOMENTS = pa.schema(
+    [("code", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("codes", pa.list_(pa.int64())), ("g", pa.binary())]
+    + [(c, pa.list_(pa.float64())) for c in ("h", "later", "seen")]
+    + [("pre", pa.int64()), ("post", pa.int64()), ("valid", pa.int64()), ("own", pa.float64())]
+)
+
+
+def _weighted_effect(min_pre: int, min_post: int):
+    """Effect for one treated firm from the blocks of its moments."""
+
+    def effect(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        code, out = rows[0]["code"], {"code": pa.array([], pa.int64()), "effect": pa.array([], pa.float64())}
+        diagonal = sorted((r for r in rows if r["a"] == r["b"]), key=lambda r: r["a"])
+        first = diagonal[0]
+        if first["pre"] < min_pre or first["post"] < min_post or first["valid"] < min_pre:
+            return pa.table(out)
+        codes, h, later, seen = (np.concatenate([r[c] for r in diagonal]) for c in ("codes", "h", "later", "seen"))
+        begin = dict(zip((r["a"] for r in diagonal), np.cumsum([0, *(len(r["codes"]) for r in diagonal)]).tolist()))
+        size = {r["a"]: len(r["codes"]) for r in diagonal}
+        g = np.zeros((len(codes), len(codes)))
+        for r in rows:
+            a, b = slice(begin[r["a"]], begin[r["a"]] + size[r["a"]]), slice(begin[r["b"]], begin[r["b"]] + size[r["b"]])
+            part = np.frombuffer(r["g"]).reshape(size[r["a"]], size[r["b"]])
+            g[a, b], g[b, a] = part, part.T
+        # a donor never seen on valid days has no mean to fill with and cannot be used; nor can the firm itself
+        use = np.flatnonzero((seen > 0) & (codes != code))
+        w = np.clip(np.linalg.pinv(g[np.ix_(use, use)], rcond=1e-12, hermitian=True) @ h[use], 0.0, None)
+        w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1.0 / max(1, len(w)))
+        return pa.table({"code": pa.array([code], pa.int64()), "effect": pa.array([float(first["own"] - later[use] @ w)], pa.float64())})
 
     return effect
 
@@ -499,21 +598,36 @@ def _synthetic_effect(min_pre: int, min_post: int, min_donors: int):
 def synthetic_effects(
     panel: DataFrame, y: str = "daily_return", firm: str = "ticker", min_pre: int = 180, min_post: int = 180, min_donors: int = 5
 ) -> DataFrame:
-    """Post-period effect of every firm against a weighted mix of the others.
+    """Post-period effect of every firm against a weighted mix of the others: least squares on the pre-period days with at
+    least ``min_donors`` others, negative weights cut off, scaled to one.
 
-    One row per day holds all firms; it is repeated for each treated firm with that firm masked. A firm's task then
-    sees its trading days times the number of firms, which the calendar and the universe bound.
+    Firms are dealt into blocks of FIRM_BLOCK. Every two donor blocks meet every block of treated firms and give the
+    moments of its firms; the weights of a firm are solved from the blocks of its own moments. So a task holds three
+    matrices of days by FIRM_BLOCK, and no row all firms. Null values are missing days; a day's post is its largest.
     """
-    daily = panel.groupBy("date", firm).agg(F.avg(y).alias("_y"), F.max("post").alias("post"))
-    # dates x firms as one map per day; the firm list is shared by every row
-    firms = daily.agg(F.sort_array(F.collect_set(firm)).alias("f")).select("f").scalar()
-    wide = daily.groupBy("date", "post").agg(F.map_from_entries(F.collect_list(F.struct(firm, "_y"))).alias("_m"))
-    rows = wide.withColumn("_firms", firms).select("date", "post", "_m", "_firms", F.explode(F.map_keys("_m")).alias("firm"))
-    donors = F.transform(F.filter("_firms", lambda f: f != F.col("firm")), lambda f: F.try_element_at("_m", f))
-    rows = rows.select(
-        F.col("firm").cast("string").alias("firm"), "date", "post", F.try_element_at("_m", F.col("firm")).alias("y"), donors.alias("donors")
-    )
-    return rows.groupBy("firm").applyInPandas(_synthetic_effect(min_pre, min_post, min_donors), "firm string, effect double")
+    daily = checkpointed(panel.filter(F.col(y).isNotNull() & F.col(firm).isNotNull()).groupBy("date", firm).agg(F.avg(y).alias("_y"), F.max("post").alias("post")))
+    # one row a day: the calendar bounds them
+    days = daily.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.max("post").alias("post")).orderBy("date").toPandas()
+    spark = panel.sparkSession
+    if not len(days):
+        return spark.createDataFrame([], "firm string, effect double")
+    start = days["date"].min()
+    offset = np.array([(d - start).days for d in days["date"]])
+    valid, post = np.zeros(offset.max() + 1, bool), np.zeros(offset.max() + 1, bool)
+    post[offset] = days["post"].to_numpy() == 1
+    valid[offset] = (days["post"].to_numpy() != 1) & (days["n"].to_numpy() > min_donors)
+    names = checkpointed(rank_in_group(daily.select(firm).distinct(), [], [F.col(firm)], "code"))
+    coded = daily.join(names, firm).select("code", F.datediff("date", F.lit(start)).alias("day"), "_y")
+    blocks = checkpointed(_firm_blocks(coded, len(valid)))
+    last = F.lit(int((names.count() - 1) // FIRM_BLOCK)).cast("long")
+    side = lambda x: blocks.select(F.col("block").alias(x), F.col("codes").alias("codes_" + x), F.col("x").alias("x" + x))
+    meet = side("a").withColumn("b", F.explode(F.sequence("a", last))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    meet = meet.join(side("b"), "b").join(side("c"), "c")
+    fields = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.float64()): "array<double>"}
+    schema = ", ".join(f"{f.name} {fields[f.type]}" for f in _MOMENTS)
+    moments = meet.groupBy("a", "b", "c").applyInArrow(_moments_of(valid, post), schema)
+    effects = moments.groupBy("code").applyInArrow(_weighted_effect(min_pre, min_post), "code long, effect double")
+    return effects.join(names, "code").select(F.col(firm).cast("string").alias("firm"), "effect")
 
 
 def synthetic_did(panel: DataFrame, y: str = "daily_return", firm: str = "ticker", **limits: int) -> DataFrame:
