@@ -8,19 +8,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
+from ..functions.screening import Screen
+from ..scale import checkpointed
 from ..session import ENSEMBLE_THRESHOLD
 
 # case-insensitive, Unicode classes, and a dot that stops at line feeds only
 _FLAGS = "(?iUd)"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(_FLAGS + pattern)
+# every test that reads a whole title: one scan for all their literals tells which of them can succeed
+TITLE_PATTERNS = [
+    fv.CONSUMER_PATTERN, fv.ANALYST_ACTION_PATTERN, fv.CRIME_PATTERN, fv.LIFESTYLE_PATTERN, fv.VISA_EXCLUSION, fv.INTEL_EXCLUSION, fv.TARGET_EXCLUSION,
+    *(p for r in fv.ADJUSTMENT_RULES for p in (*r.get("patterns", []), *([r["also_pattern"]] if "also_pattern" in r else []))),
+]
+TITLE_PHRASES = [r[k] for r in fv.ADJUSTMENT_RULES for k in ("phrases", "also", "unless") if k in r]
+SCREEN = Screen(TITLE_PATTERNS, TITLE_PHRASES)
 
 
-def any_phrase(lowered: Column, phrases: list[str]) -> Column:
+def matches(text: Column, pattern: str, seen: Column | None = None) -> Column:
+    """The pattern matches; ``seen``, the screen of the text, spares texts without any of its literals."""
+    hit = text.rlike(_FLAGS + pattern)
+    return hit if seen is None else SCREEN.may(seen, pattern) & hit
+
+
+def any_phrase(lowered: Column, phrases: list[str], seen: Column | None = None) -> Column:
     """One of the phrases occurs literally; a single expression keeps the generated code small."""
-    return lowered.rlike("|".join(rf"\Q{p}\E" for p in phrases)) if phrases else F.lit(False)
+    if not phrases:
+        return F.lit(False)
+    hit = lowered.rlike("|".join(rf"\Q{p}\E" for p in phrases))
+    return hit if seen is None else SCREEN.may(seen, phrases) & hit
 
 
 def _text(col: str) -> Column:
@@ -31,75 +47,80 @@ def _blocked_source() -> Column:
     return F.lower(_text("source")).isin(*fv.SOURCE_BLOCKLIST)
 
 
-def _analyst_action(firms: list[str], must_be_named: bool) -> Column:
+def _analyst_action(firms: list[str], must_be_named: bool, seen: Column | None) -> Column:
     title, firm = _text("title"), _text("company_name")
-    rated = firm.isin(*firms) & matches(title, fv.ANALYST_ACTION_PATTERN)
+    rated = firm.isin(*firms) & matches(title, fv.ANALYST_ACTION_PATTERN, seen)
     return rated & F.contains(F.lower(title), F.lower(firm)) if must_be_named else rated
 
 
-def _other_entity(patterns: dict[str, str]) -> Column:
+def _other_entity(patterns: dict[str, str], seen: Column | None) -> Column:
     hit = F.lit(False)
     for firm, pattern in patterns.items():
-        hit = hit | ((_text("company_name") == firm) & matches(_text("title"), pattern))
+        hit = hit | ((_text("company_name") == firm) & matches(_text("title"), pattern, seen))
     return hit
 
 
-def _forced_irrelevant(exclusions: dict[str, str]) -> Column:
+def _forced_irrelevant(exclusions: dict[str, str], seen: Column | None = None) -> Column:
     return (
         _blocked_source()
-        | matches(_text("title"), fv.CONSUMER_PATTERN)
-        | _analyst_action(fv.ANALYST_FIRMS, True)
-        | _other_entity(exclusions)
+        | matches(_text("title"), fv.CONSUMER_PATTERN, seen)
+        | _analyst_action(fv.ANALYST_FIRMS, True, seen)
+        | _other_entity(exclusions, seen)
     )
 
 
-def hard_filter() -> Column:
+def hard_filter(seen: Column | None = None) -> Column:
     """True for rows that are irrelevant before any scoring."""
-    return _forced_irrelevant(fv.HARD_EXCLUSIONS)
+    return _forced_irrelevant(fv.HARD_EXCLUSIONS, seen)
+
+
+def _screened(df: DataFrame) -> DataFrame:
+    return df.withColumn("_seen", SCREEN.of(_text("title")))
 
 
 def post_filter(df: DataFrame, label: str = "predicted_label") -> DataFrame:
     """The same tests applied after scoring, with one more firm exclusion."""
-    forced = _forced_irrelevant(fv.POST_EXCLUSIONS)
-    return df.withColumn(label, F.when(forced, "irrelevant").otherwise(F.col(label)))
+    forced = _forced_irrelevant(fv.POST_EXCLUSIONS, F.col("_seen"))
+    return _screened(df).withColumn(label, F.when(forced, "irrelevant").otherwise(F.col(label))).drop("_seen")
 
 
 def label_filter(df: DataFrame) -> DataFrame:
     """Annotated labels: hedged reasons become DROP, positives hitting a known error pattern become irrelevant."""
-    title = _text("title")
+    title, seen = _text("title"), F.col("_seen")
     label = F.lower(F.trim(_text("label")))
     wrong = (
-        matches(title, fv.CONSUMER_PATTERN)
-        | matches(title, fv.CRIME_PATTERN)
-        | matches(title, fv.LIFESTYLE_PATTERN)
-        | _analyst_action(fv.LABEL_ANALYST_FIRMS, False)
-        | _other_entity(fv.LABEL_EXCLUSIONS)
+        matches(title, fv.CONSUMER_PATTERN, seen)
+        | matches(title, fv.CRIME_PATTERN, seen)
+        | matches(title, fv.LIFESTYLE_PATTERN, seen)
+        | _analyst_action(fv.LABEL_ANALYST_FIRMS, False, seen)
+        | _other_entity(fv.LABEL_EXCLUSIONS, seen)
     )
-    return df.withColumn(
+    return _screened(df).withColumn(
         "label",
         F.when(matches(_text("reason"), fv.HEDGE_PATTERN), "DROP")
         .when((label == "relevant") & wrong, "irrelevant")
         .otherwise(label),
-    )
+    ).drop("_seen")
 
 
-def _fires(rule: dict, title: Column, lowered: Column, firm: Column, strict: bool) -> Column:
+def _fires(rule: dict, strict: bool) -> Column:
+    title, lowered, firm, seen = (F.col(c) for c in ("_trimmed", "_lowered", "_firm", "_seen"))
     phrases = list(rule.get("phrases", []))
-    hit = F.lit(False)
+    literal = any_phrase(lowered, phrases, seen)
     if strict and "ice" in phrases:
-        phrases.remove("ice")
-        hit = hit | matches(title, r"\bice\b")
-    hit = hit | any_phrase(lowered, phrases)
+        rest = [p for p in phrases if p != "ice"]
+        literal = SCREEN.may(seen, phrases) & (any_phrase(lowered, rest) | matches(title, r"\bice\b"))
+    hit = literal
     for pattern in rule.get("patterns", []):
-        hit = hit | matches(title, pattern)
+        hit = hit | matches(title, pattern, seen)
     if "company_contains" in rule:
         hit = hit & F.contains(firm, F.lit(rule["company_contains"]))
     if "also" in rule:
-        hit = hit & any_phrase(lowered, rule["also"])
+        hit = hit & any_phrase(lowered, rule["also"], seen)
     if "also_pattern" in rule:
-        hit = hit & matches(title, rule["also_pattern"])
+        hit = hit & matches(title, rule["also_pattern"], seen)
     if "unless" in rule:
-        hit = hit & ~any_phrase(lowered, rule["unless"])
+        hit = hit & ~any_phrase(lowered, rule["unless"], seen)
     return hit
 
 
@@ -108,21 +129,23 @@ def adjust_scores(df: DataFrame, prob: str = "ensemble_prob", strict: bool = Fal
 
     ``strict`` matches the immigration-agency abbreviation as a word; by default it is a plain substring.
     """
-    title = F.regexp_replace(_text("title"), r"^\s+|\s+$", "")
-    lowered = F.lower(title)
-    firm = F.lower(F.trim(_text("company_name")))
+    rows = df if "_seen" in df.columns else _screened(df)
+    # columns of their own: within the chain of rules they would be worked out again for every rule
+    trimmed = F.regexp_replace(_text("title"), r"^\s+|\s+$", "")
+    rows = rows.withColumns({"_trimmed": trimmed, "_firm": F.lower(F.trim(_text("company_name")))}).withColumn("_lowered", F.lower("_trimmed"))
     # the number of the first rule that fires is worked out once; score and name are looked up by it
     chain = None
     for i, rule in enumerate(fv.ADJUSTMENT_RULES):
-        hit = _fires(rule, title, lowered, firm, strict)
+        hit = _fires(rule, strict)
         chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
     look_up = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_rule"))
     floor = look_up([r["floor"] for r in fv.ADJUSTMENT_RULES])
     cut = look_up([1e9 if r["cut"] is None else r["cut"] for r in fv.ADJUSTMENT_RULES])
-    out = df.withColumn("_rule", chain)
+    out = rows.withColumn("_rule", chain)
     adjusted = F.when(F.col("_rule").isNull(), F.col(prob)).otherwise(F.greatest(floor, F.col(prob) - cut))
     name = F.coalesce(look_up([r["name"] for r in fv.ADJUSTMENT_RULES]), F.lit(""))
-    return out.withColumns({"adj_prob": adjusted, "rule_fired": name}).drop("_rule")
+    drop = ["_rule", "_trimmed", "_lowered", "_firm", *([] if "_seen" in df.columns else ["_seen"])]
+    return out.withColumns({"adj_prob": adjusted, "rule_fired": name}).drop(*drop)
 
 
 def ensemble(df: DataFrame, cols: list[str], weights: list[float] | None = None, name: str = "ensemble_prob") -> DataFrame:
@@ -145,11 +168,11 @@ def classify(
 
     ``score`` adds ``ensemble_prob``; without it the column must exist. It runs on the surviving rows alone.
     """
+    flagged = _screened(df).withColumn("_hard", hard_filter(F.col("_seen")))
     if score is None:
-        marked = df.withColumn("_hard", hard_filter())
-        done = adjust_scores(marked, strict=strict)
+        done = adjust_scores(flagged, strict=strict)
     else:
-        flagged = df.withColumn("_hard", hard_filter())
+        flagged = checkpointed(flagged)  # else the titles would be read and filtered once for either branch
         dropped = flagged.filter("_hard").withColumns(
             {"ensemble_prob": F.lit(None).cast("double"), "adj_prob": F.lit(None).cast("double"), "rule_fired": F.lit("")}
         )
@@ -162,7 +185,7 @@ def classify(
             "adj_prob": F.when(keep, F.bround("adj_prob", 4)),
             "rule_fired": F.when(keep, F.col("rule_fired")).otherwise(""),
         }
-    ).drop("_hard")
+    ).drop("_hard", "_seen")
 
 
 def score_batches(
