@@ -27,18 +27,27 @@ def _terms(words: str, ngram: tuple[int, int]):
     return F.concat(*(w if n == 1 else grams(n) for n in range(ngram[0], ngram[1] + 1)))
 
 
-def tfidf(df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, int] = (1, 2), max_terms: int | None = None) -> DataFrame:
-    """(group, id, term, df, w): sublinear term frequency times smoothed idf, scaled to unit length, fitted per group.
+def vectors(
+    df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, int] = (1, 2), max_terms: int | None = None, spelled: bool = False
+) -> DataFrame:
+    """(group, id, v): per text with terms its vector, an array of (df, term, w) from the rarest term to the most frequent.
 
-    With ``max_terms`` only that many of the most frequent terms of each group are kept; by default all are.
+    Sublinear term frequency times smoothed idf, scaled to unit length, fitted per group. With ``max_terms`` only that many of
+    the most frequent terms of each group are kept; by default all are. A term is its 64-bit hash, which makes the shuffles
+    a third as large, or with ``spelled`` its words.
     """
+    term = F.col("_term") if spelled else F.xxhash64("_term")
     counts = (
-        df.select(group, id_col, _words(text).alias("_words"))
-        .select(group, id_col, F.explode(_terms("_words", ngram)).alias("term"))
+        # texts are dealt by their ids before they are split, so that the terms of a text are counted where they are
+        df.select(group, id_col, text)
+        .repartition(group, id_col)
+        .select(group, id_col, _words(text).alias("_words"))
+        .select(group, id_col, F.explode(_terms("_words", ngram)).alias("_term"))
+        .select(group, id_col, term.alias("term"))
         .groupBy(group, id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    # read three times below, so the texts are split only once
+    # read twice below, so the texts are split only once
     counts = checkpointed(counts)
     vocab = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
     if max_terms is not None:
@@ -46,50 +55,90 @@ def tfidf(df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, i
     docs = df.groupBy(group).agg(F.count(F.lit(1)).alias("_docs"))
     idf = F.ln((1 + F.col("_docs")) / (1 + F.col("df"))) + 1
     vocab = vocab.join(docs, group).select(group, "term", "df", idf.alias("_idf"))
-    rows = counts.join(vocab, [group, "term"]).withColumn("_raw", (1 + F.ln("tf")) * F.col("_idf"))
-    # the window holds the terms of one text
-    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(group, id_col)))
-    return rows.select(group, id_col, "term", "df", (F.col("_raw") / length).alias("w"))
+    rows = counts.join(vocab, [group, "term"]).select(group, id_col, F.struct("df", "term", ((1 + F.ln("tf")) * F.col("_idf")).alias("w")).alias("_e"))
+    # the length is an aggregate of its own: as an expression it would be worked out again for every element of the array
+    squares = F.sum(F.col("_e.w") * F.col("_e.w"))
+    out = rows.groupBy(group, id_col).agg(F.sort_array(F.collect_list("_e")).alias("_v"), F.sqrt(squares).alias("_len"))
+    scaled = F.transform("_v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("_len")).alias("w")))
+    return out.select(group, id_col, scaled.alias("v"))
 
 
-def same_vector(terms: DataFrame, group: str, id_col: str) -> DataFrame:
-    """(group, id, rep): the smallest id with exactly the same weights, told by a 256-bit digest of all of them."""
-    listed = F.sort_array(F.collect_list(F.concat_ws("\t", "term", F.round("w", 12).cast("string"))))
-    prints = terms.groupBy(group, id_col).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("_f"))
-    first = prints.groupBy(group, "_f").agg(F.min(id_col).alias("rep"))
-    return prints.join(first, [group, "_f"]).select(group, id_col, "rep")
+def tfidf(df: DataFrame, group: str, id_col: str, text: str, ngram: tuple[int, int] = (1, 2), max_terms: int | None = None) -> DataFrame:
+    """(group, id, term, df, w): the same, a row per term, spelled out."""
+    out = vectors(df, group, id_col, text, ngram, max_terms, spelled=True)
+    return out.select(group, id_col, F.explode("v").alias("e")).select(group, id_col, "e.term", "e.df", "e.w")
+
 
+def same_vector(vecs: DataFrame, group: str, id_col: str) -> DataFrame:
+    """(group, id, rep): the smallest id with the same weights to twelve places, told by two 64-bit hashes of all of them."""
+    weights = F.transform("v", lambda e: F.round(e["w"], 12))
+    prints = vecs.select(group, id_col, F.col("v.term").alias("_t"), weights.alias("_w"))
+    prints = prints.select(group, id_col, F.xxhash64("_t", "_w").alias("_f"), F.xxhash64(F.lit(1), "_w", "_t").alias("_g"))
+    first = prints.groupBy(group, "_f", "_g").agg(F.min(id_col).alias("rep"))
+    return prints.join(first, [group, "_f", "_g"]).select(group, id_col, "rep")
 
-def prefixes(terms: DataFrame, group: str, id_col: str, threshold: float) -> DataFrame:
-    """Rarest terms of every text whose removal leaves a vector shorter than the threshold.
 
-    Two texts at or above the threshold share their rarest common term in both prefixes.
+def prefixes(vecs: DataFrame, group: str, id_col: str, threshold: float) -> DataFrame:
+    """(group, id, term, w, rest): rarest terms of every text whose removal leaves a vector shorter than the threshold, with
+    the squared length of what follows each.
+
+    Two texts at or above the threshold share their rarest common term in both prefixes. A term of one text alone is no pair's.
     """
-    rarest_last = W.partitionBy(group, id_col).orderBy(F.desc("df"), F.desc("term"))
-    rest = F.sum(F.col("w") * F.col("w")).over(rarest_last)
-    # a term of one text alone is no pair's
-    return terms.withColumn("_rest", rest).filter((F.col("_rest") >= (threshold - _EPS) ** 2) & (F.col("df") > 1)).select(group, "term", id_col)
+    spare = 1 - (threshold - _EPS) ** 2
+    state = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<term:" + _term_type(vecs) + ",df:bigint,w:double,rest:double>>").alias("out"))
+
+    def add(acc, e):
+        after = acc["sum"] + e["w"] * e["w"]
+        entry = F.struct(e["term"].alias("term"), e["df"].alias("df"), e["w"].alias("w"), (1 - after).alias("rest"))
+        return F.struct(after.alias("sum"), F.concat(acc["out"], F.array(entry)).alias("out"))
+
+    # the squared length before a term grows along the array, so the prefix is found before its entries are built
+    count = F.aggregate(
+        "v", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda acc, e: F.struct((acc["s"] + e["w"] * e["w"]).alias("s"), (acc["n"] + (acc["s"] <= spare).cast("int")).alias("n")),
+    )["n"]
+    found = F.aggregate(F.slice("v", F.lit(1), count), state, add)["out"]
+    rows = vecs.select(group, id_col, F.explode(found).alias("e")).filter("e.df > 1")
+    return rows.select(group, id_col, "e.term", "e.w", F.greatest("e.rest", F.lit(0.0)).alias("rest"))
 
 
-def cosines(pairs: DataFrame, terms: DataFrame, group: str, id_col: str) -> DataFrame:
+def _term_type(vecs: DataFrame) -> str:
+    return vecs.schema["v"].dataType.elementType["term"].dataType.simpleString()
+
+
+def cosines(pairs: DataFrame, vecs: DataFrame, group: str, id_col: str) -> DataFrame:
     """Exact cosine of the given (group, i, j) pairs."""
+    ends = pairs.select(group, F.col("i").alias(id_col)).union(pairs.select(group, F.col("j").alias(id_col))).distinct()
+    terms = checkpointed(vecs.join(ends, [group, id_col], "left_semi").select(group, id_col, F.explode("v").alias("e")).select(group, id_col, "e.term", "e.w"))
     left = terms.select(group, F.col(id_col).alias("i"), "term", F.col("w").alias("_wi"))
     right = terms.select(group, F.col(id_col).alias("j"), "term", F.col("w").alias("_wj"))
     products = pairs.join(left, [group, "i"]).join(right, [group, "j", "term"])
     return products.groupBy(group, "i", "j").agg(F.sum(F.col("_wi") * F.col("_wj")).alias("cosine"))
 
 
-def near_pairs(terms: DataFrame, group: str, id_col: str, threshold: float = NEAR_DUP_COSINE) -> DataFrame:
-    """(group, i, j, cosine) of all i < j of a group at or above the threshold, from weighted ``terms``.
+#: Texts of a term's list that one block holds; a longer list is cut, and its blocks meet in pairs.
+LIST_BLOCK = 1000
+
 
-    Candidates share a term in both prefixes and are then compared on all terms. Give one text of each set of equal vectors
-    (``same_vector``): its copies have the same partners.
+def near_pairs(vecs: DataFrame, group: str, id_col: str, threshold: float = NEAR_DUP_COSINE) -> DataFrame:
+    """(group, i, j, cosine) of all i < j of a group at or above the threshold, from ``vectors``.
+
+    Candidates share a term in both prefixes; those whose shared part and the lengths of what follows it can't reach the
+    threshold go, and the others are compared on all terms. Give one text of each set of equal vectors (``same_vector``):
+    its copies have the same partners.
     """
-    lists = prefixes(terms, group, id_col, threshold)
-    a = lists.select(group, "term", F.col(id_col).alias("i"))
-    b = lists.select(group, "term", F.col(id_col).alias("j"))
-    candidates = a.join(b, [group, "term"]).filter("i < j").select(group, "i", "j").distinct()
-    return cosines(candidates, terms, group, id_col).filter(F.col("cosine") >= threshold)
+    lists = checkpointed(prefixes(vecs, group, id_col, threshold))
+    sizes = lists.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.filter("_c > 1").select(group, "term", F.ceil(F.col("_c") / LIST_BLOCK).cast("int").alias("_n"))
+    dealt = lists.join(sizes, [group, "term"]).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select(group, "term", id_col, "w", "rest", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
+    a, b = (dealt.select(group, "term", "_lo", "_hi", F.col(id_col).alias(n), *[F.col(c).alias(c + n) for c in ("w", "rest", "_b")]) for n in "ij")
+    met = a.join(b, [group, "term", "_lo", "_hi"]).filter("i < j AND (_lo = _hi OR _bi <> _bj)")
+    # beyond their last shared term of both prefixes two texts share only what follows it in either
+    bound = F.sum(F.col("wi") * F.col("wj")) + F.sqrt(F.min("resti") * F.min("restj"))
+    candidates = checkpointed(met.groupBy(group, "i", "j").agg(bound.alias("_most")).filter(F.col("_most") >= threshold - _EPS).select(group, "i", "j"))
+    return cosines(candidates, vecs, group, id_col).filter(F.col("cosine") >= threshold)
 
 
 def eliminated(pairs: DataFrame, group: str) -> DataFrame:
@@ -113,17 +162,24 @@ def eliminated(pairs: DataFrame, group: str) -> DataFrame:
 
 
 def _distinct_vectors(df: DataFrame, group: str, id_col: str, text: str, max_terms: int | None) -> tuple[DataFrame, DataFrame]:
-    """(group, id, rep) of every text with terms, and the terms of the representatives."""
-    terms = checkpointed(tfidf(df, group, id_col, text, max_terms=max_terms))
-    copies = checkpointed(same_vector(terms, group, id_col))
+    """(group, id, rep) of every text with terms, and the vectors of the representatives."""
+    vecs = checkpointed(vectors(df, group, id_col, text, max_terms=max_terms))
+    copies = checkpointed(same_vector(vecs, group, id_col))
     own = copies.filter(F.col(id_col) == F.col("rep")).select(group, id_col)
-    return copies, terms.join(own, [group, id_col], "left_semi")
+    return copies, vecs.join(own, [group, id_col], "left_semi")
+
+
+def vector_classes(df: DataFrame, group: str, id_col: str, text: str, max_terms: int | None = None) -> DataFrame:
+    """(group, id, rep, n): the class of equal vectors of every text with terms, named by its smallest id, and its size."""
+    copies = checkpointed(same_vector(vectors(df, group, id_col, text, max_terms=max_terms), group, id_col))
+    return copies.join(copies.groupBy(group, "rep").agg(F.count(F.lit(1)).alias("n")), [group, "rep"]).select(group, id_col, "rep", "n")
 
 
 def near_duplicate_pairs(
     df: DataFrame, group: str, id_col: str, text: str, threshold: float = NEAR_DUP_COSINE, max_terms: int | None = None
 ) -> DataFrame:
-    """(group, i, j, cosine) of the close pairs, where i and j stand for all texts with their vectors."""
+    """(group, i, j, cosine) of the close pairs, where i and j stand for all texts with their vectors: ``vector_classes`` has
+    the members, whose pairs within a class have cosine 1."""
     return near_pairs(_distinct_vectors(df, group, id_col, text, max_terms)[1], group, id_col, threshold)
 
 

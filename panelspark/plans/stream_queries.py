@@ -55,6 +55,15 @@ def _(t: Tables):
     return similarity.near_duplicate_pairs(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
 
 
+@query(
+    "near_duplicate_members",
+    f"""WITH {_PAIRS} SELECT p.company_id, p.id, r.id AS rep, count(*) OVER (PARTITION BY p.company_id, p.f) AS n
+    FROM prints p JOIN reps r ON r.company_id = p.company_id AND r.f = p.f""",
+)
+def _(t: Tables):
+    return similarity.vector_classes(t.articles.select(*NEAR_COLS), "company_id", "id", "title")
+
+
 @query("near_duplicates", f"{_GONE} SELECT company_id, id, leader, cosine FROM gone", "cosine")
 def _(t: Tables):
     return similarity.near_duplicates(t.articles.select(*NEAR_COLS), "company_id", "id", "title")

@@ -98,6 +98,25 @@ def test_pairs_match_brute_force(spark):
     assert want and got == pytest.approx(want)
 
 
+def test_all_pairs_follow_from_classes_and_pairs(spark, monkeypatch):
+    """Every close pair of rows, copies included; long lists of a term are cut into blocks of three texts."""
+    monkeypatch.setattr(S, "LIST_BLOCK", 3)
+    words = [f"word{i}" for i in range(12)]
+    titles = [" ".join(words[: 9 + k % 3] + [f"tail{k % 5}"]) for k in range(30)] + ["xx yy"] * 3 + [" ".join(words)] * 4
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "g long, id long, title string")
+    v = brute_vectors(titles)
+    dot = lambda i, j: sum(x * v[j].get(t, 0) for t, x in v[i].items())
+    want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if dot(i, j) >= 0.8}
+    members = {}
+    for r in S.vector_classes(df, "g", "id", "title").collect():
+        members.setdefault(r["rep"], []).append(r["id"])
+        assert r["n"] == sum(titles[r["id"]] == t for t in titles)
+    got = {(min(a, b), max(a, b)) for ids in members.values() for a in ids for b in ids if a != b}
+    for r in S.near_duplicate_pairs(df, "g", "id", "title", 0.8).collect():
+        got |= {(min(a, b), max(a, b)) for a in members[r["i"]] for b in members[r["j"]]}
+    assert got == want
+
+
 def test_many_copies_give_few_pairs(spark):
     df = spark.range(400).select(F.lit(1).alias("g"), "id", F.lit("the same headline again").alias("title"))
     out = S.near_duplicates(df, "g", "id", "title")
