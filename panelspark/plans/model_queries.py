@@ -11,6 +11,7 @@ from ..sources import tables
 from ..views import Tables
 from .index_queries import ALIGNED, CUT, END, IN_WINDOW, START, aligned
 from .registry import query
+from .solver_sql import CLUSTER_DOUBLES, FRAME_DOUBLES, absorbed, frame, least_squares
 
 PANEL = f"""panel AS (SELECT company_id, CAST(published_at AS DATE) AS date, avg(pos_score - neg_score) AS daily_stance,
   count(*) AS article_volume, CASE WHEN CAST(published_at AS DATE) >= DATE '{CUT}' THEN 1 ELSE 0 END AS post
@@ -152,7 +153,12 @@ def _(t: Tables):
     return regression.stance_model(panel(t), log_volume=True).frame().select(*_COEF_COLS)
 
 
-@query("stance_model_inference")
+@query(
+    "stance_model_inference",
+    f"""WITH RECURSIVE {WITHIN.replace('w AS (SELECT', 'v AS (SELECT')}, w AS (SELECT date, y, [x1, x2] AS x FROM v), {least_squares(2, cluster="date")}
+    {frame(["post", "article_volume"], True)}""",
+    CLUSTER_DOUBLES,
+)
 def _(t: Tables):
     return regression.stance_model(panel(t)).frame()
 
@@ -168,29 +174,72 @@ def _(t: Tables):
     return regression.time_effect_test(panel(t), "daily_stance", ["post", "article_volume"], "company_id", "date").select("f_stat", "df1", "df2")
 
 
-@query("event_study")
+_MONTHS = [m for m in range(-24, 25) if m != -1]
+_EVENT = [f"event_{filters.month_label(m)}" for m in _MONTHS] + ["article_volume"]
+
+
+@query(
+    "event_study",
+    f"""WITH RECURSIVE {PANEL}, e AS (SELECT company_id, date, daily_stance, article_volume, (year(date) - 1998) * 12 + month(date) - 1 AS em FROM panel),
+    r AS (SELECT company_id, date, daily_stance AS y, list_append([CASE WHEN em = m THEN 1.0 ELSE 0.0 END FOR m IN {_MONTHS}], CAST(article_volume AS DOUBLE)) AS x
+      FROM e WHERE em BETWEEN -24 AND 24),
+    mean_i AS (SELECT company_id, list(v ORDER BY i) AS mx FROM (SELECT company_id, i, avg(x[i]) AS v FROM r, range(1, {len(_EVENT) + 1}) a(i) GROUP BY 1, 2) GROUP BY 1),
+    w AS (SELECT date, y - avg(y) OVER (PARTITION BY company_id) AS y, list_transform(x, lambda v, i: v - mx[i]) AS x FROM r JOIN mean_i USING (company_id)),
+    {least_squares(len(_EVENT), cluster="date")}
+    SELECT *, regexp_replace(variable, '^event_', '') AS month_label FROM ({frame(_EVENT, True)})""",
+    CLUSTER_DOUBLES,
+)
 def _(t: Tables):
     return regression.event_study(panel(t), -24, 24, -1, 1998)
 
 
-@query("return_model_firm_effects")
+_RETURN_ROWS = "full_rows AS (SELECT * FROM filled WHERE daily_return IS NOT NULL AND sp500_return IS NOT NULL AND vix IS NOT NULL)"
+_RETURN_X = ["post", "sp500_return", "vix"]
+
+
+def _return_model(two_way: bool) -> str:
+    """The within form of the return model in SQL, with its fit."""
+
+    def net(c: str) -> str:
+        return f"{c} - avg({c}) OVER e" + (f" - (avg({c}) OVER d - avg({c}) OVER ())" if two_way else "")
+
+    xs = ", ".join(net(c) for c in _RETURN_X)
+    days = ", d AS (PARTITION BY date)" if two_way else ""
+    return f"""WITH RECURSIVE {RETURN_PANEL}, {_RETURN_ROWS},
+    w AS (SELECT {net("daily_return")} AS y, [{xs}] AS x FROM full_rows WINDOW e AS (PARTITION BY ticker){days}),
+    {least_squares(3)} {frame(_RETURN_X)}"""
+
+
+@query("return_model_firm_effects", _return_model(False), FRAME_DOUBLES)
 def _(t: Tables):
     return regression.return_model(return_panel(t)).frame()
 
 
-@query("return_model_two_way")
+@query("return_model_two_way", _return_model(True), FRAME_DOUBLES)
 def _(t: Tables):
     return regression.return_model(return_panel(t), time_fe=True).frame()
 
 
-@query("did_stance_absorbed")
+@query(
+    "did_stance_absorbed",
+    f"""WITH RECURSIVE d AS (SELECT a.company_id, a.media_outlet_id, strftime(published_at, '%Y-%m') AS year_month,
+      coalesce(pos_score, 0) - coalesce(neg_score, 0) AS bias_score, CASE WHEN year(published_at) >= 2020 THEN exposure ELSE 0 END AS post_x_exposure
+      FROM {{articles}} a JOIN {{companies}} c ON c.id = a.company_id),
+    {absorbed("d", "bias_score", "post_x_exposure", ["company_id", "media_outlet_id"], "year_month")}, {least_squares(1, "hc0")} {frame(["post_x_exposure"])}""",
+    FRAME_DOUBLES,
+)
 def _(t: Tables):
     c = t.companies.select(F.col("id").alias("company_id"), "exposure")
     rows = filters.did_features(t.articles.join(c, "company_id"))
     return regression.continuous_did(rows, "bias_score", "post_x_exposure", ["company_id", "media_outlet_id", "year_month"]).frame()
 
 
-@query("did_returns_absorbed")
+@query(
+    "did_returns_absorbed",
+    f"""WITH RECURSIVE {RETURN_PANEL}, d AS (SELECT ticker, date, daily_return, post * ((CAST(substr(ticker, 2) AS INTEGER) % 5 + 1) / 5.0) AS px FROM filled),
+    {absorbed("d", "daily_return", "px", ["ticker"], "date")}, {least_squares(1, "hc0")} {frame(["post_x_exposure"])}""",
+    FRAME_DOUBLES,
+)
 def _(t: Tables):
     rows = return_panel(t).withColumn("exposure", (F.regexp_extract("ticker", r"(\d+)", 1).cast("int") % 5 + 1) / 5)
     rows = rows.withColumn("post_x_exposure", F.col("post") * F.col("exposure"))

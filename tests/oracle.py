@@ -17,6 +17,7 @@ from panelspark.views import BASE_TABLES  # noqa: E402
 
 def connect(sf_dir: str):
     con = duckdb.connect()
+    con.execute("SET max_temp_directory_size = '4GB'")  # a wrong join ends here, not with a full disk
     for name in BASE_TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
