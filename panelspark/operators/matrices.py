@@ -48,9 +48,10 @@ def count_cdf(counts: DataFrame, firm: str = "company_id") -> DataFrame:
 
 def count_distribution(counts: DataFrame) -> DataFrame:
     probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    q = group_quantiles(counts.withColumn("_k", F.lit(1)), ["_k"], "article_count", probs)
+    # the quantiles' one row is a scalar, which needs no join
+    q = group_quantiles(counts, [], "article_count", probs).select(F.struct(*probs)).scalar()
     n = F.col("article_count")
-    base = counts.withColumn("_k", F.lit(1)).groupBy("_k").agg(
+    base = counts.agg(
         F.count(F.lit(1)).alias("n_firms"),
         F.sum(n).alias("total_articles"),
         F.avg(n).alias("mean"),
@@ -59,7 +60,7 @@ def count_distribution(counts: DataFrame) -> DataFrame:
         F.max(n).alias("max"),
         F.count_if(n == 0).alias("zero_count"),
     )
-    return base.join(q, "_k").drop("_k")
+    return base.withColumn("_q", q).select("*", *[F.col(f"_q.{p}").alias(p) for p in probs]).drop("_q")
 
 
 def table_totals(before: DataFrame, after: DataFrame, firm: str = "company_id") -> DataFrame:

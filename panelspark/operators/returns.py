@@ -97,6 +97,11 @@ def weekly_market(market: DataFrame, vix: DataFrame, week_mode: str = "monday")
     return ret.join(level, "week_monday", "full")
 
 
+def priced_companies(companies: DataFrame, prices: DataFrame, symbol: str = "symbol", ticker: str = "ticker") -> DataFrame:
+    """Companies with the prices of their symbol, a row per price; companies without a symbol or a price are left out."""
+    return companies.join(prices, companies[symbol] == prices[ticker]).drop(prices[ticker])
+
+
 def return_panel(
     universe: DataFrame, returns: DataFrame, market: DataFrame, vix: DataFrame, cutoff: str, key: str = "ticker"
 ) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import relevance, similarity
+from ..operators import relevance, returns, similarity
 from ..scale import shared_folder
+from ..sources import sinks, tables
 from ..streaming import incremental
 from ..views import Tables
 from .registry import query
@@ -137,3 +138,51 @@ def _(t: Tables) -> DataFrame:
     )
     _drain(incremental.upsert_stream(src, at + "/out", at + "/state", ["k"], "seq", "part"))
     return t.spark.read.schema(src.schema).parquet(at + "/out")
+
+
+# --- loads and reads of tables -------------------------------------------------------------------------------------
+
+
+@query(
+    "priced_companies",
+    """SELECT c.id, c.symbol, c.name, p.date, p.close FROM (SELECT id, replace(symbol, 'N', 'F') AS symbol, name FROM {companies}) c
+    JOIN {prices} p ON p.ticker = c.symbol""",
+    "close",
+)
+def _(t: Tables):
+    listed = t.companies.select("id", F.replace("symbol", F.lit("N"), F.lit("F")).alias("symbol"), "name")
+    return returns.priced_companies(listed, t.prices).select("id", "symbol", "name", "date", "close")
+
+
+@query(
+    "market_levels_from_csv",
+    """SELECT count(*) AS n_rows, count(*) FILTER (day(trade_date) = 13) AS n_corrupt, count(*) FILTER (day(trade_date) <> 13) AS n_levels,
+      avg(close) FILTER (day(trade_date) <> 13) AS mean_level, min(trade_date) AS first_day FROM {vix}""",
+    "mean_level",
+)
+def _(t: Tables):
+    """The index levels go through a CSV file in which the levels of every 13th day are words."""
+    path = shared_folder(t.spark)
+    names = tables.SCHEMAS["vix_daily"].fieldNames()
+    known = {"trade_date": F.col("trade_date"), "close": F.when(F.day("trade_date") == 13, "closed").otherwise(F.col("close").cast("string"))}
+    t.vix.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in names]).write.csv(path, header=True)
+    rows = tables.read_table(t.spark, "vix_daily", path, "csv", corrupt="_bad")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("_bad").alias("n_corrupt"), F.count("close").alias("n_levels"),
+        F.avg("close").alias("mean_level"), F.min("trade_date").alias("first_day"),
+    )
+
+
+@query(
+    "replaced_table",
+    """SELECT id, symbol, CASE WHEN id % 5 = 0 THEN upper(concat(name, '!')) ELSE name END AS name, CAST(id % 5 = 0 AS BIGINT) AS updates FROM {companies}""",
+)
+def _(t: Tables):
+    """A first load, a dry run, and a load of the upserted rows as the next version."""
+    path = shared_folder(t.spark)
+    rows = t.companies.select("id", "symbol", "name", F.lit(0).alias("updates"))
+    sinks.replace_table(rows, path)
+    sinks.replace_table(rows.limit(0), path, dry_run=True)
+    changed = rows.filter("id % 5 = 0").withColumns({"name": F.upper(F.concat("name", F.lit("!"))), "updates": F.lit(1)})
+    sinks.replace_table(sinks.upsert_latest(sinks.current_table(t.spark, path), changed, ["id"], "updates"), path)
+    return sinks.current_table(t.spark, path)

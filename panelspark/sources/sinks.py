@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import domain
 from ..scale import rank_in_group
@@ -16,6 +16,50 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", dry_run: bool
     return None
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path as the cluster's file system knows it, with that file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def table_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a table, oldest first. A load marks its folder when all files are there, so what a
+    failed one has left doesn't count."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+    found = [int(n.removeprefix("v")) for n in names if n.startswith("v") and n[1:].isdigit()]
+    return sorted(n for n in found if fs.exists(_folder(spark, f"{path}/v{n}/_SUCCESS")[0]))
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version, or None before the first load."""
+    versions = table_versions(spark, path)
+    return spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 1, dry_run: bool = False) -> int:
+    """Load the rows as the next version of a table and return its number; readers of the version before are not disturbed.
+
+    Versions older than the last ``keep`` before this one are removed once it is whole, and so is what failed loads have left.
+    If the load fails, the table stays as it was. ``dry_run`` evaluates the rows and writes nothing.
+    """
+    spark = df.sparkSession
+    versions = table_versions(spark, path)
+    number = (versions[-1] if versions else 0) + 1
+    if dry_run:
+        df.write.format("noop").mode("overwrite").save()
+        return number
+    df.write.mode("overwrite").parquet(f"{path}/v{number}")
+    at, fs = _folder(spark, path)
+    kept = {f"v{n}" for n in [*versions, number][-(keep + 1) :]}
+    for s in fs.listStatus(at):
+        if s.isDirectory() and s.getPath().getName() not in kept:
+            fs.delete(s.getPath(), True)
+    return number
+
+
 def latest_per_key(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Last write per key; a tie in ``order`` falls to the largest remaining columns."""
     rest = [c for c in updates.columns if c not in keys and c != order]

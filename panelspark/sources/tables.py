@@ -28,15 +28,22 @@ SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Read a domain table with its declared schema. ``jdbc`` takes partitionColumn, lowerBound, ... as options."""
+def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet", corrupt: str | None = None, **options) -> DataFrame:
+    """Read a domain table with its declared schema. ``jdbc`` takes partitionColumn, lowerBound, ... as options.
+
+    CSV and JSON rows that don't fit the schema have null where a value can't be read; with ``corrupt`` that column holds
+    the whole row as it was read, and null for rows that fit.
+    """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "jdbc":
         return reader.option("dbtable", path).load()
     if name in SCHEMAS:
-        reader = reader.schema(SCHEMAS[name])
+        schema = SCHEMAS[name]
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]) if corrupt else schema)
+    if corrupt:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        reader = reader.option("header", "true").option("enforceSchema", "false")
     return reader.load(path)
 
 

@@ -22,11 +22,18 @@ from ..sources.sinks import upsert_latest
 BUCKETS = 64
 
 
+# what Spark says of a folder that is not there, or that no batch with rows has written to
+_NOTHING_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def _stored(batch: DataFrame, path: str) -> DataFrame | None:
+    """What the store holds, or None before the first rows; every other failure to read it is raised."""
     try:
         return batch.sparkSession.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in _NOTHING_YET:
+            return None
+        raise
 
 
 def _absent(batch: DataFrame, path: str, keys: list[str], bucket: str) -> DataFrame:
