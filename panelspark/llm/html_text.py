@@ -45,8 +45,10 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"(
 _NAMES = re.compile(r"[a-z]+")
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$|^[^=]*/$")
 
-#: Weights where no labelled page tells: a word, a tag, a tag of running text, and a tag that no labelled region has.
-WORD, TAG, TEXT_TAG, NEVER = 1.0, -2.0, 0.0, -100.0
+#: Weights where no labelled page tells: a word, a tag, and a tag of running text.
+WORD, TAG, TEXT_TAG = 1.0, -2.0, 0.0
+#: The least weight of a tag, and how many occurrences on labelled pages tell as much as the weight it has without them.
+LEAST, SUPPORT = -4.0, 50
 TEXT_TAGS = frozenset("p br h1 h2 h3 h4 h5 h6 b i em strong span blockquote pre code sub sup q cite abbr u s small".split())
 
 
@@ -54,6 +56,26 @@ TEXT_TAGS = frozenset("p br h1 h2 h3 h4 h5 h6 b i em strong span blockquote pre
 NAMED = 20
 
 
+#: Names that make a small element an advert whatever stands beside them in its class or id.
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+
+
+def marks_of(page: str) -> tuple[list[re.Match], int]:
+    """The page's tags, comments and raw elements, and where its text ends: an unclosed comment or raw element takes the rest.
+
+    No tag ends behind the last ">", and none is sought there: a page of tags without an end would be read once for each.
+    """
+    last = page.rfind(">") + 1
+    marks = list(_MARKUP.finditer(page, 0, last))
+    whole = len(page)
+    if marks and marks[-1].end() == last:
+        text = marks[-1].group().lower()
+        if (text.startswith("<!--") and not text.endswith("-->")) or (marks[-1]["raw"] and not re.search(rf"</{marks[-1]['raw']}(?=[\s/>])[^>]*>$", text, re.IGNORECASE)):
+            return marks, last
+    comment = page.find("<!--", last)
+    return marks, comment if comment >= 0 else whole
+
+
 def furniture_share(tag: str, attrs: str, inside: bool) -> float:
     """How far an element is a menu, header, footer, sidebar, notice, advert, form or comment section by its name: 2 by its
     tag, role or hiding, else the largest share of furniture among the names in its class and its id."""
@@ -100,7 +122,8 @@ def _elements(marks: list[re.Match]) -> dict[int, int]:
 def _left_out(page: str, marks: list[re.Match], ends: dict[int, int]) -> list[bool]:
     """For each tag, whether its class or id makes its element furniture.
 
-    Names weigh against what the element holds: words for it, tags of other than running text against it. All names of
+    Names weigh against what the element holds: words for it, tags of other than running text against it. An advert's name is
+    enough for an element that doesn't hold most of the page's words. All names of
     furniture are enough, unless the element holds most of the page's words or an article or main element; only a comment
     section goes even then, unless it is such a wrapper.
     """
@@ -123,7 +146,9 @@ def _left_out(page: str, marks: list[re.Match], ends: dict[int, int]) -> list[bo
         own = words[end] - words[n]
         if articles[end] > articles[n]:
             continue
-        if share == 1:
+        if not ADVERT_NAMES.isdisjoint(_names(attrs)) and 2 * own <= words[-1]:
+            out[n] = True
+        elif share == 1:
             comments = not _COMMENTS.isdisjoint(_NAMES.findall(attrs.lower()))
             out[n] = comments or 2 * own <= words[-1]
         elif m["tag"].lower() not in TEXT_TAGS:  # a heading or paragraph is no wrapper: words beside others in its class say little
@@ -131,6 +156,11 @@ def _left_out(page: str, marks: list[re.Match], ends: dict[int, int]) -> list[bo
     return out
 
 
+def _names(attrs: str) -> list[str]:
+    """The names in an element's class and id."""
+    return [x for name, a, b, c in _ATTRIBUTE.findall(attrs) if name.lower() in ("class", "id") for x in _NAMES.findall((a or b or c).lower())]
+
+
 _COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 
@@ -143,7 +173,8 @@ def read(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     at, until = 0, -1
     stack: list[tuple[str, bool, bool]] = []
     content = skipped = False
-    marks = list(_MARKUP.finditer(page))
+    opened: Counter = Counter()  # of the stack, so that an end tag without a start is not sought in it
+    marks, whole = marks_of(page)
     ends = _elements(marks)
     named = _left_out(page, marks, ends)
     for n, m in enumerate(marks):
@@ -167,24 +198,26 @@ def read(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             continue
         if m["close"]:
             within = skipped
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    _, content, skipped = stack[i]
-                    del stack[i:]
+            while opened[tag]:
+                name, content, skipped = stack.pop()
+                opened[name] -= 1
+                if name == tag:
                     break
             yield "/" + tag, "", content, within
         else:
             if tag not in VOID:
                 if tag == "p" and stack and stack[-1][0] == "p":
                     _, content, skipped = stack.pop()
+                    opened["p"] -= 1
                 stack.append((tag, content, skipped))
+                opened[tag] += 1
                 skipped = skipped or named[n] or furniture_share(tag, m["attrs"] or "", content) > 1
                 yield tag, "", content, skipped
                 content = content or tag in CONTENT
             else:
                 yield tag, "", content, skipped
-    if at < len(page):
-        yield "text", page[at:], content, skipped
+    if at < whole:
+        yield "text", page[at:whole], content, skipped
 
 
 def _named(tag: str) -> str:
@@ -213,7 +246,8 @@ def count_tokens(page: str) -> Counter:
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Log-likelihood ratio of each token within and outside the labelled regions, over all labelled pages.
 
-    Words score at least a little above zero and tags at most zero. A tag that no region has weighs NEVER. Names are of the
+    Words score at least a little above zero and tags from LEAST to zero. A rare tag keeps most of the weight it has without
+    labelled pages: its ratio counts as its occurrences do against SUPPORT. Names are of the
     standard's elements, so the counts that reach the driver are bounded. Without labelled pages there are no weights.
     """
 
@@ -235,7 +269,13 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     for name in {n for n, _ in got}:
         inside, outside = got.get((name, True), 0), got.get((name, False), 0)
         ratio = log((inside + 0.5) / all_in) - log((outside + 0.5) / all_out)
-        out[name] = max(ratio, 0.1) if name == "word" else NEVER if inside == 0 else min(ratio, 0.0)
+        if name == "word":
+            out[name] = max(ratio, 0.1)
+            continue
+        bare = name.lstrip("/")
+        known = (inside + outside) / (inside + outside + SUPPORT)
+        usual = TEXT_TAG if bare in TEXT_TAGS else TAG
+        out[name] = min(0.0, max(LEAST, usual + known * (ratio - usual)))
     return out
 
 

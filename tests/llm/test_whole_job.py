@@ -1,5 +1,7 @@
 """Cases in which an operator did less than its whole job."""
 
+from collections import Counter
+
 import corpus_pipeline as pipe
 from rows import SMALL
 
@@ -72,3 +74,48 @@ def test_of_rows_with_one_id_one_stays(spark):
     out = pipe.drop_near_duplicates(spark, docs, SMALL)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "x"), (0, "x"), (1, "a one two three four five"), (2, "other words entirely than those")]
+
+
+def test_tags_without_an_end_take_linear_time():
+    import time
+
+    for piece in ("<div ", "<a href=\"", "</b ", "<!x ", "<p><!-- ", "</span>", "<div>"):
+        start = time.process_time()
+        H.main_text("<p>one two three " + piece * (2_000_000 // len(piece)), {})
+        assert time.process_time() - start < 20, piece
+    assert H.main_text("<p>one two</p> three <div four", {}) == "one two\nthree <div four"
+    assert H.main_text("<p>one two</p><!-- > three", {}) == H.main_text("<p>one two</p><!-- three", {}) == "one two"
+    assert H.main_text("<p>one two</p><script>x > 1; three", {}) == "one two"
+
+
+def test_articles_without_an_article_element(spark):
+    """Lists and tables within the text stay although no labelled region has them, and nothing behind them is lost."""
+    words = "several words of the story that is told here and goes on "
+    body = f"<p>{words * 8}</p><ul><li>{words}</li><li>{words}</li></ul><p>{words * 8}</p><table><tr><td>{words}</td></tr></table><p>{words * 8}</p>"
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    weights = H.learn_weights(pages)
+    assert all(H.LEAST <= w <= 0 for name, w in weights.items() if name != "word")
+    menu = "<div><a href=x>Home</a> <a href=y>News</a> <a href=z>Sport</a></div>"
+    got = H.main_text(f"<html><body>{menu}<div class=body>{body}</div>{menu}</body></html>", weights)
+    assert got == "\n".join(x.strip() for x in (words * 8, words, words, words * 8, words, words * 8))
+
+
+def test_held_out_pages_without_their_labels(spark):
+    """The scan alone, on pages whose article and main tags are renamed, finds most of what the labels say."""
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    weights = H.learn_weights(spark.createDataFrame([(p,) for p in pages[::2]], "html string"))
+    found = kept = lost = 0
+    for p in pages[1::2]:
+        want = H.main_text(p, weights).split()
+        got = H.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p), weights).split()
+        both = sum((Counter(want) & Counter(got)).values())
+        found, kept, lost = found + both, kept + len(got), lost + len(want)
+    assert found >= 0.95 * lost and found >= 0.8 * kept
+
+
+def test_adverts_within_an_article():
+    words = "several words of the story that is told here " * 9
+    page = f'<article><h1>Title of it</h1><p>{words}</p><p class="promo-box">Buy now</p><div id=ad-slot-3>More</div><p class="intro-text">End of it</p></article>'
+    assert H.main_text(page, {}) == f"Title of it\n{words.strip()}\nEnd of it"
