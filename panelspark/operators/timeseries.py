@@ -224,52 +224,41 @@ def adf(series: DataFrame, maxlag: int = 12, by: str = "ticker") -> DataFrame:
 
 
 def kpss(series: DataFrame, by: str = "ticker") -> DataFrame:
-    """KPSS tests around a level (c) and a trend (ct) with the data-dependent lag of Hobijn and others (1998)."""
-    keys = [by, "variable"]
-    pos = F.col("pos").cast("double")
-    trend = series.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_my"), F.avg(pos).alias("_mt"),
-        F.try_divide(F.covar_pop(pos, F.col("y")), F.var_pop(pos)).alias("_b"), F.sum(F.col("y") * F.col("y")).alias("_yy"),
-    )
-    level = F.col("y") - F.col("_my")
-    slope = level - F.coalesce("_b", F.lit(0.0)) * (pos - F.col("_mt"))
-    both = F.explode(F.array(F.struct(F.lit("c").alias("spec"), level.alias("e")), F.struct(F.lit("ct").alias("spec"), slope.alias("e"))))
-    e = series.join(trend, keys).select(*keys, "pos", "_n", "_yy", both.alias("_p")).select(*keys, "pos", "_n", "_yy", "_p.*")
-    keys3 = [*keys, "spec"]
-    w = _ordered(keys3, "pos")
-    partial = e.withColumn("_S", F.sum("e").over(w))
-    base = partial.groupBy(*keys3).agg(
-        F.max("_n").alias("n"), F.max("_yy").alias("yy"), F.sum(F.col("e") * F.col("e")).alias("g0"), F.sum(F.col("_S") * F.col("_S")).alias("eta")
-    )
+    """KPSS tests around a level (c) and a trend (ct) with the data-dependent lag of Hobijn and others (1998).
 
-    def lagged(rows: DataFrame, upto: Column) -> DataFrame:
-        """Sums of e_t e_(t-l) for l = 1..upto, as a map from lag to sum."""
-        moved = rows.select(*keys3, F.explode(F.sequence(F.lit(1), upto)).alias("_l"), "pos", F.col("e").alias("_e"))
-        moved = moved.select(*keys3, "_l", (F.col("pos") + F.col("_l")).alias("pos"), "_e")
-        prod = moved.join(rows.select(*keys3, "pos", "e"), [*keys3, "pos"]).groupBy(*keys3, "_l").agg(F.sum(F.col("e") * F.col("_e")).alias("_c"))
-        return prod.groupBy(*keys3).agg(F.map_from_entries(F.collect_list(F.struct("_l", "_c"))).alias("acov"))
-
-    first = base.join(lagged(e, F.greatest(F.floor(F.pow("_n", F.lit(2.0 / 9))), F.lit(1)).cast("int")), keys3)
-    steps = F.sequence(F.lit(1), F.greatest(F.floor(F.pow("n", F.lit(2.0 / 9))), F.lit(1)).cast("int"))
-    at = lambda l: F.coalesce(F.try_element_at("acov", l), F.lit(0.0)) / (F.col("n") / 2)
-    s0 = F.col("g0") / F.col("n") + F.aggregate(F.transform(steps, at), F.lit(0.0), lambda a, v: a + v)
-    s1 = F.aggregate(F.transform(steps, lambda l: at(l) * l), F.lit(0.0), lambda a, v: a + v)
-    gamma = 1.1447 * F.pow(F.pow(F.try_divide(s1, s0), F.lit(2.0)), F.lit(1.0 / 3))
-    chosen = F.least(F.floor(gamma * F.pow("n", F.lit(1.0 / 3))), F.col("n") - 1).cast("int")
-    first = first.withColumn("lags", chosen).drop("acov")
-    again = e.join(first.select(*keys3, "lags"), keys3).filter("lags > 0")
-    out = first.join(lagged(again, F.col("lags")), keys3, "left")
+    One pass: a series has one value per position, as many as the calendar has weeks, and is read as one array.
+    """
+    keys = [by, "variable"]
+    rows = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("y").cast("double").alias("y")))).alias("s"))
 
     def solve(r):
-        if pd.isna(r.lags) or not r.g0 > 1e-20 * r.yy:  # a constant, or an exact trend
-            yield (None,) * 4
-            return
-        cov = dict(r.acov or {})
-        v = r.g0 + 2 * sum(c * (1 - l / (r.lags + 1)) for l, c in cov.items())
-        stat = float(r.eta / r.n**2 / (v / r.n))
-        yield stat, kpss_p(stat, r.spec), int(r.lags), int(r.n)
+        pos, y = np.array([v["pos"] for v in r.s], float), np.array([v["y"] for v in r.s], float)
+        n, centred = len(y), pos - pos.mean()
+        level = y - y.mean()
+        slope = (centred @ level) / (centred @ centred) if n > 1 else 0.0
+        for spec, e in (("c", level), ("ct", level - slope * centred)):
+            g0 = float(e @ e)
+            if not g0 > 1e-20 * float(y @ y):  # a constant, or an exact trend
+                yield (spec,) + (None,) * 4
+                continue
+            # products of values a lag apart; a position without a value adds nothing
+            dense = np.zeros(int(pos[-1] - pos[0]) + 1)
+            dense[(pos - pos[0]).astype(int)] = e
+            cov = lambda l: float(dense[l:] @ dense[: len(dense) - l]) if l < len(dense) else 0.0
+            first = [cov(l) / (n / 2) for l in range(1, max(1, int(n ** (2 / 9))) + 1)]
+            s0, s1 = g0 / n + sum(first), sum(l * c for l, c in enumerate(first, 1))
+            if s0 == 0:
+                yield (spec,) + (None,) * 4
+                continue
+            lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+            if lags <= 0 and n < 2:
+                yield (spec,) + (None,) * 4
+                continue
+            v = g0 + 2 * sum(cov(l) * (1 - l / (lags + 1)) for l in range(1, lags + 1))
+            stat = float((np.cumsum(e) ** 2).sum() / n**2 / (v / n))
+            yield spec, stat, kpss_p(stat, spec), int(lags), n
 
-    return _per_row(out, keys3, solve, "stat double, p_value double, lags long, n_obs long")
+    return _per_row(rows, keys, solve, "spec string, stat double, p_value double, lags long, n_obs long")
 
 
 def stationarity_verdict(adf_result: DataFrame, kpss_result: DataFrame, by: str = "ticker", alpha: float = 0.05) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..operators import filters, regression, returns
 from ..operators import timeseries as ts
 from ..scale import checkpointed
@@ -11,7 +12,7 @@ from ..sources import tables
 from ..views import Tables
 from .index_queries import ALIGNED, CUT, END, IN_WINDOW, START, aligned
 from .registry import query
-from .solver_sql import CLUSTER_DOUBLES, FRAME_DOUBLES, absorbed, frame, least_squares
+from .solver_sql import CLUSTER_DOUBLES, FRAME_DOUBLES, absorbed, frame, least_squares, synthetic_effects
 
 PANEL = f"""panel AS (SELECT company_id, CAST(published_at AS DATE) AS date, avg(pos_score - neg_score) AS daily_stance,
   count(*) AS article_volume, CASE WHEN CAST(published_at AS DATE) >= DATE '{CUT}' THEN 1 ELSE 0 END AS post
@@ -266,12 +267,20 @@ def _(t: Tables):
     return regression.assumption_checks(return_panel(t), "daily_return", ["post", "sp500_return", "vix"], "ticker", "date")
 
 
-@query("synthetic_control_effects")
+_SYNTHETIC = f"WITH RECURSIVE {RETURN_PANEL}, {_RETURN_ROWS}, {synthetic_effects('full_rows')}"
+
+
+@query("synthetic_control_effects", f"{_SYNTHETIC} SELECT firm, effect FROM effects", "effect")
 def _(t: Tables):
     return regression.synthetic_effects(return_panel(t))
 
 
-@query("synthetic_control_did")
+@query(
+    "synthetic_control_did",
+    f"""{_SYNTHETIC}, s AS (SELECT count(effect) AS n, avg(effect) AS m, stddev_samp(effect) / sqrt(count(effect)) AS se FROM effects)
+    SELECT n AS n_firms_used, m AS avg_post_effect, se AS se_across_firms, m - 1.96 * se AS ci95_low, m + 1.96 * se AS ci95_high FROM s""",
+    "avg_post_effect se_across_firms ci95_low ci95_high",
+)
 def _(t: Tables):
     return regression.synthetic_did(return_panel(t))
 
@@ -394,7 +403,39 @@ def _(t: Tables):
     return ts.adf(ts.long_series(week_panel(t), [BIAS, RET, f"d_{BIAS}", f"d_{RET}"]))
 
 
-@query("kpss_tests")
+# the series of the tests: stance and returns clipped at five deviations, and their differences, as one list each
+SERIES = f"""{WINSOR.replace('m + 2 * s', 'm + 5 * s').replace('m - 2 * s', 'm - 5 * s')},
+  paired AS (SELECT w.ticker, w.week_monday, w.simple_mean_stance AS a, c.weekly_log_return AS b FROM weeks w JOIN clipped c USING (ticker, week_monday)),
+  steps AS (SELECT *, a - lag(a) OVER o AS da, b - lag(b) OVER o AS db FROM paired WINDOW o AS (PARTITION BY ticker ORDER BY week_monday)),
+  tall AS (SELECT ticker, week_monday, unnest(['{BIAS}', '{RET}', 'd_{BIAS}', 'd_{RET}']) AS variable, unnest([a, b, da, db]) AS y FROM steps),
+  series AS (SELECT ticker, variable, list(y ORDER BY week_monday) AS y, count(*) AS n FROM tall WHERE y IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _interpolated(x: str, xs: list[float], ys: list[float]) -> str:
+    """Linear interpolation between fixed points, level beyond them."""
+    inner = " ".join(f"WHEN {x} <= {b} THEN {p} + ({q} - {p}) * ({x} - {a}) / ({b} - {a})" for a, b, p, q in zip(xs, xs[1:], ys, ys[1:]))
+    return f"CASE WHEN {x} <= {xs[0]} THEN {ys[0]} {inner} ELSE {ys[-1]} END"
+
+
+@query(
+    "kpss_tests",
+    f"""WITH {SERIES}, slope AS (SELECT *, list_avg(y) AS my, list_sum([(i - (n + 1) / 2.0) * y[i] FOR i IN range(1, n + 1)])
+        / list_sum([(i - (n + 1) / 2.0) * (i - (n + 1) / 2.0) FOR i IN range(1, n + 1)]) AS b FROM series),
+    rest AS (SELECT ticker, variable, n, 'c' AS spec, [v - my FOR v IN y] AS e FROM slope
+      UNION ALL SELECT ticker, variable, n, 'ct', [y[i] - my - b * (i - (n + 1) / 2.0) FOR i IN range(1, n + 1)] FROM slope),
+    moved AS (SELECT *, list_sum([e[i] * e[i + l] FOR i IN range(1, n - l + 1)]) AS c FROM (SELECT *, unnest(range(0, n)) AS l FROM rest)),
+    level AS (SELECT ticker, variable, spec, any_value(n) AS n, any_value(e) AS e, sum(c) FILTER (l = 0) AS g0,
+      sum(c) FILTER (l = 0) / any_value(n) + sum(c / (n / 2.0)) FILTER (l BETWEEN 1 AND greatest(floor(pow(n, 2 / 9.0)), 1)) AS s0,
+      sum(l * c / (n / 2.0)) FILTER (l BETWEEN 1 AND greatest(floor(pow(n, 2 / 9.0)), 1)) AS s1 FROM moved GROUP BY 1, 2, 3),
+    chosen AS (SELECT *, least(CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1 / 3.0) * pow(n, 1 / 3.0)) AS BIGINT), n - 1) AS lags FROM level),
+    tested AS (SELECT chosen.ticker, chosen.variable, chosen.spec, any_value(chosen.n) AS n_obs, any_value(lags) AS lags,
+      list_sum(any_value([pow(list_sum(chosen.e[1:t]), 2) FOR t IN range(1, chosen.n + 1)])) / any_value(chosen.n)
+        / (any_value(g0) + coalesce(2 * sum(c * (1 - l / (lags + 1.0))) FILTER (l BETWEEN 1 AND lags), 0)) AS stat
+      FROM chosen JOIN moved ON moved.ticker = chosen.ticker AND moved.variable = chosen.variable AND moved.spec = chosen.spec GROUP BY 1, 2, 3)
+    SELECT ticker, variable, spec, stat, CASE WHEN spec = 'c' THEN {_interpolated("stat", fv.KPSS_POINTS["c"], fv.KPSS_P)}
+      ELSE {_interpolated("stat", fv.KPSS_POINTS["ct"], fv.KPSS_P)} END AS p_value, lags, n_obs FROM tested""",
+    "stat p_value",
+)
 def _(t: Tables):
     return ts.kpss(ts.long_series(week_panel(t), [BIAS, RET, f"d_{BIAS}", f"d_{RET}"]))
 

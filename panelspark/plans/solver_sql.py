@@ -10,17 +10,18 @@ def normal_p(t: str) -> str:
     return f"CASE WHEN abs({t}) > 9 THEN 0.0 WHEN {t} = 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * exp(-{z} * {z}) * list_sum([{term} FOR i IN range(150)]) END"
 
 
-def eliminated(name: str, source: str) -> str:
-    """A recursive table ``name`` (m): the rows of the matrix in ``source`` (m) after elimination of its leading square part.
+def eliminated(name: str, source: str, key: str = "1") -> str:
+    """A recursive table ``name`` (key, m): the rows of each matrix in ``source`` (m) after elimination of its leading square
+    part.
 
     A pivot without size belongs to a column that others explain; it is left out, which sets its solution to zero.
     """
-    return f"""{name}_steps AS (SELECT 1 AS k, m FROM {source} UNION ALL SELECT k + 1, CASE WHEN abs(m[k][k]) < 1e-9 THEN
+    return f"""{name}_steps AS (SELECT {key} AS key, 1 AS k, m FROM {source} UNION ALL SELECT key, k + 1, CASE WHEN abs(m[k][k]) < 1e-9 THEN
       list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: 0.0) ELSE r END)
       ELSE list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
         ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) END
     FROM {name}_steps WHERE k <= len(m)),
-  {name} AS (SELECT arg_max(m, k) AS m FROM {name}_steps)"""
+  {name} AS (SELECT key, arg_max(m, k) AS m FROM {name}_steps GROUP BY 1)"""
 
 
 def least_squares(k: int, vcov: str = "hc1", cluster: str | None = None) -> str:
@@ -83,3 +84,26 @@ def absorbed(rows: str, y: str, x: str, small: list[str], most: str) -> str:
   net AS (SELECT id, any_value(long.most) AS most, any_value(long.y) - sum(theta.y) AS y, any_value(long.x) - sum(theta.x) AS x
     FROM long JOIN theta ON theta.a = long.a GROUP BY 1),
   w AS (SELECT y - avg(y) OVER (PARTITION BY most) AS y, [x - avg(x) OVER (PARTITION BY most)] AS x FROM net)"""
+
+
+def synthetic_effects(rows: str, min_pre: int = 180, min_post: int = 180, min_donors: int = 5) -> str:
+    """Table ``effects`` (firm, effect) from ``rows`` (ticker, date, daily_return, post): every firm against the weighted others."""
+    return f"""daily AS (SELECT ticker, date, avg(daily_return) AS y FROM {rows} WHERE daily_return IS NOT NULL GROUP BY 1, 2),
+  day AS (SELECT date, max(post) AS post, count(DISTINCT ticker) AS n FROM {rows} WHERE daily_return IS NOT NULL GROUP BY 1),
+  own AS (SELECT ticker AS firm, daily.date, y, post, post = 0 AND n > {min_donors} AS valid FROM daily JOIN day USING (date)),
+  treated AS (SELECT firm FROM own GROUP BY 1 HAVING count(*) FILTER (post = 0) >= {min_pre} AND count(*) FILTER (post = 1) >= {min_post}
+    AND count(*) FILTER (valid) >= {min_pre}),
+  means AS (SELECT firm, ticker AS donor, avg(d.y) AS mu FROM own JOIN treated USING (firm) JOIN daily d ON d.date = own.date AND d.ticker <> firm
+    WHERE valid GROUP BY 1, 2),
+  numbered AS (SELECT firm, donor, mu, row_number() OVER (PARTITION BY firm ORDER BY donor) AS a FROM means),
+  wide AS (SELECT own.firm, own.date, own.y, own.post, own.valid, list(coalesce(d.y, mu) ORDER BY a) AS x FROM own JOIN numbered ON numbered.firm = own.firm
+    LEFT JOIN daily d ON d.date = own.date AND d.ticker = donor GROUP BY 1, 2, 3, 4, 5),
+  cell AS (SELECT firm, i, j, sum(x[i] * x[j]) AS v FROM wide, (SELECT unnest(range(1, 1 + (SELECT max(a) FROM numbered))) AS i), (SELECT unnest(range(1, 1 + (SELECT max(a) FROM numbered))) AS j)
+    WHERE valid AND i <= len(x) AND j <= len(x) GROUP BY 1, 2, 3),
+  rhs AS (SELECT firm, i, sum(x[i] * y) AS v FROM wide, (SELECT unnest(range(1, 1 + (SELECT max(a) FROM numbered))) AS i) WHERE valid AND i <= len(x) GROUP BY 1, 2),
+  normal AS (SELECT firm, list(r ORDER BY i) AS m FROM (SELECT cell.firm, cell.i, list_append(list(cell.v ORDER BY j), any_value(rhs.v)) AS r
+    FROM cell JOIN rhs ON rhs.firm = cell.firm AND rhs.i = cell.i GROUP BY 1, 2) GROUP BY 1),
+  {eliminated("gj", "normal", "firm")},
+  raw AS (SELECT key AS firm, [greatest(r[len(r)], 0.0) FOR r IN m] AS w FROM gj),
+  weight AS (SELECT firm, CASE WHEN list_sum(w) > 0 THEN [v / list_sum(w) FOR v IN w] ELSE [1.0 / len(w) FOR v IN w] END AS w FROM raw),
+  effects AS (SELECT firm, avg(y - list_inner_product(x, w)) AS effect FROM wide JOIN weight USING (firm) WHERE post = 1 GROUP BY 1)"""
