@@ -9,29 +9,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions.dates import week_monday
+from ..scale import filled, previous
 from ..session import MIN_ALIGNED_WEEKS
 from .filters import post_flag
 
 
-def _by_date(key: str | None, date: str | Column):
-    return W.partitionBy(F.col(key) if key else F.lit(1)).orderBy(date)
+def _before(df: DataFrame, value: Column, key: str | None, date: str, name: str) -> DataFrame:
+    """Add the value of the day before: per ticker by a window, which the calendar bounds, or along one series in ranges."""
+    if key is None:
+        return previous(df, value, [F.col(date)], name)
+    return df.withColumn(name, F.lag(value).over(W.partitionBy(key).orderBy(date)))
 
 
 def log_returns(prices: DataFrame, key: str | None = "ticker", date: str = "date") -> DataFrame:
     """ln P_t - ln P_(t-1); the first row of a series is dropped."""
-    step = F.log("close") - F.lag(F.log("close")).over(_by_date(key, date))
-    return prices.withColumn("log_return", step).filter(F.col("log_return").isNotNull())
+    rows = _before(prices, F.log("close"), key, date, "_before")
+    return rows.withColumn("log_return", F.log("close") - F.col("_before")).drop("_before").filter(F.col("log_return").isNotNull())
 
 
 def simple_returns(prices: DataFrame, key: str | None = "ticker", date: str = "date", name: str = "daily_return") -> DataFrame:
-    change = F.col("close") / F.lag("close").over(_by_date(key, date)) - 1
-    return prices.withColumn(name, change).filter(F.col(name).isNotNull())
+    rows = _before(prices, F.col("close"), key, date, "_before")
+    return rows.withColumn(name, F.col("close") / F.col("_before") - 1).drop("_before").filter(F.col(name).isNotNull())
 
 
 def fill_controls(df: DataFrame, cols: list[str], date: str = "date", key: str | None = None) -> DataFrame:
-    """Carry each column forward, then back, along one series of dates."""
-    ahead = _by_date(key, date).rowsBetween(W.unboundedPreceding, 0)
-    back = _by_date(key, F.desc(date)).rowsBetween(W.unboundedPreceding, 0)
+    """Carry each column forward, then back, along one series of dates, or along the series of each key."""
+    if key is None:
+        return filled(df, cols, [F.col(date)])
+    ahead = W.partitionBy(key).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(key).orderBy(F.desc(date)).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumns(
         {c: F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.last(c, ignorenulls=True).over(back)) for c in cols}
     )

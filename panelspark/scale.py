@@ -62,6 +62,37 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str
     return out.drop("__row", "__part", "__off")
 
 
+def _in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in ranges of the order, with ``__row`` that grows along it and ``__part``, the range."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    return checkpointed(rows).withColumn("__part", F.shiftright("__row", 33))
+
+
+def previous(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """Add ``name``, the value of the row before in one series of any length: within ranges of the order, and from the end of
+    the range before at their borders (one row per range)."""
+    rows = _in_ranges(df.withColumn("__v", value), order)
+    ends = rows.groupBy("__part").agg(F.max_by("__v", "__row").alias("__end"))
+    ends = ends.select("__part", F.lag("__end").over(W.orderBy("__part")).alias("__end"))
+    own = W.partitionBy("__part").orderBy("__row")
+    out = rows.join(ends, "__part").withColumn(name, F.when(F.row_number().over(own) == 1, F.col("__end")).otherwise(F.lag("__v").over(own)))
+    return out.drop("__v", "__end", "__row", "__part")
+
+
+def filled(df: DataFrame, cols: list[str], order: list[Column]) -> DataFrame:
+    """Replace nulls by the last value before them in one series of any length, those before the first value by that value."""
+    rows = _in_ranges(df, order)
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("__row"))
+    ends = rows.groupBy("__part").agg(*[F.max_by(c, known(c)).alias("__end_" + c) for c in cols])
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("__part", *[F.last("__end_" + c, ignorenulls=True).over(before).alias("__end_" + c) for c in cols])
+    first = rows.agg(F.struct(*[F.min_by(c, known(c)).alias(c) for c in cols]).alias("s")).select("s").scalar()
+    own = W.partitionBy("__part").orderBy("__row").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(ends, "__part").withColumn("__first", first)
+    out = out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(own), F.col("__end_" + c), F.col(f"__first.{c}")) for c in cols})
+    return out.drop("__first", "__row", "__part", *["__end_" + c for c in cols])
+
+
 def _magnitude_bucket(value: Column) -> Column:
     """A non-decreasing bucket number of a double: 256 buckets per power of two on each side of zero."""
     level = F.floor((F.log2(F.abs(value)) + 1100) * 256)
@@ -79,7 +110,7 @@ def group_quantiles(
     """Exact linear-interpolated quantiles per group without holding a group in one task.
 
     Values are first reduced to (group, bucket, value, count); bucket totals locate the bucket of every wanted rank,
-    and only those buckets are ordered.
+    and only those buckets are ordered, in ranges that may cut them.
     """
     const = [] if keys else ["_all"]
     src = df.filter(F.col(value).isNotNull()) if keys else df.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1))
@@ -104,9 +135,13 @@ def group_quantiles(
             hit = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bn"))
             wanted = hit if wanted is None else wanted | hit
     picked = totals.filter(wanted).drop("_bn", "_bs")
-    rows = counts.join(picked, [*keys, "_b"]).withColumn(
-        "_cum", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v"))
-    )
+    # a bucket may hold most values of a group, so the running count goes through ranges of it
+    rows = _in_ranges(counts.join(picked, [*keys, "_b"]), [F.col(c) for c in (*keys, "_b", "_v")])
+    part = rows.groupBy(*keys, "_b", "__part").agg(F.sum("_n").alias("_pn"))
+    earlier = F.sum("_pn").over(W.partitionBy(*keys, "_b").orderBy("__part")) - F.col("_pn")
+    part = part.withColumn("_earlier", earlier).drop("_pn")
+    run = F.sum("_n").over(W.partitionBy(*keys, "_b", "__part").orderBy("__row"))
+    rows = rows.withColumn("_run", run).join(part, [*keys, "_b", "__part"]).withColumn("_cum", F.col("_before") + F.col("_earlier") + F.col("_run"))
     aggs = [F.max("_total").alias("_total"), F.max("_mean").alias("_mean")]
     for i, h in enumerate(pos.values()):
         aggs.append(F.min(F.when(F.col("_cum") > F.floor(h), F.col("_v"))).alias(f"_lo{i}"))

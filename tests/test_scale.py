@@ -101,3 +101,27 @@ def test_firm_selection(spark):
     counts = spark.createDataFrame(rows, "symbol string, year int, article_count long")
     got = {r["symbol"]: (r["faults"], r["status"]) for r in matrices.select_firms(counts, list(range(2015, 2026))).collect()}
     assert got == {"A": (0, "KEPT"), "B": (3, "KEPT"), "C": (4, "BOOTED")}
+
+
+def test_one_series_over_many_ranges(spark):
+    """Lag and fill along a series equal pandas, with nulls that span whole ranges."""
+    import pandas as pd
+
+    from panelspark import scale
+
+    values = [None, None] + [float(i) if i % 7 == 0 or i < 20 else None for i in range(300)]
+    values[60:200] = [None] * 140
+    rows = [(i, v, float(i)) for i, v in enumerate(values)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "t long, v double, w double").repartition(5, "t")
+        got = scale.filled(df, ["v", "w"], [F.col("t")]).orderBy("t").toPandas()
+        lag = scale.previous(df, F.col("w") * 2, [F.col("t")], "before").orderBy("t").toPandas()
+        assert scale._in_ranges(df, [F.col("t")]).select("__part").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = pd.Series(values, dtype=float).ffill().bfill()
+    assert (got["v"] == want).all() and list(got.columns) == ["t", "v", "w"]
+    assert lag["before"].isna()[0] and list(lag["before"][1:]) == [2.0 * i for i in range(len(values) - 1)]
+    assert scale.filled(df.limit(0), ["v"], [F.col("t")]).count() == 0
