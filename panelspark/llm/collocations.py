@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scale import checkpointed, rank_in_group
 from . import arrays as A
-from .blocks import BLOCK_BYTES, in_small_batches, size_class, text_bytes
+from .blocks import in_small_batches, size_class, text_bytes
 from .count_automata import Automaton, encode, word_array
 
 LONGEST = 5
@@ -18,6 +18,8 @@ TOP = 2000
 UNKNOWN = "und"
 #: Strings of an automaton are dealt by their first words, at most so many; counts of longer ones add up along its paths.
 PREFIX_WORDS = 3
+#: Bytes of text of a block, of which a task holds about forty times as much in codes and sums.
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose distinct words and pairs one task compares.
 _COMPARED_BYTES = 32 << 20
 _BREAK = A.byte_class((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
