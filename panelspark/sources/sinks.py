@@ -22,6 +22,11 @@ def _folder(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at, fs = _folder(spark, path)
+    return fs.getFileStatus(at).isDirectory()
+
+
 def table_versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the whole versions of a table, oldest first. A load marks its folder when all files are there, so what a
     failed one has left doesn't count."""

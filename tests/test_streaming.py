@@ -91,3 +91,14 @@ def test_upsert_stream_keeps_last_write(spark, tmp_path):
     drain(I.upsert_stream(src, sink, str(tmp_path / "c"), ["k"], "seq", "part"))
     got = {r["k"]: r["v"] for r in spark.read.parquet(sink).collect()}
     assert got == {k: 2 * (160 + k) for k in range(40)}
+
+
+def test_stream_queries_read_a_table_of_several_files(spark, tmp_path):
+    """A table may be a folder of files as well as one file; either is read whole."""
+    from panelspark.plans.catalog import QUERIES
+
+    spark.createDataFrame([(1, 0, "ALGERIA")], "n_nationkey int, n_regionkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    docs = spark.range(1, 81).select((F.col("id") * 25 - 24).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("web").alias("source"))
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["ingest_stream"].spark(spark, str(tmp_path)).distinct().count() == 60  # every fourth title lacks the name
+    assert sorted(r["id"] for r in QUERIES["score_stream"].spark(spark, str(tmp_path)).collect()) == [25 * i - 24 for i in range(1, 81)]
