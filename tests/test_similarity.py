@@ -121,3 +121,35 @@ def test_many_copies_give_few_pairs(spark):
     df = spark.range(400).select(F.lit(1).alias("g"), "id", F.lit("the same headline again").alias("title"))
     out = S.near_duplicates(df, "g", "id", "title")
     assert out.count() == 399 and out.filter("leader = 0").count() == 399
+
+
+def test_weights_of_texts_in_several_rows_and_blocks(spark, monkeypatch):
+    """Rows that share group and id are one text, whose pairs don't cross rows; blocks of counts end between texts."""
+    monkeypatch.setattr(S, "_BLOCK", 3)
+    monkeypatch.setattr(S, "_TEXTS", 2)
+    rows = [(1, 1, "aa bb aa bb"), (1, 1, "bb cc"), (1, 2, "bb cc dd"), (None, 3, "aa bb"), (1, None, "dd ee"), (1, 4, None), (2, 1, "aa")]
+    df = spark.createDataFrame(rows, "g long, id long, title string")
+    got = {(r["g"], r["id"], r["term"]): (r["df"], r["w"]) for r in S.tfidf(df, "g", "id", "title").collect()}
+    tf = {
+        (1, 1): {"aa": 2, "bb": 3, "cc": 1, "aa bb": 2, "bb aa": 1, "bb cc": 1},
+        (1, 2): {"bb": 1, "cc": 1, "dd": 1, "bb cc": 1, "cc dd": 1},
+        (1, None): {"dd": 1, "ee": 1, "dd ee": 1},
+        (2, 1): {"aa": 1},
+    }
+    docs, want = {1: 5, 2: 1}, {}
+    for (g, i), terms in tf.items():
+        df = {t: sum(t in x for (h, _), x in tf.items() if h == g) for t in terms}
+        v = {t: (1 + math.log(c)) * (math.log((1 + docs[g]) / (1 + df[t])) + 1) for t, c in terms.items()}
+        want |= {(g, i, t): (df[t], pytest.approx(x / math.sqrt(sum(y * y for y in v.values())))) for t, x in v.items()}
+    assert got == want
+
+
+def test_weights_collect_no_arrays(spark, capsys):
+    """The rows of a text are dealt to one task before they are put together, and the weights need no arrays at all."""
+    df = spark.createDataFrame([(1, 1, "aa bb"), (1, 2, "aa cc")], "g long, id long, title string")
+    S.tfidf(df, "g", "id", "title").explain()
+    assert "collect_list" not in capsys.readouterr().out
+    S.vectors(df, "g", "id", "title").explain()
+    plan = capsys.readouterr().out
+    # read from the top: both halves of the aggregate come before the exchange by group and id
+    assert plan.index("partial_collect_list") < plan.index("Exchange hashpartitioning(g#")
