@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import rank_in_group, sampling_hash, unit_hash
+from ..scale import checkpointed, rank_in_group, sampling_hash, unit_hash
 from ..session import PSEUDO_CONFIDENCE
 from .dedup import merge_sources
 from .filters import clean_labels
@@ -26,19 +26,21 @@ def shuffle(df: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
     return df.orderBy(sampling_hash(id_col, seed), id_col)
 
 
-def _head_per_group(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
-    return rank_in_group(df, keys, order, "_rn").filter(F.col("_rn") <= n).drop("_rn")
+def cap_per_group(df: DataFrame, keys: list[str], n: int | Column, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """At most n random rows per group; n may follow from the keys.
 
-
-def cap_per_group(df: DataFrame, keys: list[str], n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """At most n random rows per group."""
-    return _head_per_group(df, keys, n, [sampling_hash(id_col, seed), F.col(id_col)])
+    The rows are worked out and stored once, and only keys and ids are sorted; the rows of the chosen numbers follow.
+    """
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    order = list(dict.fromkeys([*keys, id_col]))
+    ranked = rank_in_group(rows.select(*order, "_row", sampling_hash(id_col, seed).alias("_h")), keys, [F.col("_h"), F.col(id_col)], "_rn")
+    return rows.join(ranked.filter(F.col("_rn") <= n).select("_row"), "_row", "left_semi").drop("_row")
 
 
 def cap_per_class(df: DataFrame, group: str, cap: int, label: str = "label", id_col: str = "id", seed: int = 42) -> DataFrame:
     """At most ``cap`` irrelevant and ``cap // 3`` relevant rows per group."""
-    part = lambda name, n: cap_per_group(df.filter(F.col(label) == name), [group], n, id_col, seed)
-    return part("irrelevant", cap).unionByName(part("relevant", cap // 3))
+    limit = F.when(F.col(label) == "irrelevant", cap).otherwise(cap // 3)
+    return cap_per_group(df.filter(F.col(label).isin("irrelevant", "relevant")), [group, label], limit, id_col, seed)
 
 
 def stratified_topup(df: DataFrame, group: str, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
