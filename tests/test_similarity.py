@@ -153,3 +153,40 @@ def test_weights_collect_no_arrays(spark, capsys):
     plan = capsys.readouterr().out
     # read from the top: both halves of the aggregate come before the exchange by group and id
     assert plan.index("partial_collect_list") < plan.index("Exchange hashpartitioning(g#")
+
+
+def test_block_vectors_match_brute_force(spark, monkeypatch):
+    """Blocks and buckets of a few words: terms of several blocks, rows of one text, and rows without terms, id or group."""
+    for name, value in (("_WORDS", 5), ("_TEXTS", 2), ("_BUCKET", 3)):
+        monkeypatch.setattr(S, name, value)
+    rows = [(1, 1, "aa bb aa bb"), (1, 1, "bb cc"), (1, 2, "Bb cc dd"), (None, 3, "aa bb"), (1, None, "dd ee"), (1, 4, None), (2, 1, "aa"), (2, 2, "a b")]
+    rows += [(1, 10 + k, f"aa bb cc tail{k % 4} end{k}") for k in range(20)] + [(2, 30, "aa bb"), (2, 31, "aa bb")]
+    rows += [(1, 10 + k, f"aa bb cc tail{k % 4} end{k}") for k in range(19, -1, -2)]  # these come twice, far apart
+    df = spark.createDataFrame(rows, "g long, id long, title string").repartition(3)
+    docs, tf = Counter(r[0] for r in rows), {}
+    for g, i, title in rows:
+        w = re.findall(r"(?u)\b\w\w+\b", (title or "").lower())
+        if g is not None and w:
+            tf.setdefault((g, i), Counter()).update(w + [" ".join(p) for p in zip(w, w[1:])])
+    want = {}
+    for (g, i), terms in tf.items():
+        n = {t: sum(t in x for (h, _), x in tf.items() if h == g) for t in terms}
+        x = {t: (1 + math.log(c)) * (math.log((1 + docs[g]) / (1 + n[t])) + 1) for t, c in terms.items()}
+        want[g, i] = sorted((n[t], x[t] / math.sqrt(sum(y * y for y in x.values()))) for t in terms)
+    found = S.hashed_vectors(df, "g", "id", "title").collect()
+    got = {(r["g"], r["id"]): sorted((e["df"], e["w"]) for e in r["v"]) for r in found}
+    assert got.keys() == want.keys() and len(found) == len(got)
+    for k, v in want.items():
+        assert [x for x, _ in got[k]] == [x for x, _ in v] and [x for _, x in got[k]] == pytest.approx([x for _, x in v])
+    assert all([(e["df"], e["term"]) for e in r["v"]] == sorted((e["df"], e["term"]) for e in r["v"]) for r in found)
+    same = {(r["g"], r["id"]): r["rep"] for r in S.vector_classes(df, "g", "id", "title").collect()}
+    assert same[2, 31] == 30 and all(same[k] == k[1] for k in same if k != (2, 31))
+
+
+def test_pairs_store_no_counts_by_term_and_text(spark, monkeypatch):
+    """The counts of terms are stored and dealt as arrays, not as a row per term and text."""
+    stored = []
+    monkeypatch.setattr(S, "checkpointed", lambda df, real=S.checkpointed: stored.append(df.columns) or real(df))
+    df = spark.createDataFrame([(1, i, f"aa bb cc dd ee ff gg hh x{i % 2}") for i in range(6)], "g long, id long, title string")
+    S.near_duplicates(df, "g", "id", "title").collect()
+    assert stored and ["g", "id", "term", "tf"] not in stored
