@@ -102,3 +102,13 @@ def test_stream_queries_read_a_table_of_several_files(spark, tmp_path):
     docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
     assert QUERIES["ingest_stream"].spark(spark, str(tmp_path)).distinct().count() == 60  # every fourth title lacks the name
     assert sorted(r["id"] for r in QUERIES["score_stream"].spark(spark, str(tmp_path)).collect()) == [25 * i - 24 for i in range(1, 81)]
+
+
+def test_score_stream_of_a_table_without_rows(spark, tmp_path):
+    """Nothing to score is no error."""
+    from panelspark.plans.catalog import QUERIES
+
+    spark.createDataFrame([(1, 0, "ALGERIA")], "n_nationkey int, n_regionkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["score_stream"].spark(spark, str(tmp_path))
+    assert out.columns == ["id"] and out.collect() == []
