@@ -190,3 +190,21 @@ def test_pairs_store_no_counts_by_term_and_text(spark, monkeypatch):
     df = spark.createDataFrame([(1, i, f"aa bb cc dd ee ff gg hh x{i % 2}") for i in range(6)], "g long, id long, title string")
     S.near_duplicates(df, "g", "id", "title").collect()
     assert stored and ["g", "id", "term", "tf"] not in stored
+
+
+def test_pairs_are_compared_in_blocks(spark, monkeypatch):
+    """A vector goes to the block of a hub once, not a row per term to every pair; hubs of many texts are cut into parts."""
+    monkeypatch.setattr(S, "_COMPARED", 60)
+    stored = []
+    monkeypatch.setattr(S, "checkpointed", lambda df, real=S.checkpointed: stored.append(df.columns) or real(df))
+    words = [f"word{i}" for i in range(12)]
+    titles = [" ".join([f"w{k // 10}", *words[: 9 + k % 3], f"tail{k}"]) for k in range(40)] + ["alone here", "no pair"]
+    rows = [(g, i, t) for g in (1, 2) for i, t in enumerate(titles)]  # ids are those of a group
+    df = spark.createDataFrame(rows, "g long, id long, title string")
+    v = brute_vectors(titles)
+    dot = lambda i, j: sum(x * v[j].get(t, 0) for t, x in v[i].items())
+    want = {(g, i, j): dot(i, j) for g in (1, 2) for i in range(len(v)) for j in range(i + 1, len(v)) if dot(i, j) >= 0.5}
+    for vecs in (S.hashed_vectors(df, "g", "id", "title"), S.vectors(df, "g", "id", "title", spelled=True)):
+        found = S.near_pairs(vecs, "g", "id", 0.5).collect()
+        assert len(found) == len(want) > 50 and {(r["g"], r["i"], r["j"]): r["cosine"] for r in found} == pytest.approx(want)
+    assert ["g", "id", "term", "w"] not in stored
