@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,11 @@ def test_pairs_are_compared_in_blocks(spark, monkeypatch):
         found = S.near_pairs(vecs, "g", "id", 0.5).collect()
         assert len(found) == len(want) > 50 and {(r["g"], r["i"], r["j"]): r["cosine"] for r in found} == pytest.approx(want)
     assert ["g", "id", "term", "w"] not in stored
+
+
+def test_stable_order_of_large_and_equal_numbers():
+    rng = np.random.default_rng(7)
+    for most in (1, 300, 1 << 16, 1 << 40):
+        a, b = rng.integers(0, most, 5000), rng.integers(0, 3, 5000)
+        assert (S._stable_order(a, b) == np.lexsort((a, b))).all()
+    assert len(S._stable_order(np.zeros(0, np.int64))) == 0
