@@ -112,7 +112,7 @@ def test_score_stream_of_a_table_without_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     out = QUERIES["score_stream"].spark(spark, str(tmp_path))
     assert out.columns == ["id"] and out.collect() == []
-    rows = spark.createDataFrame([(25, "text", "web")], "doc_id long, text string, source string")
+    rows = spark.createDataFrame([(26, "text", "web")], "doc_id long, text string, source string")
     rows.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     out = QUERIES["score_stream"].spark(spark, str(tmp_path))
-    assert out.columns == ["id"] and [tuple(r) for r in out.collect()] == [(25,)]
+    assert out.columns == ["id"] and [tuple(r) for r in out.collect()] == [(26,)]
