@@ -1,6 +1,8 @@
 """TF-IDF weights and greedy near-duplicate removal against brute force."""
 
 import math
+import os
+import random
 import re
 from collections import Counter
 
@@ -217,3 +219,63 @@ def test_stable_order_of_large_and_equal_numbers():
         a, b = rng.integers(0, most, 5000), rng.integers(0, 3, 5000)
         assert (S._stable_order(a, b) == np.lexsort((a, b))).all()
     assert len(S._stable_order(np.zeros(0, np.int64))) == 0
+
+
+def disk_in_use(spark, monkeypatch, run):
+    """Bytes of a table of texts, and the most that stored tables and shuffles take after any stored step and after the last one."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(5000)]
+    rows = [(k % 3, k, " ".join(words[int(draw.random() ** 2 * 5000)] for _ in range(200))) for k in range(3000)]
+    rows += [(g, k + 5000, title + " and more") for g, k, title in rows[:100]] + [(g, k + 9000, title) for g, k, title in rows[:50]]
+    df = S.checkpointed(spark.createDataFrame(rows, "g long, id long, title string"))
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    shuffles = lambda: {f: os.path.getsize(f) for f in files() if "/shuffle_" in f and os.path.exists(f)}
+    before, stored, most = set(shuffles()), [0], [0]
+
+    def note():
+        most[0] = max(most[0], stored[0] + sum(n for f, n in shuffles().items() if f not in before))
+
+    def checkpointed(df, real=S.checkpointed):
+        out = real(df)
+        stored[0] += sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        note()
+        return out
+
+    monkeypatch.setattr(S, "checkpointed", checkpointed)
+    run(df).write.format("noop").mode("overwrite").save()
+    note()
+    return sum(len(r[2]) for r in rows), most[0]
+
+
+@pytest.mark.parametrize("name", ["tfidf"])
+def test_disk_stays_near_the_text(spark, monkeypatch, name):
+    """No term of a text is stored or dealt as a row or a number of its own, and shuffles go with the step that wrote them."""
+    text, most = disk_in_use(spark, monkeypatch, lambda df: getattr(S, name)(df, "g", "id", "title"))
+    assert most < 2 * text, f"{most / text:.2f} times the text"
+
+
+@pytest.mark.parametrize("ngram", [(1, 3), (2, 2), (1, 1)])
+def test_weights_of_blocks_and_rounds_match_brute_force(spark, monkeypatch, ngram):
+    """Blocks and buckets of a few words in three rounds, rows that share a text, and rows without words, id or group."""
+    for name, value in (("_WORDS", 7), ("_TEXTS", 2), ("_BUCKET", 3), ("_BLOCK", 4)):
+        monkeypatch.setattr(S, name, value)
+    rows = [("a", "1", "Aa bb aa bb cc"), ("a", "1", "bb cc"), (None, "3", "aa bb"), ("a", None, "dd ee"), ("a", "4", None), ("b", "1", "aa"), ("b", "2", "a b")]
+    rows += [("a", f"k{k}", f"aa bb cc tail{k % 4} \u00e9t\u00e9 \u6f22\u5b57 end{k % 7}") for k in range(20)] + [("b", "5", "aa bb"), ("b", "6", "aa bb")]
+    df, tf, docs = spark.createDataFrame(rows, "g string, id string, title string").repartition(3), {}, Counter(r[0] for r in rows)
+    for g, i, title in rows:
+        w = re.findall(r"(?u)\b\w\w+\b", (title or "").lower())
+        grams = [" ".join(p) for n in range(ngram[0], ngram[1] + 1) for p in zip(*(w[k:] for k in range(n)))]
+        if g is not None and grams:
+            tf.setdefault((g, i), Counter()).update(grams)
+    want = {}
+    for (g, i), terms in tf.items():
+        n = {t: sum(t in x for (h, _), x in tf.items() if h == g) for t in terms}
+        x = {t: (1 + math.log(c)) * (math.log((1 + docs[g]) / (1 + n[t])) + 1) for t, c in terms.items()}
+        want |= {(g, i, t): (n[t], pytest.approx(x[t] / math.sqrt(sum(y * y for y in x.values())))) for t in terms}
+    found = S.tfidf(df, "g", "id", "title", ngram).collect()
+    assert len(found) == len(want) and {(r["g"], r["id"], r["term"]): (r["df"], r["w"]) for r in found} == want
+
+
+def test_packed_numbers():
+    for x in ([], [0], [255], [1, 256, 65535, 1 << 40], list(range(1000))):
+        assert S._unpacked(S._packed(np.array(x, np.int64))).tolist() == x
