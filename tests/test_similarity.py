@@ -247,7 +247,7 @@ def disk_in_use(spark, monkeypatch, run):
     return sum(len(r[2]) for r in rows), most[0]
 
 
-@pytest.mark.parametrize("name", ["tfidf"])
+@pytest.mark.parametrize("name", ["tfidf", "vector_classes"])
 def test_disk_stays_near_the_text(spark, monkeypatch, name):
     """No term of a text is stored or dealt as a row or a number of its own, and shuffles go with the step that wrote them."""
     text, most = disk_in_use(spark, monkeypatch, lambda df: getattr(S, name)(df, "g", "id", "title"))
